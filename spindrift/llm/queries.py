@@ -6,13 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spindrift.llm import quality_rules
+from spindrift.llm import decontaminate, quality_rules, secret_scan, sharding, source_mixing, url_filter
 from spindrift.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontaminate": lambda s, d: decontaminate.contamination(read(s, d, "documents"), read(s, d, "benchmark")),
     "op3_quality_rules": lambda s, d: quality_rules.quality_query(read(s, d, "documents")),
+    "op5_url_filter": lambda s, d: url_filter.judge(read(s, d, "pages")),
+    "op6_secret_scan": lambda s, d: secret_scan.secrets_query(read(s, d, "documents")),
+    "op7_sharding": lambda s, d: sharding.sharding_query(read(s, d, "documents")),
+    "op9_source_mixing": lambda s, d: source_mixing.mixing_query(read(s, d, "documents")),
 }
 
 ORACLES: dict[str, str] = {
+    "op2_decontaminate": decontaminate.ORACLE,
     "op3_quality_rules": quality_rules.ORACLE,
+    "op9_source_mixing": source_mixing.ORACLE,
 }
