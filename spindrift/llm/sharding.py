@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from spindrift.llm.common import cut
 
 SHARDS = 8
-ROUNDS = 4
+ROUNDS = 6
 GIANT = 256
 CELL_BITS = 9
 SALTS = 16
@@ -52,7 +52,7 @@ def _unit(*cols: Column) -> Column:
 def propagate(state: DataFrame, shards: int, total: int, rounds: int, slack: float = 0.02) -> DataFrame:
     """Move linked rows of ``state`` (row, size, hub, giant, salt, shard) towards their hubs' shards."""
     capacity = int(total / shards * (1 + slack)) + 1
-    for _ in range(rounds):
+    for k in range(rounds):
         held = state.groupBy("hub", "giant", "shard").agg(F.sum("size").alias("b"), F.count("*").alias("n"))
         held = held.groupBy("hub", "giant").agg(
             F.max(F.struct("b", (-F.col("shard")).alias("s"))).alias("best"), F.sum("n").alias("n")
@@ -64,14 +64,14 @@ def propagate(state: DataFrame, shards: int, total: int, rounds: int, slack: flo
         asked = state.join(wish, ["hub", "giant", "salt"], "left")
         asked = asked.withColumn("want", F.coalesce("want", "shard").cast("int"))
         flows = asked.groupBy("shard", "want").agg(F.sum("size").alias("b")).collect()
-        load = [sum(r["b"] for r in flows if r["shard"] == k) for k in range(shards)]
+        load = [sum(r["b"] for r in flows if r["shard"] == x) for x in range(shards)]
         share = quotas({(r["shard"], r["want"]): r["b"] for r in flows if r["shard"] != r["want"]}, load, capacity)
-        if not share:
+        if not any(share.values()):
             break
         granted = F.lit(0.0)
         for (a, b), v in sorted(share.items()):
             granted = F.when((F.col("shard") == a) & (F.col("want") == b), F.lit(float(v))).otherwise(granted)
-        u = F.when(F.col("giant"), _unit(F.col("hub"), F.col("row"))).otherwise(_unit(F.col("hub")))
+        u = F.when(F.col("giant"), _unit(F.lit(k), F.col("hub"), F.col("row"))).otherwise(_unit(F.lit(k), F.col("hub")))
         state = cut(
             asked.withColumn("shard", F.when(u < granted, F.col("want")).otherwise(F.col("shard"))).drop("want")
         )

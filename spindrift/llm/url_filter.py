@@ -102,6 +102,14 @@ def train(labelled=LABELLED, epochs: int = 300, rate: float = 2.0, decay: float
     return tuple(round(v, 6) for v in w), round(b, 6)
 
 
+def _adder(table: Column, subject: Column, n: int):
+    def add(acc: Column, i: Column) -> Column:
+        gram = F.encode(F.substr(subject, i, F.lit(n)), "UTF-8")
+        return acc + F.get(table, F.pmod(F.crc32(gram), F.lit(BUCKETS)).cast("int"))
+
+    return add
+
+
 def score(subject: Column, model: tuple[tuple[float, ...], float]) -> Column:
     """Probability that a host and path are unwanted; 0 where there is no n-gram."""
     weights, bias = model
@@ -109,14 +117,8 @@ def score(subject: Column, model: tuple[tuple[float, ...], float]) -> Column:
     total, count = F.lit(0.0), F.lit(0)
     for n in GRAMS:
         many = F.greatest(F.length(subject) - n + 1, F.lit(0))
-        at = F.filter(F.sequence(F.lit(1), F.greatest(many, F.lit(1))), lambda i, m=many: i <= m)
-        part = F.aggregate(
-            at,
-            F.lit(0.0),
-            lambda acc, i, n=n: acc
-            + F.get(table, F.pmod(F.crc32(F.encode(F.substr(subject, i, F.lit(n)), "UTF-8")), F.lit(BUCKETS)).cast("int")),
-        )
-        total, count = total + part, count + many
+        places = F.when(many > 0, F.sequence(F.lit(1), F.greatest(many, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+        total, count = total + F.aggregate(places, F.lit(0.0), _adder(table, subject, n)), count + many
     z = F.lit(bias) + total / F.sqrt(F.greatest(count, F.lit(1)))
     return F.when(count > 0, 1 / (1 + F.exp(-z))).otherwise(F.lit(0.0))
 
