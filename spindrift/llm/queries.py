@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spindrift.llm import decontaminate, language_id, pii_tagger, quality_rules, secret_scan, sharding, source_mixing, url_filter
+from spindrift.llm import decontaminate, jaccard_join, language_id, pii_tagger, quality_rules, secret_scan, sharding, source_mixing, url_filter
 from spindrift.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_sharding": lambda s, d: sharding.sharding_query(read(s, d, "documents")),
     "op8_language_id": lambda s, d: language_id.language_query(read(s, d, "documents")),
     "op9_source_mixing": lambda s, d: source_mixing.mixing_query(read(s, d, "documents")),
+    "op10_jaccard_join": lambda s, d: jaccard_join.jaccard_query(read(s, d, "documents")),
 }
 
 ORACLES: dict[str, str] = {

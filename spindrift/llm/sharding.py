@@ -49,8 +49,12 @@ def _unit(*cols: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(7), *cols), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def propagate(state: DataFrame, shards: int, total: int, rounds: int, slack: float = 0.02) -> DataFrame:
-    """Move linked rows of ``state`` (row, size, hub, giant, salt, shard) towards their hubs' shards."""
+def propagate(state: DataFrame, shards: int, total: int, rounds: int, slack: float = 0.25) -> DataFrame:
+    """Move linked rows of ``state`` (row, size, hub, giant, salt, shard) towards their hubs' shards.
+
+    ``slack`` is how far above an equal share a shard may fill between rounds; the cut that follows
+    makes sizes equal again without parting a hub, but for those at the seven cuts.
+    """
     capacity = int(total / shards * (1 + slack)) + 1
     for k in range(rounds):
         held = state.groupBy("hub", "giant", "shard").agg(F.sum("size").alias("b"), F.count("*").alias("n"))
