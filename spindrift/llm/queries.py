@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spindrift.llm import decontaminate, jaccard_join, language_id, pii_tagger, quality_rules, secret_scan, sharding, source_mixing, url_filter
+from spindrift.llm import decontaminate, jaccard_join, language_id, pii_tagger, quality_rules, secret_scan, sharding, source_mixing, suffix_dedup, url_filter
 from spindrift.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_tagger": lambda s, d: pii_tagger.detect(read(s, d, "documents")),
     "op2_decontaminate": lambda s, d: decontaminate.contamination(read(s, d, "documents"), read(s, d, "benchmark")),
     "op3_quality_rules": lambda s, d: quality_rules.quality_query(read(s, d, "documents")),
+    "op4_suffix_dedup": lambda s, d: suffix_dedup.dedup(read(s, d, "documents")),
     "op5_url_filter": lambda s, d: url_filter.judge(read(s, d, "pages")),
     "op6_secret_scan": lambda s, d: secret_scan.secrets_query(read(s, d, "documents")),
     "op7_sharding": lambda s, d: sharding.sharding_query(read(s, d, "documents")),
