@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from spindrift.llm import textbytes as tb
 from spindrift.llm.common import cut
@@ -94,7 +95,7 @@ class Index:
             found[row].add(self.ids[item])
 
 
-def _pass(index: Index, last: bool, carried: bool):
+def _pass(index: Index, last: bool, carried: bool, own: str):
     def run(batches):
         for batch in batches:
             data, off = tb.arrow_bytes(batch.column("text"))
@@ -122,24 +123,24 @@ def _pass(index: Index, last: bool, carried: bool):
                 digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id"),
+                        batch.column(own),
                         pa.array(counts, pa.int64()),
                         pa.array(hits, pa.int64()),
                         pa.array([len(x) for x in items], pa.int64()),
                         pa.array(digest, pa.string()),
                         pa.array([h > 0 and 20 * h >= n for h, n in zip(hits, counts, strict=True)], pa.bool_()),
                     ],
-                    names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+                    names=[own, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
                 )
             else:
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id"),
+                        batch.column(own),
                         batch.column("text"),
                         pa.array(hits, pa.binary()),
                         pa.array(items, pa.list_(pa.string())),
                     ],
-                    names=["doc_id", "text", "hits", "items"],
+                    names=[own, "text", "hits", "items"],
                 )
 
     return run
@@ -155,25 +156,35 @@ def blocks_of(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[Data
     return [b.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k) for k in range(n)]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every document."""
-    out = docs.select("doc_id", "text")
-    blocks = blocks_of(benchmark, block_bytes)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def _scan(docs: DataFrame, own: str, benchmark: DataFrame, block_bytes: int) -> DataFrame:
+    """``docs`` (own, text) -> own and the digest columns, block after block."""
+    out, blocks = docs, blocks_of(benchmark, block_bytes)
     for k, block in enumerate(blocks):
         index = Index([(r["id"], r["text"]) for r in block.toLocalIterator()])
         last = k == len(blocks) - 1
-        schema = (
-            f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-            if last
-            else f"doc_id {kind}, text string, hits binary, items array<string>"
-        )
-        out = out.mapInArrow(_pass(index, last, k > 0), schema)
+        schema = StructType([docs.schema[own]])
+        if last:
+            schema = schema.add("n_words", "long").add("n_hit", "long").add("n_items", "long")
+            schema = schema.add("items_sha256", "string").add("contaminated", "boolean")
+        else:
+            schema = schema.add("text", "string").add("hits", "binary").add("items", ArrayType(StringType()))
+        out = out.mapInArrow(_pass(index, last, k > 0, own), schema)
         if not last:
             out = cut(out)
     return out
 
 
+def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every document."""
+    return _scan(docs.select("doc_id", "text"), "doc_id", benchmark, block_bytes)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs``, all columns, that aren't contaminated."""
+    rows = docs.select(F.struct("*").alias("row"), "text")
+    return _scan(rows, "row", benchmark, block_bytes).where("NOT contaminated").select("row.*")
+
+
 ORACLE = r"""
 WITH dw AS (
   SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(translate(coalesce(text, ''),

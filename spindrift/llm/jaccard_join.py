@@ -222,7 +222,7 @@ def _verify(threshold: float):
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, node (its text's digest), class_id (least doc_id of its class), n_links (different
+    """doc_id, node (its text's digest), class (a node), class_id (least doc_id of its class), n_links (different
     texts at the threshold or above) and n_copies (documents with this very text)."""
     depth = prefix_depth(threshold)
     far = F.lit((1 << 63) - 1)
@@ -256,15 +256,30 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     links = checked.groupBy("node").agg(F.sum("links").alias("n_links"))
     roots = components(checked.select(F.col("node").alias("a"), F.col("top").alias("b")))
     linked = roots.join(nodes.select("node", "rep"), "node")
-    linked = linked.join(linked.groupBy("root").agg(F.min("rep").alias("class_id")), "root").select("node", "class_id")
+    linked = linked.join(linked.groupBy("root").agg(F.min("rep").alias("class_id")), "root")
     info = nodes.select("node", "rep", "n_copies").join(linked, "node", "left").join(links, "node", "left")
     info = info.select(
         "node",
+        F.coalesce("root", "node").alias("class"),
         F.coalesce("class_id", "rep").alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.col("n_copies").cast("long").alias("n_copies"),
     )
-    return signed.select("doc_id", "node").join(info, "node").select("doc_id", "node", "class_id", "n_links", "n_copies")
+    return signed.select("doc_id", "node").join(info, "node").select(
+        "doc_id", "node", "class", "class_id", "n_links", "n_copies"
+    )
+
+
+def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, without near duplicates: the least doc_id of each class."""
+    far = F.lit((1 << 63) - 1)
+    rows = docs.select(
+        F.struct("*").alias("row"),
+        F.coalesce(F.col("doc_id").cast("long"), far).alias("doc_id"),
+        F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("node"),
+    )
+    first = join(docs, threshold).groupBy("class").agg(F.min(F.struct("doc_id", "node")).alias("x"))
+    return rows.join(first.select("x.doc_id", "x.node"), ["doc_id", "node"]).dropDuplicates(["doc_id", "node"]).select("row.*")
 
 
 def jaccard_query(docs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ order changes how much work a rejected document costs, never the verdict.
 
 Defined cases: a null, empty or blank text has no words, so every count is 0 and the document is
 rejected (fewer than ``min_words`` words).  Repeated rows are judged alike, each on its own.  An
-empty table gives an empty result.  Columns beyond ``id_col`` and ``text_col`` are ignored.
+empty table gives an empty result.  Other columns pass through ``accepted`` whatever their names.
 """
 
 from __future__ import annotations
@@ -138,6 +138,12 @@ def judge(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
+def accepted(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that the cascade keeps."""
+    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
+    return judge(rows).where("kept").select("row.*")
+
+
 def quality_query(docs: DataFrame) -> DataFrame:
     """doc_id, the counts, base_failed and kept of every document."""
     return judge(docs.select("doc_id", "text")).select(

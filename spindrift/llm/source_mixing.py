@@ -18,7 +18,7 @@ repeat a doc_id are sampled each on its own.  Columns beyond the named ones are
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.llm.common import word_count
@@ -61,10 +61,6 @@ def water_fill(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epo
     )
 
 
-def _same(a: Column, b: Column) -> Column:
-    return a.eqNullSafe(b)
-
-
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: str = SEED) -> DataFrame:
     """doc_id, size, source_size, target, copies (how often the document is taken) and taken.
 
@@ -113,6 +109,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int =
     )
 
 
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: str = SEED) -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as the mix takes it."""
+    rows = docs.select(F.struct("*").alias("_row"), "doc_id", "text", "source")
+    taken = mix(rows, weights, max_epochs, seed).where("copies > 0")
+    return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
+
+
 def mixing_query(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and taken of every document."""
     return mix(docs.select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
