@@ -256,7 +256,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     links = checked.groupBy("node").agg(F.sum("links").alias("n_links"))
     roots = components(checked.select(F.col("node").alias("a"), F.col("top").alias("b")))
     linked = roots.join(nodes.select("node", "rep"), "node")
-    linked = linked.join(linked.groupBy("root").agg(F.min("rep").alias("class_id")), "root")
+    linked = linked.join(linked.groupBy("root").agg(F.min("rep").alias("class_id")), "root").drop("rep")
     info = nodes.select("node", "rep", "n_copies").join(linked, "node", "left").join(links, "node", "left")
     info = info.select(
         "node",

@@ -114,8 +114,13 @@ def examples(n: int, length: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     def octets() -> list[str]:
         return [str(rng.integers(256)) for _ in range(4)]
 
+    def email() -> str:
+        local = word() + pick(["", "", f".{num(1)}", f".{num(2)}", f"_{word()}", f".{word()}", num(3)])
+        dot = pick([".", ".", "[dot]", "(dot)", " [dot] ", " (dot) "])
+        return local + pick(["@", " [at] ", "[at]", "(at)", " (at) ", "{at}"]) + word() + dot + pick(["com", "org", "net", "de"])
+
     makers = (
-        lambda: pick([f"{word()}.{num(2)}@{word()}.{pick(['com', 'org', 'de'])}", f"{word()} [at] {word()}.com", f"{word()}(at){word()}(dot)net", f"{word()} {{at}} {word()} [dot] org"]),
+        email,
         lambda: pick([".", ".", "[.]", "(.)"]).join(octets()),
         card,
         lambda: pick([f"+{num(1)} ({num(3)}) {num(3)}-{num(4)}", f"+{num(2)} {num(3)} {num(4)} {num(3)}", f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}"]),
@@ -286,7 +291,7 @@ class Tagger:
 
 
 @lru_cache(maxsize=2)
-def train(n: int = 1280, length: int = 48, epochs: int = 10, batch: int = 64, seed: int = 3) -> Tagger:
+def train(n: int = 2560, length: int = 56, epochs: int = 10, batch: int = 64, seed: int = 3) -> Tagger:
     """Adam over seeded examples; the same seed gives the same network."""
     chars, labels = examples(n, length, seed)
     net, rng = Tagger(seed), np.random.default_rng(seed)

@@ -2,7 +2,7 @@
 
 Documents with equal texts are linked through a hub, the text's hash.  Documents start on a shard
 by hash; each round is a Spark join in which the members of a hub ask to move to the shard that
-holds most of its bytes.  Requests are summed to a shard-by-shard matrix (at most 64 numbers on
+holds most of its bytes, shards near their capacity only if no other holds any.  Requests are summed to a shard-by-shard matrix (at most 64 numbers on
 the driver) and granted up to quotas: what flows the other way, plus the target's free capacity.
 Rounds end when nothing moves.  A last pass lays the documents on one line, shard after shard and
 hub after hub, and cuts it at equal shares of all bytes, so sizes are equal to within one document
@@ -31,9 +31,11 @@ CELL_BITS = 9
 SALTS = 16
 
 
-def quotas(ask: dict[tuple[int, int], int], load: list[int], capacity: int) -> dict[tuple[int, int], float]:
-    """The share of each (from, to) request that may move: bytes swap pairwise, then flow into
-    free capacity, in order of demand."""
+def quotas(
+    ask: dict[tuple[int, int], int], load: list[int], capacity: int
+) -> tuple[dict[tuple[int, int], float], list[int]]:
+    """The share of each (from, to) request that may move, and the loads after it: bytes swap
+    pairwise, then flow into free capacity, in order of demand."""
     grant = {k: min(v, ask.get(k[::-1], 0)) for k, v in ask.items()}
     now = list(load)
     for (a, b), v in sorted(ask.items(), key=lambda x: (-x[1], x[0])):
@@ -41,7 +43,7 @@ def quotas(ask: dict[tuple[int, int], int], load: list[int], capacity: int) -> d
         grant[a, b] += more
         now[a] -= more
         now[b] += more
-    return {k: grant[k] / v for k, v in ask.items() if v > 0}
+    return {k: grant[k] / v for k, v in ask.items() if v > 0}, now
 
 
 def _unit(*cols: Column) -> Column:
@@ -56,10 +58,12 @@ def propagate(state: DataFrame, shards: int, total: int, rounds: int, slack: flo
     makes sizes equal again without parting a hub, but for those at the seven cuts.
     """
     capacity = int(total / shards * (1 + slack)) + 1
+    full: list[int] = []
     for k in range(rounds):
         held = state.groupBy("hub", "giant", "shard").agg(F.sum("size").alias("b"), F.count("*").alias("n"))
         held = held.groupBy("hub", "giant").agg(
-            F.max(F.struct("b", (-F.col("shard")).alias("s"))).alias("best"), F.sum("n").alias("n")
+            F.max(F.struct((~F.col("shard").isin(full)).alias("free"), "b", (-F.col("shard")).alias("s"))).alias("best"),
+            F.sum("n").alias("n"),
         )
         wish = held.where("n > 1").select(
             "hub", "giant", (-F.col("best.s")).alias("want"),
@@ -69,7 +73,8 @@ def propagate(state: DataFrame, shards: int, total: int, rounds: int, slack: flo
         asked = asked.withColumn("want", F.coalesce("want", "shard").cast("int"))
         flows = asked.groupBy("shard", "want").agg(F.sum("size").alias("b")).collect()
         load = [sum(r["b"] for r in flows if r["shard"] == x) for x in range(shards)]
-        share = quotas({(r["shard"], r["want"]): r["b"] for r in flows if r["shard"] != r["want"]}, load, capacity)
+        share, load = quotas({(r["shard"], r["want"]): r["b"] for r in flows if r["shard"] != r["want"]}, load, capacity)
+        full = [x for x in range(shards) if load[x] > total / shards * (1 + slack / 2)]
         if not any(share.values()):
             break
         granted = F.lit(0.0)
