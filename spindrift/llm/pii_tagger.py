@@ -374,13 +374,22 @@ def valid(t: str, kind: int, a: int, b: int) -> bool:
     return kind != 3 or 10 <= len(d) <= 15
 
 
+def snap(t: str, kind: int, a: int, b: int) -> tuple[int, int]:
+    """A disguised address that was seen in part is taken whole, at most 64 characters each way."""
+    if kind == 0:
+        for m in FORMS[0].finditer(t, max(0, a - 64), min(len(t), b + 64)):
+            if m.start() < b and a < m.end():
+                return m.span()
+    return a, b
+
+
 def find(net: Tagger, texts: list[str]) -> list[tuple[list, list]]:
     """(base, added) spans of each text."""
     out = []
     for t, seen in zip(texts, tag(net, texts), strict=True):
         base = base_spans(t)
         added = [
-            (k, a, b) for k, a, b in seen
+            (k, a, b) for k, a, b in dict.fromkeys((k, *snap(t, k, a, b)) for k, a, b in seen)
             if valid(t, k, a, b) and not any(x < b and a < y for _, x, y in base)
         ]
         out.append((base, added))
