@@ -45,7 +45,7 @@ HOT = np.zeros(256, bool)
 HOT[[*range(0x30, 0x3A), 0x40, 0x28, 0x5B, 0x7B]] = True
 #: Forms that an added span must have, whole.
 FORMS = (
-    re.compile(r"[A-Za-z0-9._%+-]+ ?[\[({] ?at ?[\])}] ?[A-Za-z0-9-]+(?: ?(?:\.|[\[({] ?dot ?[\])}]) ?[A-Za-z0-9-]+)+"),
+    re.compile(r"[A-Za-z0-9._%+-]+ ?[\[({] ?at ?[\])}] ?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+| ?[\[({] ?dot ?[\])}] ?[A-Za-z0-9-]+)+"),
     re.compile(r"[0-9]{1,3}(?: ?(?:\[\.\]|\(\.\)) ?[0-9]{1,3}){3}"),
     re.compile(r"[0-9](?:[ ./-]{0,2}[0-9]){12,18}"),
     re.compile(r"(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}"),
