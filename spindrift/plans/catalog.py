@@ -1,10 +1,8 @@
-"""Registry of queries and their DuckDB counterparts."""
+"""Every query of the engine, in one place."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from spindrift.plans import serving  # noqa: F401  (registers its queries)
+from spindrift.plans.registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
