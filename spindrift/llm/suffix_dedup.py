@@ -14,9 +14,8 @@ Whole texts would need as many rounds as the longest text has bytes; aligned fra
 ``2 * LENGTH - GRAM``.  Fragments reach a task as sorted shuffle files and are read in sequence.
 
 No key is a hot spot: equal texts are settled by their digest first; equal fragments are reduced
-to their earliest occurrence map-side (all later ones go entirely, with no row of their own);
-an anchor with more than ``HOT`` different fragments is settled window by window with an
-aggregated minimum instead.
+to their earliest map-side (later ones keep nothing and need no row); an anchor that more than
+``HOT`` texts hold is settled window by window, by a minimum that is aggregated map-side.
 
 Defined cases: a null or empty text has no bytes and loses none; nothing shorter than ``LENGTH``
 repeats.  Rows that repeat a doc_id are documents of their own, ordered by their texts' digests; a
@@ -29,7 +28,8 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.llm import textbytes as tb
@@ -37,7 +37,7 @@ from spindrift.llm import textbytes as tb
 LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1  # gram starts in a window
 COLUMNS = LENGTH + SPAN - 1
-HOT = 2000
+HOT = 200_000
 BATCH = 40_000
 CHUNK = 1 << 23
 
@@ -101,42 +101,41 @@ def _flat(column) -> tuple[np.ndarray, np.ndarray]:
     """A list column's values and offsets."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    off = np.concatenate([[0], np.cumsum(np.array([0 if x is None else len(x) for x in column.to_pylist()], np.int64))])
+    size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    off = np.concatenate([[0], np.cumsum(size.astype(np.int64))])
     return column.flatten().to_numpy(zero_copy_only=False), off
 
 
 def _emit_fragments(batches):
+    """The text around each repeated anchor; of equal fragments in a batch only the earliest."""
     for batch in batches:
         data, off = tb.arrow_bytes(batch.column("text"))
-        packs, lists = _flat(batch.column("ps"))
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+        packs, lists = _flat(batch.column("ps"))
+        grams, _ = _flat(batch.column("grams"))
         owner = np.repeat(np.arange(len(ids)), np.diff(lists))
-        for k in range(0, len(packs), 20_000):
-            p, row = packs[k : k + 20_000].astype(np.int64), owner[k : k + 20_000]
-            first, last, anchor = unpack(p)
-            begin, size = off[row] + first, last - first + LENGTH
-            ends = np.cumsum(size)
-            at = np.arange(int(ends[-1])) + np.repeat(begin - (ends - size), size)
-            bounds = np.concatenate([[0], ends]).astype(np.int32)
-            lo = int((off[row] + anchor).min())
-            part = data[lo : int((off[row] + anchor).max()) + GRAM]
-            gram = _gram_hashes(part, off[row] + anchor - lo)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids[row], pa.int64()),
-                    pa.array(p, pa.int64()),
-                    pa.array(gram, pa.int64()),
-                    pa.Array.from_buffers(pa.binary(), len(p), [None, pa.py_buffer(bounds), pa.py_buffer(data[at])]),
-                ],
-                names=["doc_id", "p", "gram", "fragment"],
-            )
-
-
-def _gram_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Hashes of the grams at some places, by the same function as ``anchors`` uses."""
-    mult, _ = tb.powers(GRAM)
-    rows = data[at[:, None] + np.arange(GRAM)].astype(tb.U64) + tb.U64(1)
-    return tb.mix64((rows * mult[:GRAM]).sum(1, dtype=tb.U64)).view(np.int64)
+        order = np.lexsort((packs, ids[owner]))
+        packs, grams, owner = packs[order].astype(np.int64), grams[order], owner[order]
+        first, last, _ = unpack(packs)
+        begin = off[owner] + first
+        raw, seen, keep, fragments = data.tobytes(), set(), [], []
+        for k, (at, size, shape) in enumerate(
+            zip(begin.tolist(), (last - first + LENGTH).tolist(), (packs & 16383).tolist(), strict=True)
+        ):
+            fragment = raw[at : at + size]
+            if (shape, fragment) not in seen:
+                seen.add((shape, fragment))
+                keep.append(k)
+                fragments.append(fragment)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(ids[owner[keep]], pa.int64()),
+                pa.array(packs[keep], pa.int64()),
+                pa.array(grams[keep], pa.int64()),
+                pa.array(fragments, pa.binary()),
+            ],
+            names=["doc_id", "p", "gram", "fragment"],
+        )
 
 
 def kept_windows(cells: np.ndarray, valid_from: np.ndarray, valid_to: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -267,34 +266,40 @@ def _with_unique_ids(docs: DataFrame) -> tuple[DataFrame, bool]:
     return d.select(F.col("doc_id").alias("own"), F.row_number().over(place).cast("long").alias("doc_id"), "text"), True
 
 
+def _where(condition: str) -> list[Column]:
+    """The anchors and grams whose entry meets a condition on ``x.hot``."""
+    zipped = f"filter(arrays_zip(ps, grams, hot), x -> {condition})"
+    return [F.expr(f"transform({zipped}, x -> x.ps)").alias("ps"), F.expr(f"transform({zipped}, x -> x.grams)").alias("grams")]
+
+
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
     full, changed = _with_unique_ids(docs)
-    d = full.select("doc_id", "text")
+    d = full.select("doc_id", "text").where("doc_id IS NOT NULL")  # so that all joins share one exchange of the texts
     reps = d.select("doc_id", F.md5("text").alias("digest")).groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
     reps = reps.select("doc_id", F.lit(True).alias("rep"))
     own = d.hint("shuffle_merge").join(reps.hint("shuffle_merge"), "doc_id").select("doc_id", "text")
     seen = own.mapInArrow(_emit_anchors, "doc_id long, p long, gram long")
-    twice = seen.groupBy("gram").count().where("count > 1").select("gram")
-    again = seen.join(twice.hint("shuffle_merge"), "gram").groupBy("doc_id").agg(F.collect_list("p").alias("ps"))
-    fragments = own.join(again.hint("shuffle_merge"), "doc_id").mapInArrow(
-        _emit_fragments, "doc_id long, p long, gram long, fragment binary"
+    twice = seen.groupBy("gram").count().where("count > 1")
+    again = (
+        seen.join(twice.hint("shuffle_merge"), "gram")
+        .groupBy("doc_id")
+        .agg(F.collect_list(F.struct("p", "gram", (F.col("count") > HOT).alias("hot"))).alias("x"))
+        .select("doc_id", F.col("x.p").alias("ps"), F.col("x.gram").alias("grams"), F.col("x.hot").alias("hot"))
     )
-    # one row per distinct fragment: its earliest occurrence; all later ones repeat it entirely
-    shape = F.col("p").bitwiseAND(F.lit((1 << 14) - 1)).alias("shape")
-    least = fragments.groupBy("gram", shape, "fragment").agg(F.min(F.struct("doc_id", "p")).alias("at"))
-    least = least.select("gram", "fragment", "at.doc_id", "at.p")
-    hot = least.groupBy("gram").count().where(F.col("count") > HOT).select("gram", F.lit(True).alias("hot"))
-    least = least.join(hot, "gram", "left")
+    around = own.join(again.hint("shuffle_merge"), "doc_id")
+    fragment = "doc_id long, p long, gram long, fragment binary"
     cold = (
-        least.where("hot IS NULL")
-        .select("gram", "doc_id", "p", "fragment")
+        around.select("doc_id", "text", *_where("NOT x.hot")).mapInArrow(_emit_fragments, fragment)
         .repartition("gram")
         .sortWithinPartitions("gram")
         .mapInArrow(_emit_kept, "doc_id long, p long, bits binary")
     )
-    last = F.col("p").bitwiseAND(F.lit(127)).cast("int")
-    windows = least.where("hot").select("doc_id", "p", "fragment", F.explode(F.sequence(F.lit(0), last)).alias("i"))
+    windows = (
+        around.where(F.exists("hot", lambda h: h)).select("doc_id", "text", *_where("x.hot"))
+        .mapInArrow(_emit_fragments, fragment)
+        .select("doc_id", "p", "fragment", F.explode(F.sequence(F.lit(0), F.col("p").bitwiseAND(F.lit(127)).cast("int"))).alias("i"))
+    )
     earliest = windows.groupBy(F.substr("fragment", F.col("i") + 1, F.lit(LENGTH)).alias("window")).agg(
         F.min(F.struct("doc_id", "p", "i")).alias("at")
     )
