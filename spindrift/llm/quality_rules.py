@@ -141,7 +141,8 @@ def judge(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def accepted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that the cascade keeps."""
     rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
-    return judge(rows).where("kept").select("row.*")
+    # a filter would be pushed below the counts, which it would then compute once per use
+    return judge(rows).select(F.explode(F.when(F.col("kept"), F.array("row"))).alias("row")).select("row.*")
 
 
 def quality_query(docs: DataFrame) -> DataFrame:
