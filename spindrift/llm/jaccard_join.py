@@ -265,6 +265,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.col("n_copies").cast("long").alias("n_copies"),
     )
+    info = cut(info)  # the last join then stands alone, and a text with very many copies can be split
     return signed.select("doc_id", "node").join(info, "node").select(
         "doc_id", "node", "class", "class_id", "n_links", "n_copies"
     )
