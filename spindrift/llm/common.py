@@ -33,11 +33,14 @@ def word_count(text: Column) -> Column:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Take the shared folder that the cluster names; only a local run gets one of its own."""
+    """Take the shared folder that the cluster names in ``spark.checkpoint.dir``.  Where it is
+    unset, a local run gets a folder of its own and a cluster one in the shared warehouse."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spindrift-ckpt-"))
+        local = sc.master == "local" or sc.master.startswith("local[")
+        shared = f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+        sc.setCheckpointDir(named or (tempfile.mkdtemp(prefix="spindrift-ckpt-") if local else shared))
 
 
 def cut(df: DataFrame) -> DataFrame:
