@@ -13,10 +13,15 @@ BLOCK = 2048
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write to the checkpoint folder that the cluster names; a local run gets one of its own."""
-    sc = df.sparkSession.sparkContext
+    """Write to the checkpoint folder that the cluster names and go on from there; where none is
+    named, a local run gets one of its own and a cluster one in the shared warehouse."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spindrift-"))
+        local = sc.master == "local" or sc.master.startswith("local[")
+        shared = f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(named or (tempfile.mkdtemp(prefix="spindrift-") if local else shared))
     return df.checkpoint(eager=True)
 
 
