@@ -5,6 +5,7 @@ Patterns and word lists marked as fixed values must be what they are for right r
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -12,6 +13,18 @@ from pyspark.sql import functions as F
 
 # Promotional prefixes of highlights.
 PROMO_PREFIX = r"(?i)^(?:\s*(?:VIDEO|WATCH|NEW\s*:|NEW:|NEW\s*[-–—])\s*)+"
+# Literal tokens that a target text must not start with, what may follow them, and
+# spacing repairs in order.
+TARGET_TOKENS = (
+    "Larry King Live", "VIDEO", "Video", "WATCH", "Watch", "tonight", "Tonight",
+    "NEW:", "NEW :", "NEW -", "NEW –", "NEW —", "NEW --",
+)
+AFTER_TOKEN = " \t:：-–—•|,."
+SPACING = ((" . ", ". "), (" .", "."), (" ,", ","), (" ;", ";"), (" :", ":"), (" )", ")"), ("( ", "("))
+# Markers of a tag format that is no longer used.
+LEGACY_MARKERS = (
+    "[TASK=SUMMARY]", "[TASK=HIGHLIGHT]", "[BODY]", "[/BODY]", "[SUMMARY]", "[/SUMMARY]", "[HIGHLIGHT]", "[/HIGHLIGHT]",
+)
 # What ends a sentence, what separates items, and word candidates.
 SENTENCE_END = r"(?<=[.!?])\s+"
 ITEM_SEPARATOR = r"[,;\n]+"
@@ -290,3 +303,52 @@ def evidence_block(claims: Column) -> Column:
         ),
         "\n\n",
     )
+
+
+def target_text(c: Column) -> Column:
+    """A training target from highlights: lines joined, leading promotional tokens dropped however
+    many there are, spacing before punctuation repaired.
+
+    Dropping a token and what may follow it, again and again, is one anchored repetition: the
+    tokens are alternatives in their order, so the longer forms of NEW can't be cut short.
+    """
+    lines = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "\r\n|\n|\r"), lambda x: F.trim(x)), lambda x: x != "")
+    tokens = "|".join(re.escape(t) for t in TARGET_TOKENS)
+    out = F.regexp_replace(F.array_join(lines, " "), rf"^(?:\s*(?:{tokens})[{re.escape(AFTER_TOKEN)}]*)+", "")
+    for wrong, right in SPACING:
+        out = F.replace(out, F.lit(wrong), F.lit(right))
+    return collapse(out)
+
+
+def has_legacy_tags(c: Column) -> Column:
+    return F.coalesce(c, F.lit("")).rlike("|".join(re.escape(m) for m in LEGACY_MARKERS))
+
+
+def summary_for_metric(c: Column) -> Column:
+    """A summary without tags, special tokens and its label, spaces (wide ones too) collapsed."""
+    t = F.regexp_replace(F.coalesce(c, F.lit("")), r"\[/?SUMMARY\]", " ")
+    t = F.regexp_replace(t, r"<\|.*?\|>", " ")
+    t = F.regexp_replace(t, r"(?i)^\s*(summary|summaries|摘要)\s*[:：]\s*", "")
+    return collapse(F.replace(t, F.lit("\u3000"), F.lit(" ")))
+
+
+def highlight_prompt(article: Column) -> Column:
+    return F.concat(F.lit("Article:\n"), article)
+
+
+def category_prompt(title: Column, body: Column, allowed: Sequence[str]) -> Column:
+    """A prompt that lists what may be answered, then the title and the body."""
+    return F.concat(F.lit("Allowed: " + ", ".join(allowed) + "\nTitle: "), title, F.lit("\nBody: "), body)
+
+
+def prompt_guard(prompt: Column, start: str = "Article:\n") -> Column:
+    """The prompt, or an error if it doesn't start as it must."""
+    return F.when(prompt.startswith(start), prompt).otherwise(F.raise_error(F.concat(F.lit("bad prompt: "), F.left(prompt, F.lit(100)))))
+
+
+def escape_html(c: Column) -> Column:
+    """Text with the five characters that HTML reserves replaced."""
+    out = c
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        out = F.replace(out, F.lit(raw), F.lit(safe))
+    return out

@@ -277,3 +277,82 @@ def loss_token_mean(s, d):
 def terminal_suffix(s, d):
     g = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.col("l_linenumber").cast("int"))).alias("a"))
     return g.select("l_orderkey", S.ends_with(F.col("a"), [2, 3]).alias("ends"))
+
+
+@query("target_text", r"""SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN p_name || '.' WHEN 1 THEN p_name || ', b' ELSE 'News ' || p_name END AS target FROM part""")
+def target_text(s, d):
+    k = F.col("p_size") % 3
+    t = F.when(k == 0, F.concat(F.lit("VIDEO: NEW -- \n tonight "), "p_name", F.lit(" .\n"))).when(k == 1, F.concat(F.lit("Watch| "), "p_name", F.lit(" ,  b")))
+    return table(s, d, "part").select("p_partkey", T.target_text(t.otherwise(F.concat(F.lit("News "), "p_name"))).alias("target"))
+
+
+@query("metric_summary", r"""SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS summary, false AS legacy FROM conversations WHERE text NOT LIKE '%[%'""")
+def metric_summary(s, d):
+    c = table(s, d, "conversations").where("text NOT LIKE '%[%'")
+    t = F.concat(F.lit("[SUMMARY]<|x|> Summary : "), "text", F.lit("\u3000[/SUMMARY]"))
+    return c.select("conv_id", "turn", T.summary_for_metric(t).alias("summary"), T.has_legacy_tags(F.col("text")).alias("legacy"))
+
+
+@query("html_escape", """SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '\'\'', '&#x27;') AS safe FROM pages WHERE html NOT LIKE '%\'\'%'""".replace("\\'\\'", "''"))
+def html_escape(s, d):
+    return table(s, d, "pages").where("html NOT LIKE '%\\'%'").select("page_id", T.escape_html(F.col("html")).alias("safe"))
+
+
+@query("inference_rows", r"""SELECT doc_id, 'highlight' AS task, 'Article:' || chr(10) || text AS prompt FROM documents WHERE len(list_filter(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda w: w <> '')) >= 30 AND source IN ('src1', 'src2', 'src3')
+UNION ALL SELECT doc_id, 'both', 'Allowed: a, b' || chr(10) || 'Title: ' || lang || chr(10) || 'Body: ' || text FROM documents WHERE len(list_filter(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda w: w <> '')) >= 30 AND source IN ('src1', 'src2', 'src3')""")
+def inference_rows(s, d, least=30):
+    """Rows for both generation tasks: allowed sections, a least length (in words here), prompts
+    that pass their guard."""
+    t = table(s, d, "documents").where(F.col("source").isin("src1", "src2", "src3") & (F.size(T.words(F.col("text"))) >= least))
+    one = F.struct(F.lit("highlight").alias("task"), T.prompt_guard(T.highlight_prompt(F.col("text"))).alias("prompt"))
+    two = F.struct(F.lit("both").alias("task"), T.category_prompt(F.col("lang"), F.col("text"), ["a", "b"]).alias("prompt"))
+    return t.select("doc_id", F.explode(F.array(one, two)).alias("r")).select("doc_id", "r.task", "r.prompt")
+
+
+@query("retrieval_status", """SELECT doc_id, CASE WHEN text IS NULL OR length(text) < 300 THEN 'failed_chunk_build' WHEN lang = 'es' THEN 'failed_retrieval' WHEN doc_id % 50 = 3 THEN 'failed_packet_build' ELSE 'ok' END AS status FROM documents""")
+def retrieval_status(s, d):
+    st = F.when(F.col("text").isNull() | (F.length("text") < 300), "failed_chunk_build").when(F.col("lang") == "es", "failed_retrieval")
+    return table(s, d, "documents").select("doc_id", st.when(F.col("doc_id") % 50 == 3, "failed_packet_build").otherwise("ok").alias("status"))
+
+
+@query("retrieval_status_counts", """SELECT status, count(*) AS n FROM (SELECT CASE WHEN text IS NULL OR length(text) < 300 THEN 'failed_chunk_build' WHEN lang = 'es' THEN 'failed_retrieval' WHEN doc_id % 50 = 3 THEN 'failed_packet_build' ELSE 'ok' END AS status FROM documents) GROUP BY 1""")
+def retrieval_status_counts(s, d):
+    return retrieval_status(s, d).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("two_stage_judge", """WITH a AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'PASS' ELSE 'VERIFY' END AS s1 FROM documents WHERE doc_id % 2 = 0), b AS (SELECT doc_id, quality FROM labels)
+SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(s1, 'none') AS stage1, CASE WHEN s1 = 'PASS' THEN 'OK' WHEN b.doc_id IS NULL THEN 'PARSE_FAILED' WHEN quality = 1 THEN 'REVISED' ELSE 'PARSE_FAILED' END AS final_status FROM a FULL JOIN b ON a.doc_id = b.doc_id""")
+def two_stage_judge(s, d):
+    """Stage one passes or routes to stage two; results of both meet and a final status follows."""
+    raw = F.when(F.col("doc_id") % 4 == 0, "pass").otherwise("Please verify\nRoute: both")
+    one = table(s, d, "documents").where("doc_id % 2 = 0").select("doc_id", T.first_round_status(raw).alias("stage1"))
+    two = table(s, d, "labels").select("doc_id", "quality")
+    j = R.assemble_states(one, two, "doc_id", ["stage1"], ["quality"])
+    final = F.when(F.col("stage1") == "PASS", "OK").when(F.col("quality") == 1, "REVISED").otherwise("PARSE_FAILED")
+    return j.select("doc_id", F.coalesce("stage1", F.lit("none")).alias("stage1"), final.alias("final_status"))
+
+
+@query("split_bundle", """WITH x AS (SELECT 'orders' AS src, o_orderkey AS item, o_orderstatus AS split FROM orders UNION ALL SELECT 'part', p_partkey, CASE WHEN p_size % 3 = 0 THEN 'F' ELSE 'O' END FROM part),
+r AS (SELECT *, row_number() OVER (PARTITION BY src, split ORDER BY md5(CASE src WHEN 'orders' THEN '142:' ELSE '243:' END || item), item) AS rn FROM x) SELECT src, split, item FROM r WHERE rn <= 40""")
+def split_bundle(s, d):
+    """Two sources, a seeded take of each split, seeds offset by source."""
+    o = table(s, d, "orders").select(F.lit("orders").alias("src"), F.col("o_orderkey").alias("item"), F.col("o_orderstatus").alias("split"), F.lit("142").alias("seed"))
+    p = table(s, d, "part").select(F.lit("part").alias("src"), F.col("p_partkey").alias("item"), F.when(F.col("p_size") % 3 == 0, "F").otherwise("O").alias("split"), F.lit("243").alias("seed"))
+    order = [F.md5(F.concat_ws(":", "seed", F.col("item").cast("string"))), F.col("item")]
+    return R.top_per_group(o.unionAll(p), ["src", "split"], order, 40).select("src", "split", "item")
+
+
+@query("member_inspection", f"""WITH {curation.CENT} SELECT vec_id, rank, round(sim, 6) AS sim FROM r WHERE label = 3 ORDER BY rank LIMIT 15""")
+def member_inspection(s, d):
+    from spindrift.operators import vectors as W
+
+    r = W.centroid_ranks(curation.emb(s, d), "vec_id", "label", "embedding", curation.DIM).where("label = 3")
+    return r.orderBy("rank").limit(15).select("vec_id", "rank", F.round("sim", 6).alias("sim"))
+
+
+@query("token_lengths")
+def token_lengths(s, d, path="/opt/tokenizers/byte_bpe_50k.json"):
+    from spindrift.functions import tokens
+
+    t = table(s, d, "documents")
+    return t.select("doc_id", tokens.count_tokens(F.col("text"), path).alias("n"), tokens.truncate_tokens(F.col("text"), path, 20).alias("head"))
