@@ -281,6 +281,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     own = d.hint("shuffle_merge").join(reps.hint("shuffle_merge"), "doc_id").select("doc_id", "text")
     seen = own.mapInArrow(_emit_anchors, "doc_id long, p long, gram long")
     twice = seen.groupBy("gram").count().where("count > 1")
+    twice = twice.repartition(F.xxhash64("gram"))  # both sides of the join are then plain exchanges, and hot anchors split
     again = (
         seen.join(twice.hint("shuffle_merge"), "gram")
         .groupBy("doc_id")
