@@ -17,30 +17,29 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import SPACES, words_of
+from spindrift.llm.common import SPACES, cut, words_of
 
 SYMBOLS = "#*$%&|<>"
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects``: SQL over the columns that ``measure`` makes; ``cost``: nominal, if unmeasured."""
+    """``rejects``: SQL over the columns that ``measure`` makes."""
 
     name: str
     rejects: str
-    cost: float = 1.0
 
 
 #: The first two are the contract's base; the others follow published web-corpus filters.
 BASE_RULES = (
     Rule("too_few_words", "n_words < 50"),
-    Rule("repeated_trigrams", "100 * n_repeat_words > 50 * n_words", 8.0),
+    Rule("repeated_trigrams", "100 * n_repeat_words > 50 * n_words"),
 )
 METHOD_RULES = (
-    Rule("symbol_ratio", "10 * n_symbols > n_words", 1.0),
-    Rule("duplicate_lines", "n_lines >= 10 AND 100 * n_dup_lines > 30 * n_lines", 2.0),
-    Rule("mean_word_length", "word_chars < 3 * n_words OR word_chars > 12 * n_words", 1.0),
-    Rule("few_alphabetic_words", "100 * n_alpha_words < 70 * n_words", 4.0),
+    Rule("symbol_ratio", "10 * n_symbols > n_words"),
+    Rule("duplicate_lines", "n_lines >= 10 AND 100 * n_dup_lines > 30 * n_lines"),
+    Rule("mean_word_length", "word_chars < 3 * n_words OR word_chars > 12 * n_words"),
+    Rule("few_alphabetic_words", "100 * n_alpha_words < 70 * n_words"),
 )
 
 
@@ -98,27 +97,25 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def order_rules(
-    docs: DataFrame, rules: tuple[Rule, ...], text_col: str = "text", rows: int = 400, fraction: float = 0.02,
-    timed: bool = False,
+    docs: DataFrame, rules: tuple[Rule, ...], text_col: str = "text", rows: int = 400, fraction: float = 0.02
 ) -> list[Rule]:
     """The rules by rejections per cost, estimated on at most ``rows`` sampled documents.
 
-    ``timed`` measures each rule's cost by running it over the sample; otherwise the nominal costs
-    hold and the order is the same on every run.  Ties and an empty sample keep the given order.
+    Costs are measured: each rule runs alone over the sample, which is written once, and column
+    pruning leaves it only the counts it reads.  Timing noise can change the order, never a
+    verdict.  An empty sample keeps the given order.
     """
-    sample = docs.select(text_col).sample(False, fraction, 17).limit(rows)
+    sample = cut(docs.select(text_col).sample(False, fraction, 17).limit(rows))
     counts = measure(sample, text_col)
-    found = counts.agg(
-        F.count(F.lit(1)).alias("n"), *(F.count_if(F.expr(r.rejects)).alias(r.name) for r in rules)
-    ).first()
-    cost = {r.name: r.cost for r in rules}
-    if timed:
-        for r in rules:
-            began = time.perf_counter()
-            measure(sample, text_col).agg(F.count_if(F.expr(r.rejects))).first()
-            cost[r.name] = max(1e-6, time.perf_counter() - began)
-    seen = max(1, found["n"])
-    return sorted(rules, key=lambda r: -(found[r.name] / seen) / cost[r.name])
+    found = counts.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.expr(r.rejects)).alias(r.name) for r in rules)).first()
+    if not found["n"]:
+        return list(rules)
+    cost = {}
+    for r in rules:
+        began = time.perf_counter()
+        counts.agg(F.count_if(F.expr(r.rejects))).first()
+        cost[r.name] = time.perf_counter() - began
+    return sorted(rules, key=lambda r: -(found[r.name] / found["n"]) / cost[r.name])
 
 
 def cascade(rules: list[Rule]) -> Column:

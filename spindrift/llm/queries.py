@@ -25,5 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op2_decontaminate": decontaminate.ORACLE,
     "op3_quality_rules": quality_rules.ORACLE,
+    "op6_secret_scan": secret_scan.ORACLE,
     "op9_source_mixing": source_mixing.ORACLE,
+    "op10_jaccard_join": jaccard_join.ORACLE,
 }

@@ -157,6 +157,38 @@ def secrets_query(docs: DataFrame) -> DataFrame:
     )
 
 
+def _sql(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+p(k, pat, g, least_) AS (VALUES (0, '{_sql(ASSIGN)}', 2, 8), (1, '{_sql(ACCESS)}', 0, 16), (2, '{_sql(HEX)}', 0, 32), (3, '{_sql(OPAQUE)}', 0, 24)),
+m AS (
+  SELECT rid, k, least_, string_split_regex(t, '{_sql(ASSIGN)}') AS gaps, regexp_extract_all(t, '{_sql(ASSIGN)}') AS whole, regexp_extract_all(t, '{_sql(ASSIGN)}', 2) AS val FROM d, p WHERE k = 0
+  UNION ALL SELECT rid, k, least_, string_split_regex(t, '{_sql(ACCESS)}'), regexp_extract_all(t, '{_sql(ACCESS)}'), regexp_extract_all(t, '{_sql(ACCESS)}') FROM d, p WHERE k = 1
+  UNION ALL SELECT rid, k, least_, string_split_regex(t, '{_sql(HEX)}'), regexp_extract_all(t, '{_sql(HEX)}'), regexp_extract_all(t, '{_sql(HEX)}') FROM d, p WHERE k = 2
+  UNION ALL SELECT rid, k, least_, string_split_regex(t, '{_sql(OPAQUE)}'), regexp_extract_all(t, '{_sql(OPAQUE)}'), regexp_extract_all(t, '{_sql(OPAQUE)}') FROM d, p WHERE k = 3
+),
+e AS (SELECT *, unnest(range(1, len(whole) + 1)) AS i FROM m WHERE len(whole) > 0),
+s AS (
+  SELECT rid, k, val[i] AS v, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(whole[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a, length(whole[i]) AS n
+  FROM e WHERE length(val[i]) >= least_
+),
+b AS (SELECT * FROM s WHERE k < 3),
+x AS (SELECT * FROM s WHERE k = 3 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND NOT EXISTS (SELECT 1 FROM b WHERE b.rid = s.rid AND b.a < s.a + s.n AND s.a < b.a + b.n)),
+c AS (SELECT * FROM b UNION ALL SELECT * FROM x),
+live AS (SELECT v FROM c JOIN d USING (rid) GROUP BY v HAVING count(DISTINCT doc_id) <= 8 AND count(DISTINCT source) <= 2),
+kept AS (SELECT * FROM b UNION ALL SELECT * FROM x WHERE v IN (SELECT v FROM live)),
+names(k, name) AS (VALUES (0, 'assign'), (1, 'access'), (2, 'hex'), (3, 'opaque'))
+SELECT doc_id, (SELECT count(*) FROM b WHERE b.rid = d.rid AND k = 0) AS n_assign, (SELECT count(*) FROM b WHERE b.rid = d.rid AND k = 1) AS n_access, (SELECT count(*) FROM b WHERE b.rid = d.rid AND k = 2) AS n_hex,
+  sha256(coalesce((SELECT string_agg(name || ':' || a || ':' || (a + n), ',' ORDER BY a, k) FROM b JOIN names USING (k) WHERE b.rid = d.rid), '')) AS base_sha256,
+  coalesce((SELECT string_agg(name || ':' || a || ':' || (a + n), ',' ORDER BY a, k) FROM kept JOIN names USING (k) WHERE kept.rid = d.rid), '') AS spans,
+  (SELECT count(DISTINCT v) FROM c WHERE c.rid = d.rid AND v IN (SELECT v FROM live)) AS n_live
+FROM d
+"""
+
+
 def brute_force(texts: list[str | None]) -> list[list[tuple[int, int, int, str]]]:
     """Base spans by Python's ``re``, for tests: (start, kind, end, value), sorted."""
     out = []

@@ -39,9 +39,7 @@ def test_rule_order_follows_rejections_per_cost(spark):
     docs = spark.createDataFrame([(1, "### " * 60)] * 3, "doc_id long, text string")
     rules = quality_rules.order_rules(docs, quality_rules.METHOD_RULES, fraction=1.0)
     assert {r.name for r in rules} == {r.name for r in quality_rules.METHOD_RULES}
-    assert rules[0].name == "symbol_ratio"
-    timed = quality_rules.order_rules(docs, quality_rules.METHOD_RULES, fraction=1.0, timed=True)
-    assert {r.name for r in timed} == {r.name for r in rules}
+    assert {r.name for r in rules[:2]} == {"symbol_ratio", "few_alphabetic_words"}  # the two that reject these
 
 
 def test_urls(spark):
