@@ -47,3 +47,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there, with no lineage."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def apart(df: DataFrame, key: str) -> DataFrame:
+    """Deal an aggregate by another hash than its key's.  A join on the key then has a plain
+    exchange on both sides, so that a hot key can be split at run time."""
+    return df.repartition(F.xxhash64(F.lit(1), key))

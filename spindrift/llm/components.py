@@ -2,8 +2,8 @@
 
 Each round every node links its larger neighbours, then its smaller ones, to the least node it
 sees; the table of links never grows beyond its first size and settles in a few rounds.  A node
-with very many neighbours is only ever aggregated with a map-side minimum and joined by key, so
-it may be split by the engine.
+with very many neighbours is only ever aggregated with a map-side minimum and joined in a way
+that lets the engine split it.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import cut
+from spindrift.llm.common import apart, cut
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 30) -> DataFrame:
@@ -25,9 +25,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 30) -
     for _ in range(rounds):
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.where("b > a").join(apart(low, "a"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
+        small = large.join(apart(low, "a"), "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(
             small.select("a", F.col("m").alias("b"))
         )

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.llm import textbytes as tb
-from spindrift.llm.common import cut
+from spindrift.llm.common import apart, cut
 from spindrift.llm.components import components
 
 SHINGLE = 5
@@ -114,7 +114,7 @@ def candidate_groups(nodes: DataFrame, depth: int) -> DataFrame:
         ).alias("bucket"),
     )
     buckets = rows.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("c")).where("c > 1")
-    links = rows.join(buckets, "bucket").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    links = rows.join(apart(buckets, "bucket"), "bucket").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     return components(links)
 
 

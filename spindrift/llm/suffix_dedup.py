@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.llm import textbytes as tb
+from spindrift.llm.common import apart
 
 LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1  # gram starts in a window
@@ -281,9 +282,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     own = d.hint("shuffle_merge").join(reps.hint("shuffle_merge"), "doc_id").select("doc_id", "text")
     seen = own.mapInArrow(_emit_anchors, "doc_id long, p long, gram long")
     twice = seen.groupBy("gram").count().where("count > 1")
-    twice = twice.repartition(F.xxhash64("gram"))  # both sides of the join are then plain exchanges, and hot anchors split
     again = (
-        seen.join(twice.hint("shuffle_merge"), "gram")
+        seen.join(apart(twice, "gram").hint("shuffle_merge"), "gram")
         .groupBy("doc_id")
         .agg(F.collect_list(F.struct("p", "gram", (F.col("count") > HOT).alias("hot"))).alias("x"))
         .select("doc_id", F.col("x.p").alias("ps"), F.col("x.gram").alias("grams"), F.col("x.hot").alias("hot"))
