@@ -10,30 +10,36 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spindrift.llm import decontaminate, jaccard_join, quality_rules, sharding, source_mixing
 from spindrift.llm.common import cut, read
+from spindrift.shipping import ship
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
+    ship(spark)
     return quality_rules.accepted(docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays."""
+    ship(spark)
     return jaccard_join.one_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are contaminated by the benchmark go."""
+    ship(spark)
     return decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are mixed to their target weights: a document comes as often as it is taken."""
+    ship(spark)
     return source_mixing.mixed(docs)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The manifest of the shards: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
+    ship(spark)
     return sharding.sharding_query(docs)
 
 
