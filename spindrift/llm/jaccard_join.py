@@ -284,8 +284,9 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def jaccard_query(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, n_links and n_copies of every document."""
-    return join(docs.select("doc_id", "text")).select("doc_id", "class_id", "n_links", "n_copies")
+    """doc_id, class_id, n_links and n_copies of every document (a null doc_id is null again)."""
+    own = lambda c: F.when(F.col(c) < (1 << 63) - 1, F.col(c)).alias(c)
+    return join(docs.select("doc_id", "text")).select(own("doc_id"), own("class_id"), "n_links", "n_copies")
 
 
 #: All pairs by shared shingles; the join's own misses are too unlikely to show here.

@@ -228,9 +228,8 @@ def test_language_held_out(spark):
 
 def test_jaccard(spark, edge, edge_rows, empty):
     rows = sorted(edge_rows, key=lambda x: (x[0] is None, x[0] or 0))
-    far = (1 << 63) - 1
     want = jaccard_join.brute_force([x[1] for x in rows])
-    ids = [far if x[0] is None else x[0] for x in rows]
+    ids = [x[0] for x in rows]
     got = jaccard_join.jaccard_query(edge).collect()
     assert Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in got) == Counter((i, ids[c], n) for i, (c, n) in zip(ids, want, strict=True))
     assert jaccard_join.jaccard_query(empty).count() == 0
