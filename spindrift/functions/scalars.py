@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import uuid
 from collections.abc import Sequence
 
@@ -69,14 +70,19 @@ def sample_size_log(size: Column, base: float, cap: int) -> Column:
     return F.least(F.lit(1) + F.floor(F.ln(size) / F.ln(F.lit(float(base)))), F.lit(cap), size).cast("long")
 
 
-def rank_weight(rank: Column, total: Column, base: float = 1.0, alpha: float = 0.3, power: float = 1.0) -> Column:
-    """base * (1 + alpha * ((rank - 1) / (total - 1)) ** power); the first of one weighs base."""
-    frac = F.when(total > 1, (rank - 1) / (total - 1)).otherwise(F.lit(0.0))
-    return F.lit(base) * (1 + F.lit(alpha) * F.pow(frac, F.lit(power)))
+def rank_weight(
+    rank: Column, total: Column, base: float = 1.2, alpha: float = 0.3, power: float = 1.0, only: float = 1.3
+) -> Column:
+    """base * (1 + alpha * ((rank - 1) / (total - 1)) ** power); a label alone weighs ``only``."""
+    frac = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (rank - 1) / F.greatest(total - 1, F.lit(1))))
+    return F.when(total == 1, F.lit(only)).otherwise(F.lit(base) * (1 + F.lit(alpha) * F.pow(frac, F.lit(power))))
 
 
-def token_weight(budget: Column, count: Column, gamma: float) -> Column:
-    return budget / F.pow(F.greatest(count, F.lit(1)), F.lit(gamma))
+def token_weight(budget: Column, count: Column, mode: str = "affine", alpha: float = 0.5, gamma: float = 0.5) -> Column:
+    """A group's budget per token: divided by the count (strict), 1 + alpha * (count - 1) (affine)
+    or count ** gamma (power)."""
+    divisors = {"strict": count, "affine": 1 + F.lit(alpha) * (count - 1), "power": F.pow(count, F.lit(gamma))}
+    return budget / divisors[mode]
 
 
 def idf_weight(n_docs: Column, df: Column, scale: float, cap: float) -> Column:
@@ -88,11 +94,14 @@ def dot(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, v: s + v)
 
 
-def binned_schedule(progress: Column, start: float, end: float, anchor: float, bin_width: float) -> Column:
-    """A line from start to end over [0, anchor] in equal bins, the last of which is the end."""
-    bins = max(2, round(1 / bin_width))
-    place = F.least(F.floor(progress / F.lit(anchor) * bins), F.lit(bins - 1))
-    return F.when(progress >= anchor, F.lit(end)).otherwise(F.lit(start) + (F.lit(end) - F.lit(start)) * place / (bins - 1))
+def binned_schedule(progress: Column, first: float, last: float, begin: float, anchor: float, bin_width: float) -> Column:
+    """A line from ``first`` to ``last`` between two points of progress, in bins; flat outside."""
+    bins = max(1, math.ceil(1.0 / bin_width))
+    if bins == 1 or abs(anchor - begin) <= 1e-12:
+        return F.when(progress <= begin, F.lit(first)).otherwise(F.lit(last)) if bins == 1 else F.lit(last)
+    place = F.least(F.floor((progress - begin) / F.lit(anchor - begin) / F.lit(bin_width)), F.lit(bins - 1))
+    line = F.lit(first) + F.lit(last - first) * place / F.lit(bins - 1)
+    return F.when(progress <= begin, F.lit(first)).when(progress >= anchor, F.lit(last)).otherwise(line)
 
 
 def ends_with(a: Column, suffix: Sequence[int]) -> Column:
@@ -143,14 +152,3 @@ def item_scores(gold: Column, predicted: Column) -> Column:
     f1 = F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(0.0)
     exact = (hits == F.size(g)) & (hits == F.size(p))
     return F.struct(prec.alias("precision"), rec.alias("recall"), f1.alias("f1"), exact.alias("exact"))
-
-
-def quota_error(message: Column) -> Column:
-    """hard, quota, retry or other, by what an error message says."""
-    m = F.lower(F.coalesce(message, F.lit("")))
-    return (
-        F.when(m.rlike("insufficient_quota|billing|exceeded your current quota"), "hard")
-        .when(m.rlike("429|rate limit|quota|resource exhausted"), "quota")
-        .when(m.rlike("timeout|temporarily|503|connection"), "retry")
-        .otherwise("other")
-    )

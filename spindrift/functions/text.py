@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# White space as text tools see it: Java's \\s alone misses the no-break and wide spaces.
+WHITE = r"(?U:[\s\x1c-\x1f])"
 # Promotional prefixes of highlights.
 PROMO_PREFIX = r"(?i)^(?:\s*(?:VIDEO|WATCH|NEW\s*:|NEW:|NEW\s*[-–—])\s*)+"
 # Literal tokens that a target text must not start with, what may follow them, and
@@ -31,12 +33,17 @@ ITEM_SEPARATOR = r"[,;\n]+"
 KEYWORD_SEPARATOR = r"[,;|]\s*"
 WIDE_SEPARATOR = "[,，;；\n\t]+"
 WORD_CANDIDATE = r"[A-Za-z0-9]+(?:[&'./-][A-Za-z0-9]+)*"
-MINUTE_MARKER = r"^(\d{1,3}(?:\+\d{1,2})?\s*(?:min|mins|'))"
+MINUTE = r"\d{1,3}(?:\+\d+)?\s*mins?:|\d{1,3}\s*min(?:\s*\+\d+)?"
+
+
+def strip(c: Column) -> Column:
+    """Without white space at the ends, Unicode's included; null stays null."""
+    return F.regexp_replace(c, rf"^{WHITE}+|{WHITE}+$", "")
 
 
 def collapse(c: Column) -> Column:
-    """Whitespace runs to one space, ends trimmed; null stays null."""
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    """White-space runs (Unicode's included) to one space, ends trimmed; null stays null."""
+    return F.trim(F.regexp_replace(c, f"{WHITE}+", " "))
 
 
 def clean_highlights(c: Column) -> Column:
@@ -47,7 +54,7 @@ def clean_highlights(c: Column) -> Column:
 
 def words(c: Column) -> Column:
     """Whitespace-separated words; a null or blank text has none."""
-    return F.filter(F.split(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")), " "), lambda w: w != "")
+    return F.filter(F.split(collapse(F.coalesce(c, F.lit(""))), " "), lambda w: w != "")
 
 
 def word_slice(c: Column, start: int, end: int) -> Column:
@@ -63,7 +70,9 @@ def first_words(c: Column, n: int) -> Column:
 
 
 def head_words(c: Column, ratio: float) -> Column:
-    """The first fraction of the words, rounded up, at least one if there is any."""
+    """The first fraction of the words, rounded up, at least one; none for a ratio of 0."""
+    if ratio <= 0:
+        return F.lit("")
     w = words(c)
     n = F.least(F.size(w), F.greatest(F.lit(1), F.ceil(F.size(w) * F.lit(ratio)).cast("int")))
     return F.array_join(F.slice(w, F.lit(1), n), " ")
@@ -71,6 +80,8 @@ def head_words(c: Column, ratio: float) -> Column:
 
 def tail_words(c: Column, ratio: float) -> Column:
     """The last fraction of the words."""
+    if ratio <= 0:
+        return F.lit("")
     w = words(c)
     n = F.least(F.size(w), F.greatest(F.lit(1), F.ceil(F.size(w) * F.lit(ratio)).cast("int")))
     return F.array_join(F.slice(w, F.greatest(F.size(w) - n + 1, F.lit(1)), n), " ")
@@ -121,7 +132,7 @@ def split_keywords(c: Column) -> Column:
 
 
 def split_items(c: Column, pattern: str = ITEM_SEPARATOR) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), pattern), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), pattern), strip), lambda x: x != "")
 
 
 def join_items(c: Column) -> Column:
@@ -129,19 +140,13 @@ def join_items(c: Column) -> Column:
 
 
 def normalize_combination(c: Column) -> Column:
-    """Lower case, single spaces, ``, `` and `` | `` as the only forms of the separators."""
+    """Lower case, single spaces, ``, `` and ``; `` and ``|`` as the only forms of separators."""
     x = F.lower(collapse(c))
-    x = F.regexp_replace(x, r"\s*,\s*", ", ")
-    return F.regexp_replace(x, r"\s*\|\s*", " | ")
-
-
-def strip_special_tokens(c: Column, with_space: bool = False) -> Column:
-    return F.trim(F.regexp_replace(c, r"<\|[^|]*\|>", " " if with_space else ""))
+    for mark, form in ((",", ", "), (";", "; "), (r"\|", "|")):
+        x = F.regexp_replace(x, rf"\s*{mark}\s*", form)
+    return x
 
 
-def strip_thinking(c: Column) -> Column:
-    """Text without its think blocks and stray think tags."""
-    return F.trim(F.regexp_replace(F.regexp_replace(c, r"(?is)<think>.*?</think>", ""), r"(?i)</?think>", ""))
 
 
 def strip_highlight_prefix(c: Column) -> Column:
@@ -154,31 +159,35 @@ def comparable(c: Column) -> Column:
 
 
 def claim_sentences(c: Column) -> Column:
-    """Sentences of a highlight; whitespace collapsed first."""
-    return F.filter(F.split(collapse(strip_highlight_prefix(F.coalesce(c, F.lit("")))), SENTENCE_END), lambda x: x != "")
+    """Sentences of a highlight, its label dropped, white space inside them kept."""
+    t = F.regexp_replace(strip(F.coalesce(c, F.lit(""))), r"(?i)^highlight:", "")
+    return F.filter(F.transform(F.split(strip(t), SENTENCE_END), strip), lambda x: x != "")
 
 
 def article_sentences(c: Column, least_words: int = 3) -> Column:
-    """Sentences of an article of ``least_words`` words or more; minute markers start one."""
-    marked = F.regexp_replace(collapse(F.coalesce(c, F.lit(""))), r" (\d{1,3}(?:\+\d{1,2})? ?(?:min|mins|')\b)", "\n$1")
-    pieces = F.flatten(F.transform(F.split(marked, "\n"), lambda x: F.split(F.trim(x), SENTENCE_END)))
-    return F.filter(pieces, lambda x: F.size(F.split(F.trim(x), " ")) >= least_words)
+    """Sentences of an article of ``least_words`` words or more, white space collapsed; a minute
+    marker starts a new one."""
+    blocks = F.split(F.regexp_replace(collapse(F.coalesce(c, F.lit(""))), rf"(?i)\s+(?={MINUTE})", "\n"), "\n")
+    pieces = F.flatten(F.transform(blocks, lambda x: F.split(F.trim(x), SENTENCE_END)))
+    return F.filter(F.transform(pieces, lambda x: F.trim(x)), lambda x: F.size(F.split(x, " ")) >= least_words)
 
 
 def minute_marker(c: Column) -> Column:
     """The minute marker at the start of a sentence, or the empty string."""
-    return F.regexp_extract(c, MINUTE_MARKER, 1)
+    return F.regexp_extract(strip(c), rf"(?i)^({MINUTE})", 1)
 
 
-def highlight_format_ok(c: Column) -> Column:
-    return F.lower(F.ltrim(c)).startswith("highlight:")
+def repetition(c: Column) -> Column:
+    """Struct (trigram, fourgram): some 3 words in a row stand thrice, some 4 twice."""
+    w = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"(?U:\w+)"), F.lit(0))
 
+    def often(n: int, times: int) -> Column:
+        sorted_grams = F.sort_array(ngrams(w, n))
+        size = F.greatest(F.size(sorted_grams) - (times - 1), F.lit(0))
+        pairs = F.zip_with(F.slice(sorted_grams, F.lit(1), size), F.slice(sorted_grams, F.lit(times), size), lambda a, b: a == b)
+        return F.exists(pairs, lambda x: x)
 
-def both_format(c: Column) -> Column:
-    """Struct (has_categories, has_keywords, in_order) of a two-field answer."""
-    low = F.lower(c)
-    a, b = F.instr(low, "categories:"), F.instr(low, "keywords:")
-    return F.struct((a > 0).alias("has_categories"), (b > 0).alias("has_keywords"), ((a > 0) & (b > a)).alias("in_order"))
+    return F.struct(often(3, 3).alias("trigram"), often(4, 2).alias("fourgram"))
 
 
 def ngrams(tokens: Column, n: int) -> Column:
@@ -195,45 +204,9 @@ def payload(c: Column, field: str, following: str | None = None) -> Column:
     return F.trim(F.regexp_extract(c, rf"(?is){field}\s*:\s*(.*?)\s*{tail}", 1))
 
 
-def first_round_status(c: Column) -> Column:
-    """PASS or VERIFY from a verdict's letters; VERIFY beats PASS and is the default."""
-    letters = F.regexp_replace(F.upper(F.coalesce(c, F.lit(""))), "[^A-Z]", "")
-    return F.when(letters.contains("VERIFY"), "VERIFY").when(letters.contains("PASS"), "PASS").otherwise("VERIFY")
-
-
-def stage_one(c: Column) -> Column:
-    """Struct (status, route, ok): PASS short-circuits; VERIFY needs a known route line."""
-    text = strip_thinking(F.coalesce(c, F.lit("")))
-    head = F.upper(F.regexp_extract(text, r"(?im)^\s*(?:status\s*:\s*)?(PASS|VERIFY)\b", 1))
-    route = F.lower(F.regexp_extract(text, r"(?im)^\s*route\s*:\s*(category|keywords|both)\b", 1))
-    ok = (head == "PASS") | ((head == "VERIFY") & (route != ""))
-    return F.struct(
-        F.when(head == "PASS", "PASS").otherwise("VERIFY").alias("status"),
-        F.when(head == "PASS", "none").when(route != "", route).otherwise("both").alias("route"),
-        ok.alias("ok"),
-    )
-
-
-def prefixed_line(c: Column, prefix: str) -> Column:
-    """The rest of the first line that starts with ``prefix:``, else null."""
-    lines = F.filter(F.split(F.coalesce(c, F.lit("")), "\n"), lambda x: F.lower(F.ltrim(x)).startswith(prefix.lower() + ":"))
-    return F.trim(F.regexp_replace(F.get(lines, 0), rf"(?i)^\s*{prefix}\s*:", ""))
 
 
-def final_answer(c: Column) -> Column:
-    """Struct (answer, note) of a second-round answer."""
-    text = strip_thinking(F.coalesce(c, F.lit("")))
-    line = prefixed_line(text, "final")
-    return F.struct(
-        F.when(line.isNotNull() & (line != ""), line).when(text != "", text).otherwise(F.lit("")).alias("answer"),
-        F.when(text == "", "empty").when(line.isNull(), "no_prefix").when(line == "", "empty_answer").otherwise("ok").alias("note"),
-    )
-
 
-def allowed_categories(c: Column, allowed: Sequence[str]) -> Column:
-    """Items of an answer that are allowed, in order, once each."""
-    known = F.array(*map(F.lit, allowed))
-    return F.array_distinct(F.filter(split_items(c), lambda x: F.array_contains(known, x)))
 
 
 def cycling_join(items: Column, separators: Sequence[str]) -> Column:
@@ -248,10 +221,10 @@ def cycling_join(items: Column, separators: Sequence[str]) -> Column:
 def normalize_keyword_field(c: Column) -> Column:
     """A keyword field that may be a JSON array, ``{a,b}`` array text or comma-separated text."""
     t = F.trim(F.coalesce(c, F.lit("")))
-    as_json = F.from_json(t, "array<string>")
-    braces = F.split(F.regexp_replace(t, r'^\{|\}$|"', ""), ",")
-    raw = F.when(t.startswith("["), F.coalesce(as_json, F.array().cast("array<string>"))).when(t.startswith("{"), braces).otherwise(F.split(t, ","))
-    return F.filter(F.transform(raw, lambda x: F.trim(x)), lambda x: x != "")
+    as_json = F.when(t.startswith("["), F.from_json(t, "array<string>"))
+    inner = F.when(t.startswith("{") & t.endswith("}"), F.regexp_replace(t, r"^\{|\}$", "")).otherwise(t)
+    parts = F.transform(F.split(inner, ","), lambda x: F.regexp_replace(strip(x), r'^"+|"+$', ""))
+    return F.filter(F.coalesce(F.transform(as_json, strip), parts), lambda x: x != "")
 
 
 def short_date(c: Column) -> Column:
@@ -272,38 +245,23 @@ def word_candidates(c: Column) -> Column:
 
 
 def canonical_item(c: Column) -> Column:
-    return F.lower(collapse(c))
+    """What makes two items the same: lower case, without quotes and brackets around them."""
+    return F.lower(collapse(F.regexp_replace(collapse(c), r"^[\"'\[\](){}]+|[\"'\[\](){}]+$", "")))
 
 
 def payload_items(c: Column) -> Column:
-    """Items of a payload, wide separators included, canonical and once each."""
-    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), WIDE_SEPARATOR), canonical_item), lambda x: x != ""))
+    """Items of a payload, wide separators included; the first spelling of each stays."""
+    parts = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), WIDE_SEPARATOR), collapse), lambda x: canonical_item(x) != "")
+    keys = F.transform(parts, canonical_item)
+    return F.filter(parts, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1)
 
 
-def labels_from_answer(c: Column) -> Column:
-    """Labels of a ``categories:`` answer, split at comma, bar and semicolon."""
-    body = F.regexp_extract(F.coalesce(c, F.lit("")), r"(?is)categories\s*:\s*([^\n]*)", 1)
-    return F.filter(F.transform(F.split(body, r"[,|;]"), lambda x: F.trim(x)), lambda x: x != "")
-
 
 def first_text(*columns: Column) -> Column:
     """The first value that isn't blank, trimmed of spaces; else the empty string."""
     return F.coalesce(*(F.nullif(F.trim(c), F.lit("")) for c in columns), F.lit(""))
 
 
-def evidence_block(claims: Column) -> Column:
-    """Claims with their evidence (array of struct(claim, evidence array)) as one text."""
-    return F.array_join(
-        F.transform(
-            claims,
-            lambda c, i: F.concat(
-                F.lit("Claim "), (i + 1).cast("string"), F.lit(": "), c["claim"], F.lit("\n"),
-                F.array_join(F.transform(c["evidence"], lambda e, k: F.concat(F.lit("- ["), (k + 1).cast("string"), F.lit("] "), e)), "\n"),
-            ),
-        ),
-        "\n\n",
-    )
-
 
 def target_text(c: Column) -> Column:
     """A training target from highlights: lines joined, leading promotional tokens dropped however

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,19 +12,27 @@ from pyspark.sql import functions as F
 from spindrift.functions import text as T
 
 
-def sentence_chunks(articles: DataFrame, id_col: str, text_col: str, overlap: float = 0.2) -> DataFrame:
-    """One chunk per sentence with the tail of the one before and the head of the one after."""
-    s = articles.select(id_col, T.article_sentences(F.col(text_col)).alias("ss"))
-    c = s.select(id_col, "ss", F.posexplode("ss").alias("i", "sentence"))
-    before, after = F.get("ss", F.col("i") - 1), F.get("ss", F.col("i") + 1)
-    parts = F.array_compact(F.array(F.when(before.isNotNull(), T.tail_words(before, overlap)), F.col("sentence"), F.when(after.isNotNull(), T.head_words(after, overlap))))
+def sentence_chunks(articles: DataFrame, id_col: str, text_col: str, overlap: float = 0.0) -> DataFrame:
+    """One chunk per sentence, searched with the tail of the one before and the head of the one
+    after (``overlap`` of their words), and where it stands in the raw text."""
+    s = articles.select(id_col, text_col, T.article_sentences(F.col(text_col)).alias("ss"))
+    s = s.withColumn("spans", char_spans(F.coalesce(F.col(text_col), F.lit("")), F.col("ss")))
+    c = s.select(id_col, "ss", "spans", F.posexplode("ss").alias("i", "sentence"))
+    around = lambda k, f: neighbour_part(F.get("ss", F.col("i") + k), f, overlap)
+    parts = F.filter(F.array(around(-1, T.tail_words), F.col("sentence"), around(1, T.head_words)), lambda x: x != "")
     return c.select(
-        id_col, F.concat(F.col(id_col).cast("string"), F.lit("#"), F.col("i").cast("string")).alias("chunk_id"),
+        id_col, F.concat(F.col(id_col).cast("string"), F.lit("::sent::"), F.col("i").cast("string")).alias("chunk_id"),
         F.col("i").cast("long").alias("sentence_id"), F.col("sentence").alias("chunk_text"), F.array_join(parts, " ").alias("search_text"),
-        T.minute_marker(F.col("sentence")).alias("minute_marker"),
+        F.get("spans", F.col("i"))["start"].alias("start_char"), F.get("spans", F.col("i"))["end"].alias("end_char"),
+        T.minute_marker(F.col("sentence")).alias("minute_marker"), F.lit(overlap).alias("overlap_ratio"),
     )
 
 
+def neighbour_part(sentence: Column, part: Callable[[Column, float], Column], ratio: float) -> Column:
+    """A fraction of a neighbouring sentence, empty where there is none."""
+    return F.when(sentence.isNotNull(), part(sentence, ratio)).otherwise(F.lit(""))
+
+
 def char_spans(text: Column, sentences: Column) -> Column:
     """Where each sentence stands in the raw text, searched onwards from the last one found; not
     found is (-1, -1) and leaves the cursor."""

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from spindrift.functions import parsing as P
 from spindrift.functions import scalars as S
-from spindrift.functions import text as T
 from spindrift.operators import features as X
 from spindrift.operators import relational as R
 from spindrift.operators import retrieval as Q
@@ -191,8 +191,8 @@ def quality_states(s, d):
 @query("stage_one_routes", """SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'PASS' ELSE 'VERIFY' END AS status, CASE p_size % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'category' WHEN 2 THEN 'both' ELSE 'both' END AS route, p_size % 4 <> 2 AS ok FROM part""")
 def stage_one(s, d):
     k = F.col("p_size") % 4
-    raw = F.when(k == 0, "<think>x\ny</think>PASS").when(k == 1, "Status: verify\nRoute: Category").when(k == 2, "VERIFY\nno route").otherwise("verify\n route : both")
-    return table(s, d, "part").select("p_partkey", T.stage_one(raw).alias("r")).select("p_partkey", "r.status", "r.route", "r.ok")
+    raw = F.when(k == 0, "<think>x\ny</think>PASS").when(k == 1, "verify\nRoute: Category").when(k == 2, "VERIFY\nno route").otherwise("verify\n route : both")
+    return table(s, d, "part").select("p_partkey", P.stage_one(raw).alias("r")).select("p_partkey", "r.status", "r.route", "r.ok")
 
 
 @query("neighbour_context", r"""WITH t AS (SELECT conv_id, turn, text FROM conversations) SELECT conv_id, turn, coalesce(left(lag(text) OVER w, 15), '') AS before, coalesce(left(lead(text) OVER w, 15), '') AS after FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
@@ -269,18 +269,17 @@ def evidence_packets(s, d):
     return p.select("q", F.array_join(text, ";").alias("packet"))
 
 
-@query("sentence_chunks", r"""WITH c AS (SELECT doc_id, string_split(regexp_replace(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), '([.!?]) ', '\1' || chr(1), 'g'), chr(1)) AS ss FROM documents WHERE NOT regexp_matches(text, '\d ?(min|'')')),
+@query("sentence_chunks", r"""WITH c AS (SELECT doc_id, string_split(regexp_replace(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), '([.!?]) ', '\1' || chr(1), 'g'), chr(1)) AS ss FROM documents WHERE NOT regexp_matches(text, '(?i)\d\s*min')),
 f AS (SELECT doc_id, list_filter(ss, lambda x: len(string_split(trim(x), ' ')) >= 3) AS ss FROM c)
-SELECT doc_id, doc_id || '#' || i AS chunk_id, ss[i + 1] AS chunk_text FROM (SELECT doc_id, ss, unnest(range(0, len(ss))) AS i FROM f)""")
+SELECT doc_id, doc_id || '::sent::' || i AS chunk_id, ss[i + 1] AS chunk_text FROM (SELECT doc_id, ss, unnest(range(0, len(ss))) AS i FROM f)""")
 def sentence_chunks(s, d):
-    t = table(s, d, "documents").where(~F.col("text").rlike(r"\d ?(min|')"))
+    t = table(s, d, "documents").where(~F.col("text").rlike(r"(?i)\d\s*min"))
     return Q.sentence_chunks(t, "doc_id", "text").select("doc_id", "chunk_id", "chunk_text")
 
 
 @query("chunk_spans")
 def chunk_spans(s, d):
-    t = table(s, d, "documents").select("doc_id", "text", T.article_sentences(F.col("text")).alias("ss"))
-    return t.select("doc_id", F.posexplode(Q.char_spans(F.col("text"), F.col("ss"))).alias("i", "span")).select("doc_id", "i", "span.start", "span.end")
+    return Q.sentence_chunks(table(s, d, "documents"), "doc_id", "text", 0.1).select("doc_id", "sentence_id", "search_text", "start_char", "end_char")
 
 
 @query("late_interaction")
@@ -365,8 +364,8 @@ def null_filled_union(s, d):
     return a.unionByName(b, allowMissingColumns=True).select("doc_id", "task", F.coalesce("tokens", F.lit(-1)).alias("tokens"), F.coalesce("note", F.lit("")).alias("note"))
 
 
-@query("error_classes", """SELECT event_id, CASE event_type WHEN 'error' THEN 'hard' WHEN 'click' THEN 'quota' WHEN 'view' THEN 'retry' ELSE 'other' END AS class FROM events""")
+@query("error_classes", """SELECT event_id, CASE event_type WHEN 'error' THEN 'hard_quota' WHEN 'click' THEN 'quota' WHEN 'view' THEN 'transient' ELSE 'other' END AS class FROM events""")
 def error_classes(s, d):
     t = F.col("event_type")
-    msg = F.when(t == "error", "You exceeded your current quota").when(t == "click", "HTTP 429 Too many").when(t == "view", "Connection timeout").otherwise("no")
-    return table(s, d, "events").select("event_id", S.quota_error(msg).alias("class"))
+    msg = F.when(t == "error", "code RESOURCE_EXHAUSTED").when(t == "click", "HTTP 429 Too many").when(t == "view", "Connection reset").otherwise("no")
+    return table(s, d, "events").select("event_id", P.error_class(msg).alias("class"))
\ No newline at end of file

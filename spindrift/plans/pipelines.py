@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from spindrift.functions import parsing
 from spindrift.functions import scalars as S
 from spindrift.functions import text as T
 from spindrift.operators import coverage as C
@@ -191,33 +192,48 @@ def position_alignment(s, d):
     return p.agg(F.count("*").alias("rows"), F.count_if((F.col("pos") < 0) | (F.col("pos") >= 2000)).alias("out_of_range"), (F.count("*") - F.count_distinct("pos")).alias("repeated"))
 
 
-@query("both_format_checks", """SELECT p_partkey, contains(lower(t), 'categories:') AS has_categories, contains(lower(t), 'keywords:') AS has_keywords, contains(lower(t), 'categories:') AND instr(lower(t), 'keywords:') > instr(lower(t), 'categories:') AS in_order
-FROM (SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'Categories: a' || chr(10) || 'Keywords: b' WHEN 1 THEN 'Keywords: b Categories: a' ELSE 'Keywords: b' END AS t FROM part)""")
+@query("both_format_checks", """SELECT p_partkey, c AND k AND i AS format_ok, c AS has_categories, k AS has_keywords, c AND k AND i AS order_ok, contains(t, ';') AS has_semicolon, false AS has_special_token
+FROM (SELECT p_partkey, t, contains(t, 'categories:') AS c, contains(t, 'keywords:') AS k, instr(t, 'keywords:') > instr(t, 'categories:') AS i
+FROM (SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'categories: a;b' || chr(10) || 'keywords: b' WHEN 1 THEN 'keywords: b categories: a' ELSE 'keywords: b' END AS t FROM part))""")
 def both_format_checks(s, d):
     k = F.col("p_size") % 3
-    t = F.when(k == 0, "Categories: a\nKeywords: b").when(k == 1, "Keywords: b Categories: a").otherwise("Keywords: b")
-    return table(s, d, "part").select("p_partkey", T.both_format(t).alias("f")).select("p_partkey", "f.*")
+    t = F.when(k == 0, "Categories: a;b\nKeywords: b").when(k == 1, "Keywords: b Categories: a").otherwise("Keywords: b")
+    return table(s, d, "part").select("p_partkey", parsing.both_output(t).alias("f")).select("p_partkey", "f.*")
 
 
-@query("final_answers", """SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN p_name WHEN 1 THEN 'raw ' || p_name ELSE '' END AS answer, CASE p_size % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'no_prefix' WHEN 2 THEN 'empty' ELSE 'empty_answer' END AS note FROM part WHERE p_size % 4 <> 3""")
+@query("final_answers", """SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN p_name WHEN 1 THEN 'highlight: ' || p_name ELSE '' END AS value, p_size % 4 < 2 AS ok,
+CASE p_size % 4 WHEN 0 THEN 'prefix_found_later' WHEN 1 THEN 'missing_prefix_but_starts_with_highlight' WHEN 2 THEN 'empty_output' ELSE 'unclosed_think_block_likely_truncated' END AS note FROM part""")
 def final_answers(s, d):
     k = F.col("p_size") % 4
-    t = F.when(k == 0, F.concat(F.lit("intro\nFINAL: "), "p_name")).when(k == 1, F.concat(F.lit("raw "), "p_name")).otherwise("")
-    return table(s, d, "part").where(k != 3).select("p_partkey", T.final_answer(t).alias("f")).select("p_partkey", "f.*")
+    t = F.when(k == 0, F.concat(F.lit("so\n the correct ANSWER is:  "), "p_name")).when(k == 1, F.concat(F.lit("highlight: "), "p_name"))
+    t = t.when(k == 2, " <|end|>").otherwise("<think> and then")
+    return table(s, d, "part").select("p_partkey", parsing.final_answer(t).alias("f")).select("p_partkey", "f.*")
 
 
-@query("allowed_categories", """SELECT p_partkey, CASE WHEN p_brand IN ('Brand#1', 'Brand#3') THEN p_brand || '/x' ELSE 'x' END AS kept FROM part""")
-def allowed(s, d):
-    t = F.concat("p_brand", F.lit("; nope, x, x"))
-    return table(s, d, "part").select("p_partkey", F.array_join(T.allowed_categories(t, ["Brand#1", "Brand#3", "x"]), "/").alias("kept"))
+@query("category_answers", """SELECT p_partkey, p_brand AS value, p_brand IN ('Brand#1', 'Brand#3') AS ok, CASE WHEN p_brand IN ('Brand#1', 'Brand#3') THEN 'prefix_line' ELSE 'prefix_line;category_not_in_allowed_list' END AS note FROM part""")
+def category_answers(s, d):
+    t = F.concat(F.lit("Well.\nthe correct category is: `"), "p_brand", F.lit("`\nend"))
+    return table(s, d, "part").select("p_partkey", parsing.category_answer(t, ["Brand#1", "Brand#3"]).alias("a")).select("p_partkey", "a.*")
 
 
-@query("evidence_block", """SELECT conv_id, string_agg('Claim ' || rn || ': ' || role || chr(10) || '- [1] ' || left(text, 5) || chr(10) || '- [2] ' || CAST(turn AS VARCHAR), chr(10) || chr(10) ORDER BY rn) AS block FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations) GROUP BY conv_id""")
+@query("keyword_answers", """SELECT p_partkey, CASE p_size % 3 WHEN 2 THEN '' ELSE p_name || ', ' || p_brand END AS value, p_size % 3 < 2 AS ok, CASE p_size % 3 WHEN 0 THEN 'prefix_line' WHEN 1 THEN 'missing_prefix_but_bare_keywords' ELSE 'missing_required_prefix' END AS note FROM part""")
+def keyword_answers(s, d):
+    k, words = F.col("p_size") % 3, F.concat("p_name", F.lit(" ;"), "p_brand")
+    t = F.when(k == 0, F.concat(F.lit("The correct keywords are: "), words)).when(k == 1, words).otherwise(F.concat(F.lit("a\n"), words))
+    return table(s, d, "part").select("p_partkey", parsing.keyword_answer(t).alias("a")).select("p_partkey", "a.*")
+
+
+@query("evidence_block", """SELECT conv_id, string_agg('[Claim ' || rn || ']' || chr(10) || role || chr(10) || chr(10) || CASE WHEN rn = 2 THEN '[Retrieved evidence]' || chr(10) || 'No retrieved evidence.'
+ELSE '[Evidence ' || rn || '.1]' || chr(10) || left(text, 5) || chr(10) || chr(10) || '[Evidence ' || rn || '.2]' || chr(10) || CAST(turn AS VARCHAR) END, chr(10) || chr(10) ORDER BY rn) AS block
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations) GROUP BY conv_id""")
 def evidence_block(s, d):
-    c = table(s, d, "conversations")
-    claim = F.struct("turn", F.col("role").alias("claim"), F.array(F.left("text", F.lit(5)), F.col("turn").cast("string")).alias("evidence"))
+    c = table(s, d, "conversations").withColumn("claim_idx", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")))
+    one = lambda k, text: F.struct(F.lit(k).alias("rank"), text.alias("chunk_text"))
+    found = F.array(one(1, F.left("text", F.lit(5))), one(2, F.col("turn").cast("string")), one(3, F.lit("beyond")))
+    evidence = F.when(F.col("claim_idx") != 2, F.slice(found, 1, 3)).otherwise(F.slice(found, 1, 0))
+    claim = F.struct("claim_idx", F.col("role").alias("claim_sentence"), evidence.alias("evidence"))
     g = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(claim)).alias("claims"))
-    return g.select("conv_id", T.evidence_block(F.col("claims")).alias("block"))
+    return g.select("conv_id", parsing.evidence_text(F.col("claims"), 2).alias("block"))
 
 
 @query("tag_lists", """SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) || '/t' || event_type AS tags FROM events""")
@@ -325,7 +341,7 @@ SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(s1, 'none') AS stage1, C
 def two_stage_judge(s, d):
     """Stage one passes or routes to stage two; results of both meet and a final status follows."""
     raw = F.when(F.col("doc_id") % 4 == 0, "pass").otherwise("Please verify\nRoute: both")
-    one = table(s, d, "documents").where("doc_id % 2 = 0").select("doc_id", T.first_round_status(raw).alias("stage1"))
+    one = table(s, d, "documents").where("doc_id % 2 = 0").select("doc_id", parsing.first_round(raw).alias("stage1"))
     two = table(s, d, "labels").select("doc_id", "quality")
     j = R.assemble_states(one, two, "doc_id", ["stage1"], ["quality"])
     final = F.when(F.col("stage1") == "PASS", "OK").when(F.col("quality") == 1, "REVISED").otherwise("PARSE_FAILED")
@@ -356,3 +372,10 @@ def token_lengths(s, d, path="/opt/tokenizers/byte_bpe_50k.json"):
 
     t = table(s, d, "documents")
     return t.select("doc_id", tokens.count_tokens(F.col("text"), path).alias("n"), tokens.truncate_tokens(F.col("text"), path, 20).alias("head"))
+
+
+@query("unified_status", """SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'PARSE_FAILED' WHEN quality = 0 OR toxic = 1 THEN 'REVISED' ELSE 'OK' END AS status FROM labels""")
+def unified_status(s, d):
+    ok = F.when(F.col("doc_id") % 7 == 0, F.lit(False)).when(F.col("doc_id") % 2 == 0, F.lit(True))
+    status = parsing.quality_status([F.col("quality") == 0, F.col("toxic") == 1], [ok, F.lit(None).cast("boolean")])
+    return table(s, d, "labels").select("doc_id", status.alias("status"))

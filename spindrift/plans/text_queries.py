@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from spindrift.functions import parsing as P
 from spindrift.functions import scalars as S
 from spindrift.functions import text as T
 from spindrift.plans.registry import query
@@ -75,23 +76,22 @@ def item_split(s, d):
     return docs(s, d).select("doc_id", T.join_items(T.split_items(F.col("text"))).alias("items"))
 
 
-@query("combination_normalize", r"""SELECT p_partkey, regexp_replace(regexp_replace(lower(trim(regexp_replace('  ' || p_type || ' ,' || p_brand || '|  ' || p_name, '\s+', ' ', 'g'))), '\s*,\s*', ', ', 'g'), '\s*\|\s*', ' | ', 'g') AS combo FROM part""")
+@query("combination_normalize", r"""SELECT p_partkey, regexp_replace(regexp_replace(lower(trim(regexp_replace('  ' || p_type || ' ,' || p_brand || '|  ' || p_name, '\s+', ' ', 'g'))), '\s*,\s*', ', ', 'g'), '\s*\|\s*', '|', 'g') AS combo FROM part""")
 def combination(s, d):
     raw = F.concat(F.lit("  "), "p_type", F.lit(" ,"), "p_brand", F.lit("|  "), "p_name")
     return table(s, d, "part").select("p_partkey", T.normalize_combination(raw).alias("combo"))
 
 
-@query("special_tokens", r"""SELECT conv_id, turn, trim(regexp_replace('<|start|>' || text || '<|end|>', '<\|[^|]*\|>', '', 'g')) AS plain,
-  trim(regexp_replace(regexp_replace('<think>a' || chr(10) || 'b</think> ' || text || ' </THINK>', '(?is)<think>.*?</think>', '', 'g'), '(?i)</?think>', '', 'g')) AS visible FROM conversations""")
+@query("special_tokens", r"""SELECT conv_id, turn, regexp_replace(text, '^\s+|\s+$', '', 'g') AS plain, regexp_replace(text, '^\s+|\s+$', '', 'g') AS visible FROM conversations""")
 def special_tokens(s, d):
     t = F.col("text")
     return table(s, d, "conversations").select(
-        "conv_id", "turn", T.strip_special_tokens(F.concat(F.lit("<|start|>"), t, F.lit("<|end|>"))).alias("plain"),
-        T.strip_thinking(F.concat(F.lit("<think>a\nb</think> "), t, F.lit(" </THINK>"))).alias("visible"),
+        "conv_id", "turn", P.without_tokens(F.concat(F.lit(" <|im_start|>"), t, F.lit("<|end|> "))).alias("plain"),
+        P.without_thinking(F.concat(F.lit("<think>a\nb</Think> "), t, F.lit(" </think>"))).alias("visible"),
     )
 
 
-@query("claim_split", r"""WITH c AS (SELECT doc_id, list_filter(string_split(regexp_replace(trim(regexp_replace(trim(regexp_replace(coalesce(text, ''), '^(?i:\s*highlight\s*:\s*)', '')), '\s+', ' ', 'g')), '([.!?]) ', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS cs FROM documents)
+@query("claim_split", r"""WITH c AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g'), '^(?i:highlight:)', ''), '^\s+|\s+$', '', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS cs FROM documents)
 SELECT doc_id, CAST(pos AS BIGINT) AS claim_idx, cs[pos] AS claim FROM (SELECT doc_id, cs, unnest(range(1, len(cs) + 1)) AS pos FROM c)""")
 def claim_split(s, d):
     return docs(s, d).select("doc_id", F.posexplode(T.claim_sentences(F.col("text"))).alias("i", "claim")).select(
@@ -99,10 +99,10 @@ def claim_split(s, d):
     )
 
 
-@query("article_sentences", r"""WITH c AS (SELECT doc_id, string_split(regexp_replace(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), '([.!?]) ', '\1' || chr(1), 'g'), chr(1)) AS ss FROM documents WHERE NOT regexp_matches(text, '\d ?(min|'')'))
+@query("article_sentences", r"""WITH c AS (SELECT doc_id, string_split(regexp_replace(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), '([.!?]) ', '\1' || chr(1), 'g'), chr(1)) AS ss FROM documents WHERE NOT regexp_matches(text, '(?i)\d\s*min'))
 SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(ss) AS x FROM c) WHERE len(string_split(trim(x), ' ')) >= 3 GROUP BY doc_id""")
 def article_sentences(s, d):
-    t = docs(s, d).where(~F.col("text").rlike(r"\d ?(min|')"))
+    t = docs(s, d).where(~F.col("text").rlike(r"(?i)\d\s*min"))
     return t.select("doc_id", F.size(T.article_sentences(F.col("text"))).cast("long").alias("n")).where("n > 0")
 
 
@@ -113,7 +113,7 @@ def response_changed(s, d):
     return c.select("conv_id", "turn", (T.comparable(F.col("text")) != T.comparable(F.concat(F.lit("Highlight: "), F.upper("text"), F.lit(" ")))).alias("changed"))
 
 
-TOKENS = "regexp_extract_all(lower(text), '[a-z0-9_]+')"
+TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
 
 
 @query("repetition_flags", f"""WITH t AS (SELECT doc_id, {TOKENS} AS w FROM documents),
@@ -121,20 +121,14 @@ g AS (SELECT doc_id, n, array_to_string(w[i : i + n - 1], ' ') AS k FROM (SELECT
 c AS (SELECT doc_id, n, count(*) AS c FROM g GROUP BY doc_id, n, k)
 SELECT doc_id, coalesce(max(CASE WHEN n = 3 THEN c END) >= 3, false) AS trigram, coalesce(max(CASE WHEN n = 4 THEN c END) >= 2, false) AS fourgram FROM t LEFT JOIN c USING (doc_id) GROUP BY doc_id""")
 def repetition(s, d):
-    t = docs(s, d).select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0)).alias("w"))
-    g = t.select("doc_id", F.explode(F.array(*(F.struct(F.lit(n).alias("n"), T.ngrams(F.col("w"), n).alias("k")) for n in (3, 4)))).alias("x"))
-    c = g.select("doc_id", "x.n", F.explode("x.k").alias("k")).groupBy("doc_id", "n", "k").agg(F.count("*").alias("c"))
-    most = c.groupBy("doc_id").agg(F.max(F.when(F.col("n") == 3, F.col("c"))).alias("a"), F.max(F.when(F.col("n") == 4, F.col("c"))).alias("b"))
-    return t.select("doc_id").join(most, "doc_id", "left").select(
-        "doc_id", F.coalesce(F.col("a") >= 3, F.lit(False)).alias("trigram"), F.coalesce(F.col("b") >= 2, F.lit(False)).alias("fourgram")
-    )
+    return docs(s, d).select("doc_id", T.repetition(F.col("text")).alias("r")).select("doc_id", "r.*")
 
 
-@query("field_payloads", r"""SELECT p_partkey, regexp_extract(t, '(?is)categories\s*:\s*(.*?)\s*(?:keywords\s*:|\z)', 1) AS categories, regexp_extract(t, '(?is)keywords\s*:\s*(.*?)\s*\z', 1) AS keywords
-FROM (SELECT p_partkey, 'Categories: ' || p_type || chr(10) || 'KEYWORDS: ' || p_name AS t FROM part)""")
+@query("field_payloads", """SELECT p_partkey, array_to_string(list_transform(string_split(p_type, ','), lambda x: trim(x)), '/') AS categories, p_name || '/' || p_brand AS keywords FROM part""")
 def field_payloads(s, d):
-    t = F.concat(F.lit("Categories: "), "p_type", F.lit("\nKEYWORDS: "), "p_name")
-    return table(s, d, "part").select("p_partkey", T.payload(t, "categories", "keywords").alias("categories"), T.payload(t, "keywords").alias("keywords"))
+    t = F.concat(F.lit("Categories: "), "p_type", F.lit("\nKEYWORDS: "), "p_name", F.lit(" ;\n"), "p_brand", F.lit("<|end|>"))
+    f = P.generated_fields(t)
+    return table(s, d, "part").select("p_partkey", F.array_join(f["categories"], "/").alias("categories"), F.array_join(f["keywords"], "/").alias("keywords"))
 
 
 VERDICT = "CASE conv_id % 5 WHEN 0 THEN 'PASS' WHEN 1 THEN ' **Verify** it' WHEN 2 THEN 'pass, or verify' WHEN 3 THEN '' ELSE 'hm ' || role END"
@@ -148,13 +142,13 @@ def verdicts(s, d):
 
 @query("verdict_status", f"""SELECT conv_id, turn, CASE WHEN contains(l, 'VERIFY') THEN 'VERIFY' WHEN contains(l, 'PASS') THEN 'PASS' ELSE 'VERIFY' END AS status FROM (SELECT conv_id, turn, regexp_replace(upper({VERDICT}), '[^A-Z]', '', 'g') AS l FROM conversations)""")
 def verdict_status(s, d):
-    return verdicts(s, d).select("conv_id", "turn", T.first_round_status(F.col("v")).alias("status"))
+    return verdicts(s, d).select("conv_id", "turn", P.first_round(F.col("v")).alias("status"))
 
 
 @query("verdict_crosstab", f"""SELECT role, count(*) FILTER (WHERE s = 'PASS') AS passed, count(*) FILTER (WHERE s = 'VERIFY') AS verify FROM (SELECT role, CASE WHEN contains(l, 'VERIFY') THEN 'VERIFY' WHEN contains(l, 'PASS') THEN 'PASS' ELSE 'VERIFY' END AS s
   FROM (SELECT role, regexp_replace(upper({VERDICT}), '[^A-Z]', '', 'g') AS l FROM conversations)) GROUP BY role""")
 def verdict_crosstab(s, d):
-    x = verdicts(s, d).select("role", T.first_round_status(F.col("v")).alias("s"))
+    x = verdicts(s, d).select("role", P.first_round(F.col("v")).alias("s"))
     p = x.groupBy("role").pivot("s", ["PASS", "VERIFY"]).count().fillna(0)
     return p.select("role", F.col("PASS").alias("passed"), F.col("VERIFY").alias("verify"))
 
@@ -166,14 +160,14 @@ def word_universe(s, d):
     return w.where("lang = 'en'").select("w").distinct().join(w.where("lang <> 'en'").select("w").distinct(), "w", "left_anti")
 
 
-@query("payload_items", r"""SELECT p_partkey, array_to_string(list_filter(list_transform(regexp_split_to_array(p_type || ';' || p_name || ',' || p_brand, '[,;\n\t]+'), lambda x: lower(trim(x))), lambda x: x <> ''), '|') AS items FROM part WHERE p_type <> p_name""")
+@query("payload_items", r"""SELECT p_partkey, array_to_string(list_filter(list_transform(regexp_split_to_array(p_type || ';' || p_name || ',' || p_brand, '[,;\n\t]+'), lambda x: trim(x)), lambda x: x <> ''), '|') AS items FROM part WHERE p_type <> p_name""")
 def payload_items(s, d):
     return table(s, d, "part").where("p_type <> p_name").select("p_partkey", F.array_join(T.payload_items(F.concat("p_type", F.lit(";"), "p_name", F.lit(",") , "p_brand")), "|").alias("items"))
 
 
 @query("answer_labels", r"""SELECT n_nationkey, array_to_string(list_filter(list_transform(regexp_split_to_array(regexp_extract('Categories: ' || n_name || ' | b;c', '(?is)categories\s*:\s*([^\n]*)', 1), '[,|;]'), lambda x: trim(x)), lambda x: x <> ''), '/') AS labels FROM nation""")
 def answer_labels(s, d):
-    return table(s, d, "nation").select("n_nationkey", F.array_join(T.labels_from_answer(F.concat(F.lit("Categories: "), "n_name", F.lit(" | b;c"))), "/").alias("labels"))
+    return table(s, d, "nation").select("n_nationkey", F.array_join(P.labels_of_answer(F.concat(F.lit("Categories: "), "n_name", F.lit(" | b;c"))), "/").alias("labels"))
 
 
 @query("cycling_separators", """SELECT doc_id, array_to_string(list_transform(w, lambda x, i: CASE WHEN i = 1 THEN x ELSE [', ', '; ', ' / '][1 + (i - 2) % 3] || x END), '') AS joined FROM (SELECT doc_id, """ + WORDS + """[1:7] AS w FROM documents)""")
@@ -221,7 +215,7 @@ def ids_digest(s, d):
     return g.select("source", S.ids_digest(F.col("ids")).alias("digest"))
 
 
-@query("rank_weights", """SELECT o_orderkey, l_linenumber, round(CASE WHEN n > 1 THEN 1.0 + 0.3 * pow((l_linenumber - 1) / (n - 1), 2.0) ELSE 1.0 END, 9) AS weight, round(2.4 / pow(n, 0.5), 9) AS per_token
+@query("rank_weights", """SELECT o_orderkey, l_linenumber, round(CASE WHEN n > 1 THEN 1.0 + 0.3 * pow((l_linenumber - 1) / (n - 1), 2.0) ELSE 1.3 END, 9) AS weight, round(2.4 / pow(n, 0.5), 9) AS per_token
 FROM (SELECT l_orderkey AS o_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem) WHERE n >= l_linenumber""")
 def rank_weights(s, d):
     from pyspark.sql import Window
@@ -229,13 +223,13 @@ def rank_weights(s, d):
     w = table(s, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").cast("long").alias("l_linenumber"), F.count("*").over(Window.partitionBy("l_orderkey")).alias("n"))
     return w.where("n >= l_linenumber").select(
         "o_orderkey", "l_linenumber", F.round(S.rank_weight(F.col("l_linenumber"), F.col("n"), 1.0, 0.3, 2.0), 9).alias("weight"),
-        F.round(S.token_weight(F.lit(2.4), F.col("n"), 0.5), 9).alias("per_token"),
+        F.round(S.token_weight(F.lit(2.4), F.col("n"), "power"), 9).alias("per_token"),
     )
 
 
-@query("schedule", """SELECT event_id, round(CASE WHEN p >= 0.8 THEN 0.01 ELSE 0.04 + (0.01 - 0.04) * least(floor(p / 0.8 * 100), 99) / 99 END, 9) AS weight FROM (SELECT event_id, (event_id % 1000) / 1000.0::DOUBLE AS p FROM events)""")
+@query("schedule", """SELECT event_id, round(CASE WHEN p <= 0 THEN 0.04 WHEN p >= 0.8 THEN 0.01 ELSE 0.04::DOUBLE + -0.03::DOUBLE * least(floor(p / 0.8::DOUBLE / 0.01::DOUBLE), 99) / 99 END, 9) AS weight FROM (SELECT event_id, (event_id % 1000) / 1000.0::DOUBLE AS p FROM events)""")
 def schedule(s, d):
-    return table(s, d, "events").select("event_id", F.round(S.binned_schedule((F.col("event_id") % 1000) / F.lit(1000.0), 0.04, 0.01, 0.8, 0.01), 9).alias("weight"))
+    return table(s, d, "events").select("event_id", F.round(S.binned_schedule((F.col("event_id") % 1000) / F.lit(1000.0), 0.04, 0.01, 0.0, 0.8, 0.01), 9).alias("weight"))
 
 
 @query("item_set_scores", f"""WITH t AS (SELECT doc_id, list_distinct({WORDS}[1:6]) AS g, list_distinct({WORDS}[3:9]) AS p FROM documents),

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from spindrift.functions import parsing as P2
 from spindrift.functions import scalars as S
 from spindrift.functions import text as T
 from spindrift.operators import features as X
@@ -44,7 +45,7 @@ def test_answer_labels(spark, mode, tail):
 
 
 def test_schedule(spark):
-    got = [one(spark, S.binned_schedule(F.lit(p), 0.04, 0.01, 0.8, 0.01)) for p in (0.0, 0.4, 0.8)]
+    got = [one(spark, S.binned_schedule(F.lit(p), 0.04, 0.01, 0.0, 0.8, 0.01)) for p in (0.0, 0.4, 0.8)]
     assert got == pytest.approx([0.04, 0.04 - 0.03 * 50 / 99, 0.01])
 
 
@@ -74,8 +75,32 @@ def test_sentences_and_spans(spark):
 
 
 def test_final_answers(spark):
-    notes = [one(spark, T.final_answer(F.lit(x)))["note"] for x in ("", "text", "final:", "Final: ok")]
-    assert notes == ["empty", "no_prefix", "empty_answer", "ok"]
+    shapes = {
+        " <|end|>": ("", False, "empty_output"),
+        "<think>cut": ("", False, "unclosed_think_block_likely_truncated"),
+        "<THINK>a</think> ": ("", False, "empty_after_removing_think"),
+        "the correct answer is: x y": ("x y", True, "prefix_at_start"),
+        "so The correct answer is: z": ("z", True, "prefix_found_later"),
+        "Highlight: q": ("Highlight: q", True, "missing_prefix_but_starts_with_highlight"),
+        "other": ("", False, "missing_required_prefix"),
+    }
+    for t, want in shapes.items():
+        assert tuple(one(spark, P2.final_answer(F.lit(t)))) == want, t
+
+
+def test_verdicts(spark):
+    got = [one(spark, P2.first_round(F.lit(x))) for x in ("PASS, not verify", "pass notverify", "xPASSx", "", "`Pass`")]
+    assert got == ["VERIFY", "PASS", "PASS", "VERIFY", "PASS"]
+    got = one(spark, P2.combined_answer(F.lit("The correct category is: 'a'\nThe correct keywords are: k ; l"), ["a"]))
+    assert tuple(got) == ("a", "k, l", True, "category=prefix_line; keywords=prefix_line")
+    assert one(spark, P2.labels_of_answer(F.lit("[categories] a | big special12,a [/CATEGORIES]"))) == ["a", "big special"]
+
+
+def test_minute_markers_and_wide_spaces(spark):
+    s = one(spark, T.article_sentences(F.lit("One two three 45+3 mins: four five six. 90 min +2 seven\u3000eight\u00a0nine")))
+    assert s == ["One two three", "45+3 mins: four five six.", "90 min +2 seven eight nine"]
+    assert one(spark, T.minute_marker(F.lit(" 45+3 mins: x"))) == "45+3 mins:"
+    assert one(spark, T.claim_sentences(F.lit("highlight: A b\nc. D!"))) == ["A b\nc.", "D!"]
 
 
 def test_empty_scope_is_not_unscoped(spark):
