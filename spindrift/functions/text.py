@@ -98,11 +98,10 @@ def truncate_chars(c: Column, n: int) -> Column:
 
 
 def representation(title: Column, categories: Column, keywords: Column, body: Column) -> Column:
-    """``Title: … | Categories: … | Keywords: … | Body: …`` without its empty parts."""
-    parts = [
-        F.when(F.trim(v) != "", F.concat(F.lit(f"{name}: "), F.trim(v)))
-        for name, v in (("Title", title), ("Categories", F.array_join(categories, ", ")), ("Keywords", F.array_join(keywords, ", ")), ("Body", body))
-    ]
+    """``Title: … | Categories: a; b | Keywords: c; d | Body: …`` without its empty parts."""
+    listed = lambda c: F.array_join(F.filter(F.transform(c, collapse), lambda x: x != ""), "; ")
+    fields = (("Title", collapse(title)), ("Categories", listed(categories)), ("Keywords", listed(keywords)), ("Body", collapse(body)))
+    parts = [F.when(v != "", F.concat(F.lit(f"{name}: "), v)) for name, v in fields]
     return F.array_join(F.array_compact(F.array(*parts)), " | ")
 
 

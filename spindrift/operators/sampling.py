@@ -32,27 +32,28 @@ def largest_remainder(df: DataFrame, weight: str, total: int, order: str) -> Dat
     return d.withColumn("quota", (F.col("_f") + F.when(rank <= left, 1).otherwise(0)).cast("long")).drop("_x", "_f")
 
 
-def allocate(clusters: DataFrame, cluster: str, size: str, num: int, cap: int) -> DataFrame:
-    """Picks per cluster that sum to ``num`` where caps allow: one each, then the rest by largest
-    remainder on log1p(size), clamped to cap and size; what clamping leaves is refilled in order
-    of headroom.  Fewer picks than clusters go to the clusters of least hash."""
-    one = Window.partitionBy()
-    c = clusters.where(F.col(size) > 0).withColumn("_room", F.least(F.col(size), F.lit(cap)))
-    c = c.withColumn("_n", F.count("*").over(one))
-    c = c.withColumn("_h", F.row_number().over(Window.orderBy(F.md5(F.col(cluster).cast("string")), cluster)))
-    base = F.when(F.col("_n") > num, F.when(F.col("_h") <= num, 1).otherwise(0)).otherwise(1)
-    c = c.withColumn("_base", base)
-    rest = F.greatest(F.lit(num) - F.col("_n"), F.lit(0))
-    w = F.when(F.col("_room") > 1, F.log1p(size)).otherwise(0.0)
-    c = c.withColumn("_x", F.round(F.when(F.sum(w).over(one) > 0, rest * w / F.sum(w).over(one)).otherwise(0.0), 9)).withColumn("_f", F.floor("_x"))
-    extra = F.row_number().over(Window.orderBy((F.col("_x") - F.col("_f")).desc(), cluster)) <= F.round(F.sum("_x").over(one)) - F.sum("_f").over(one)
-    c = c.withColumn("_k", F.least(F.col("_base") + F.col("_f") + F.when(extra & (F.col("_room") > 1), 1).otherwise(0), F.col("_room")))
-    spare = F.lit(num) - F.sum("_k").over(one)
-    before = Window.orderBy((F.col("_room") - F.col("_k")).desc(), cluster).rowsBetween(Window.unboundedPreceding, -1)
-    head = F.col("_room") - F.col("_k")
-    c = c.withColumn("_fill", F.least(head, F.greatest(spare - F.coalesce(F.sum(head).over(before), F.lit(0)), F.lit(0))))
-    fill = F.when(F.col("_n") > num, 0).otherwise(F.col("_fill"))
-    return c.select(cluster, size, (F.col("_k") + fill).cast("long").alias("k"))
+def allocate(clusters: DataFrame, cluster: str, size: str, num: int, cap: int, growth: str = "log") -> DataFrame:
+    """Picks per cluster that sum to ``num`` unless caps and sizes forbid it.
+
+    One each, the rest by largest remainder on log1p or sqrt of the size (equal remainders go to
+    the lesser cluster), cut to cap and size; what the cut leaves goes to clusters with room, the
+    largest first.  Fewer picks than clusters go to the clusters of least hash.
+    """
+    every = Window.partitionBy()
+    c = clusters.where(F.col(size) > 0).select(cluster, size, F.least(F.col(size), F.lit(cap)).alias("_room"))
+    c = c.withColumn("_n", F.count("*").over(every))
+    weight = F.log1p(size) if growth == "log" else F.sqrt(size)
+    extra = F.greatest(F.lit(num) - F.col("_n"), F.lit(0))
+    c = c.withColumn("_x", F.round(extra * weight / F.sum(weight).over(every), 9)).withColumn("_f", F.floor("_x"))
+    by_rest = F.row_number().over(Window.orderBy((F.col("_x") - F.col("_f")).desc(), cluster))
+    one_more = F.when(by_rest <= extra - F.sum("_f").over(every), 1).otherwise(0)
+    c = c.withColumn("_k", F.least(1 + F.col("_f") + one_more, F.col("_room")))
+    c = c.withColumn("_head", F.col("_room") - F.col("_k")).withColumn("_need", F.lit(num) - F.sum("_k").over(every))
+    before = Window.orderBy(F.col(size).desc(), F.col(cluster)).rowsBetween(Window.unboundedPreceding, -1)
+    fill = F.least(F.col("_head"), F.greatest(F.col("_need") - F.coalesce(F.sum("_head").over(before), F.lit(0)), F.lit(0)))
+    few = F.row_number().over(Window.orderBy(F.md5(F.col(cluster).cast("string")), F.col(cluster)))
+    k = F.when(F.col("_n") > num, F.when(few <= num, 1).otherwise(0)).otherwise(F.col("_k") + fill)
+    return c.select(cluster, size, k.cast("long").alias("k"))
 
 
 def epoch_sample(pool: DataFrame, source: str, item: str, usage: str, quotas: Mapping[str, int], seed: str) -> DataFrame:

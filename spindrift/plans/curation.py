@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spindrift.functions import scalars as S
+from spindrift.operators import labels as L
 from spindrift.operators import relational as R
 from spindrift.operators import sampling as P
 from spindrift.operators import vectors as V
@@ -32,7 +33,7 @@ def category_inventory(s, d):
 
 @query("label_counts", f"WITH {LABELS} SELECT label, count(*) AS n FROM (SELECT unnest(ls) AS label FROM labels_of) GROUP BY label")
 def label_counts(s, d):
-    return item_labels(s, d).select(F.explode("ls").alias("label")).groupBy("label").agg(F.count("*").alias("n"))
+    return L.label_counts(item_labels(s, d), "user_id", "ls")
 
 
 @query("small_counter_share", """WITH c AS (SELECT event_type AS label, count(*) AS n FROM events GROUP BY 1)
@@ -47,26 +48,21 @@ def counter_share(s, d):
 p AS (SELECT user_id, label AS primary_label FROM (SELECT user_id, label, row_number() OVER (PARTITION BY user_id ORDER BY n, label) AS rn FROM (SELECT user_id, unnest(ls) AS label FROM labels_of) JOIN c USING (label)) WHERE rn = 1)
 SELECT user_id, primary_label, count(*) OVER (PARTITION BY primary_label) < 12 AS protected FROM p""")
 def primary_label(s, d, protect=12):
-    """The globally rarest label of each item (ties by name); rare primary labels are protected."""
-    x = item_labels(s, d).select("user_id", F.explode("ls").alias("label"))
-    p = x.join(F.broadcast(label_counts(s, d)), "label").groupBy("user_id").agg(F.min(F.struct("n", "label")).alias("m"))
-    p = p.select("user_id", F.col("m.label").alias("primary_label"))
-    return p.withColumn("protected", F.count("*").over(Window.partitionBy("primary_label")) < protect)
+    return L.primary_labels(item_labels(s, d), "user_id", "ls", protect)
 
 
 @query("label_space", "SELECT event_type AS label, row_number() OVER (ORDER BY event_type) - 1 AS idx FROM (SELECT DISTINCT event_type FROM events)")
 def label_space(s, d):
-    return table(s, d, "events").select(F.col("event_type").alias("label")).distinct().withColumn("idx", (F.row_number().over(Window.orderBy("label")) - 1).cast("long"))
+    return L.label_space(item_labels(s, d), "user_id", "ls")
 
 
 @query("canonical_labels", """WITH sp AS (SELECT event_type AS label, row_number() OVER (ORDER BY event_type DESC) AS idx FROM (SELECT DISTINCT event_type FROM events WHERE event_type <> 'error'))
 SELECT user_id, string_agg(label, ',' ORDER BY idx) AS labels FROM (SELECT DISTINCT user_id, event_type AS label FROM events) JOIN sp USING (label) GROUP BY user_id""")
 def canonical_labels(s, d):
-    """Known labels only, once each, in the label space's order."""
-    e = table(s, d, "events").select("user_id", F.col("event_type").alias("label")).distinct()
-    sp = e.where("label <> 'error'").select("label").distinct().withColumn("idx", F.row_number().over(Window.orderBy(F.col("label").desc())))
-    g = e.join(F.broadcast(sp), "label").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("idx", "label"))).alias("x"))
-    return g.select("user_id", F.array_join("x.label", ",").alias("labels"))
+    """Known labels only, once each, in the space's order (here the names' order reversed)."""
+    items = item_labels(s, d)
+    space = L.label_space(items, "user_id", "ls").where("label <> 'error'").withColumn("idx", -F.col("idx"))
+    return L.canonical(items, "user_id", "ls", space).select("user_id", F.array_join("labels", ",").alias("labels"))
 
 
 @query("assignment_validation", """WITH a AS (SELECT p_brand AS g, p_type AS m FROM part WHERE p_partkey % 3 = 0), u AS (SELECT DISTINCT p_type AS m FROM part WHERE p_size < 40)

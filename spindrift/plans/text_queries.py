@@ -44,7 +44,7 @@ def first_fraction(s, d):
     return docs(s, d).select("doc_id", T.first_fraction(F.col("text"), 0.1).alias("part"), T.truncate_chars(F.col("text"), 20).alias("short"))
 
 
-@query("representation_text", f"""SELECT doc_id, 'Title: ' || left(text, 10) || CASE WHEN lang = 'en' THEN '' ELSE ' | Categories: ' || lang END || ' | Keywords: ' || source || ', ' || lang
+@query("representation_text", f"""SELECT doc_id, 'Title: ' || trim(regexp_replace(left(text, 10), '\\s+', ' ', 'g')) || CASE WHEN lang = 'en' THEN '' ELSE ' | Categories: ' || lang END || ' | Keywords: ' || source || '; ' || lang
   || ' | Body: ' || array_to_string({WORDS}[1:5], ' ') AS repr FROM (SELECT * FROM documents WHERE left(text, 10) NOT LIKE ' %' AND left(text, 10) NOT LIKE '% ' AND len({WORDS}) > 0)""")
 def representation(s, d):
     t = docs(s, d).where(~F.left("text", F.lit(10)).like(" %") & ~F.left("text", F.lit(10)).like("% ") & (F.size(T.words(F.col("text"))) > 0))

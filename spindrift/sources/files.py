@@ -65,13 +65,33 @@ def resolve_split(splits: Mapping[str, DataFrame], candidates: Sequence[str]) ->
     raise KeyError(f"none of {list(candidates)} among {sorted(splits)}")
 
 
-def scope_ids(manifest: Mapping, keys: Sequence[str] = ("downstream", "completed", "inserted")) -> list[str] | None:
-    """Ids of a run manifest by key priority: the first list that isn't empty, in order, once
-    each; None (unscoped) if no key is there, [] (nothing) if all are empty."""
-    found = [manifest[k] for k in keys if manifest.get(k) is not None]
-    if not found:
-        return None
-    return list(dict.fromkeys(next((x for x in found if x), [])))
+# The keys of a run manifest that hold ids, the most advanced first, and the stages
+# of an incremental run with their other names.
+SCOPE_KEYS = ("downstream_source_ids", "generation_completed_source_ids", "inserted_source_ids")
+STAGES = ("fetch", "generation", "retrieval", "judge", "similarity", "faithfulness")
+STAGE_NAMES = {"generate": "generation", "retrieve": "retrieval", "recommend": "similarity", "recommendation": "similarity"}
+
+
+def scope_ids(payload: Mapping | Sequence, keys: Sequence[str] = SCOPE_KEYS) -> list[str]:
+    """Ids of a list, or of a run manifest by key priority (the first list that isn't empty):
+    stripped, in order, once each.  A payload without any list is an error."""
+    if isinstance(payload, Mapping):
+        lists = [payload[k] for k in keys if k in payload]
+        ids = next((x for x in lists if x), lists[0] if lists else None)
+    else:
+        ids = payload
+    if not isinstance(ids, list | tuple):
+        raise ValueError(f"a list of ids or a manifest with one of {list(keys)} is needed")
+    return list(dict.fromkeys(t for t in (str(x or "").strip() for x in ids) if t))
+
+
+def normalize_stages(value: str | Sequence[str]) -> list[str]:
+    """Stages in their order from names, other names or ``all``; unknown or none is an error."""
+    names = value.split(",") if isinstance(value, str) else value
+    asked = {STAGE_NAMES.get(n, n) for n in (str(x).strip().lower() for x in names) if n}
+    if not asked or asked - {*STAGES, "all"} and "all" not in asked:
+        raise ValueError(f"stages must be among {list(STAGES)}, got {sorted(asked)}")
+    return [x for x in STAGES if x in asked or "all" in asked]
 
 
 def table_exists(spark: SparkSession, name: str) -> bool:

@@ -180,11 +180,33 @@ def test_communities_stay_inside_components(spark):
     assert set(found) == set(comp) and all(comp[found[k]] == comp[k] for k in comp)
 
 
+def brute_allocation(sizes, num, cap):
+    """One each, largest remainder on log1p, cut, refill the largest first."""
+    import math
+
+    ids = [k for k, n in sizes.items() if n > 0]
+    w = {k: math.log1p(sizes[k]) for k in ids}
+    raw = {k: (num - len(ids)) * w[k] / sum(w.values()) for k in ids}
+    out = {k: 1 + math.floor(round(raw[k], 9)) for k in ids}
+    for k in sorted(ids, key=lambda k: (-(round(raw[k], 9) - math.floor(round(raw[k], 9))), k))[: num - sum(out.values())]:
+        out[k] += 1
+    out = {k: min(n, cap, sizes[k]) for k, n in out.items()}
+    need = num - sum(out.values())
+    for k in sorted(ids, key=lambda k: (-sizes[k], k)):
+        more = max(0, min(need, min(cap, sizes[k]) - out[k]))
+        out[k] += more
+        need -= more
+    return out
+
+
 def test_allocation(spark):
-    df = spark.createDataFrame([(k, s) for k, s in enumerate([0, 1, 4, 9, 16])], "c long, size long")
-    for num in (3, 4, 8, 20, 26):
-        got = {r["c"]: r["k"] for r in P.allocate(df, "c", "size", num, 20).collect()}
-        assert sum(got.values()) == num and all(got[c] <= s for c, s in ((1, 1), (2, 4), (3, 9), (4, 16)))
+    rng = random.Random(4)
+    for num, cap, sizes in [(8, 20, [0, 1, 4, 9, 16]), (30, 20, [0, 1, 4, 9, 16]), (40, 5, [rng.randint(1, 60) for _ in range(12)]), (99, 5, [3, 30, 40])]:
+        df = spark.createDataFrame(list(enumerate(sizes)), "c long, size long")
+        got = {r["c"]: r["k"] for r in P.allocate(df, "c", "size", num, cap).collect()}
+        assert got == brute_allocation(dict(enumerate(sizes)), num, cap)
+    few = P.allocate(spark.createDataFrame([(k, 5) for k in range(9)], "c long, size long"), "c", "size", 4, 20)
+    assert sorted(r["k"] for r in few.collect()) == [0] * 5 + [1] * 4
 
 
 def test_epoch_sampler_spreads_usage(spark):
@@ -257,8 +279,14 @@ def test_files(spark, tmp_path):
         files.read_json_strict(spark, str(tmp_path / "j.jsonl"), "k int").collect()
     (tmp_path / "u.csv").write_text("label\n B \na\nb\n")
     assert [r["label"] for r in files.read_universe(spark, str(tmp_path / "u.csv"), "label").orderBy("pos").collect()] == ["b", "a"]
-    assert files.scope_ids({"completed": [], "inserted": ["b", "a", "b"]}) == ["b", "a"]
-    assert files.scope_ids({}) is None and files.scope_ids({"inserted": []}) == []
+    assert files.scope_ids({"generation_completed_source_ids": [], "inserted_source_ids": ["b", " a", "b", None]}) == ["b", "a"]
+    assert files.scope_ids(["x"]) == ["x"] and files.scope_ids({"inserted_source_ids": []}) == []
+    with pytest.raises(ValueError, match="manifest"):
+        files.scope_ids({})
+    assert files.normalize_stages("judge, Fetch,recommend") == ["fetch", "judge", "similarity"]
+    assert files.normalize_stages(["all"]) == list(files.STAGES)
+    with pytest.raises(ValueError, match="stages"):
+        files.normalize_stages("nope")
     assert files.cache_action(None, df, "k") == "write" and files.cache_action(df, df, "k") == "skip"
     bigger = spark.createDataFrame([(1,), (2,)], "k int")
     assert files.cache_action(df, bigger, "k") == "upgrade"
