@@ -94,16 +94,20 @@ def hash_sync_plan(target: DataFrame, source: DataFrame, key: str, vector: str,
     return t.join(s, key, "full_outer").select(key, action.alias("action"))
 
 
-def assemble_states(left: DataFrame, right: DataFrame, key: str, left_cols: Sequence[str], right_cols: Sequence[str]) -> DataFrame:
-    """State join: rows of ``left`` whose key is unique meet ``right`` (unique keys too); repeated
-    left keys stay unmatched and unmatched right rows are appended."""
-    w = Window.partitionBy(key)
-    lefts = left.withColumn("_n", F.count("*").over(w))
-    r = right.withColumn("_m", F.count("*").over(w)).where("_m = 1").drop("_m")
-    single = lefts.where("_n = 1").select(key, *left_cols)
-    matched = single.join(r.select(key, *right_cols), key, "full_outer")
-    repeated = lefts.where("_n > 1").select(key, *left_cols)
-    return matched.unionByName(repeated, allowMissingColumns=True)
+def assemble_states(
+    left: DataFrame, right: DataFrame, key: str, left_cols: Sequence[str], right_cols: Sequence[str], right_order: Sequence[Column] = ()
+) -> DataFrame:
+    """State join: a row of ``left`` whose key is unique there meets the last row of ``right`` with
+    its key; rows of repeated left keys stay alone, and all other right rows are appended."""
+    n = F.count("*").over(Window.partitionBy(key))
+    lefts = left.select(key, *left_cols, (n == 1).alias("_single"))
+    single = lefts.where("_single").drop("_single")
+    rights = right.select(key, *right_cols)
+    order = list(right_order) or [F.col(c).desc_nulls_last() for c in right_cols]
+    matched = single.join(keep_first(rights, [key], order), key, "left")
+    rest = rights.join(single.select(key), key, "left_anti")
+    repeated = lefts.where("NOT _single").drop("_single")
+    return matched.unionByName(repeated, allowMissingColumns=True).unionByName(rest, allowMissingColumns=True)
 
 
 def unique_violations(df: DataFrame, keys: Sequence[str]) -> DataFrame:

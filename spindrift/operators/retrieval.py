@@ -50,9 +50,9 @@ def char_spans(text: Column, sentences: Column) -> Column:
 
 
 def claim_jobs(samples: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One job per claim sentence, 1-based."""
+    """One job per claim sentence, numbered from 0."""
     c = samples.select(id_col, F.posexplode(T.claim_sentences(F.col(text_col))).alias("i", "claim"))
-    return c.select(id_col, (F.col("i") + 1).cast("long").alias("claim_idx"), "claim")
+    return c.select(id_col, F.col("i").cast("long").alias("claim_idx"), "claim")
 
 
 def term_counts(df: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -109,9 +109,14 @@ def confident(rows: DataFrame, score: str, least: float) -> DataFrame:
     return rows.where(F.coalesce(F.col(score), F.lit(0.0)) >= least)
 
 
-def recommendation_records(queries: DataFrame, found: DataFrame, query: str, item: str, order: list[Column], cap: int = 10) -> DataFrame:
-    """One row per query, even without results: ordered ids, never itself, once each, capped."""
+def recommendation_records(
+    queries: DataFrame, found: DataFrame, query: str, item: str, order: list[Column], cap: int = 10, status: str | None = None
+) -> DataFrame:
+    """One row per query, even without results: ordered ids, never itself, once each, capped;
+    with ``status``, only results whose status is ok."""
     f = found.where(F.col(query) != F.col(item))
+    if status:
+        f = f.where(F.lower(F.trim(status)) == "ok")
     once = Window.partitionBy(query, item).orderBy(*order)
     f = f.withColumn("_o", F.row_number().over(once)).where("_o = 1")
     w = Window.partitionBy(query).orderBy(*order, F.col(item))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from spindrift.functions import parsing as P
 from spindrift.functions import scalars as S
 from spindrift.functions import text as T
+from spindrift.operators import retrieval as Q
 from spindrift.plans.registry import query
 from spindrift.sources.tables import table
 
@@ -92,11 +93,9 @@ def special_tokens(s, d):
 
 
 @query("claim_split", r"""WITH c AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g'), '^(?i:highlight:)', ''), '^\s+|\s+$', '', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS cs FROM documents)
-SELECT doc_id, CAST(pos AS BIGINT) AS claim_idx, cs[pos] AS claim FROM (SELECT doc_id, cs, unnest(range(1, len(cs) + 1)) AS pos FROM c)""")
+SELECT doc_id, CAST(pos - 1 AS BIGINT) AS claim_idx, cs[pos] AS claim FROM (SELECT doc_id, cs, unnest(range(1, len(cs) + 1)) AS pos FROM c)""")
 def claim_split(s, d):
-    return docs(s, d).select("doc_id", F.posexplode(T.claim_sentences(F.col("text"))).alias("i", "claim")).select(
-        "doc_id", (F.col("i") + 1).cast("long").alias("claim_idx"), "claim"
-    )
+    return Q.claim_jobs(docs(s, d), "doc_id", "text")
 
 
 @query("article_sentences", r"""WITH c AS (SELECT doc_id, string_split(regexp_replace(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), '([.!?]) ', '\1' || chr(1), 'g'), chr(1)) AS ss FROM documents WHERE NOT regexp_matches(text, '(?i)\d\s*min'))

@@ -116,6 +116,13 @@ def test_conditional_upsert_ignores_other_columns(spark):
     assert got == {1: ("unchanged", "a", 1), 2: ("update", "x", 9), 3: ("keep", "c", 1), 4: ("insert", "d", 9)}
 
 
+def test_state_join_leaves_repeated_left_keys_alone(spark):
+    a = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c")], "k int, l string")
+    b = spark.createDataFrame([(1, 1), (1, 2), (2, 3), (4, 4), (4, 5)], "k int, r int")
+    got = sorted(((r["k"], r["l"], r["r"]) for r in R.assemble_states(a, b, "k", ["l"], ["r"]).collect()), key=str)
+    assert got == sorted([(1, "a", 2), (2, "b", None), (2, "c", None), (2, None, 3), (4, None, 4), (4, None, 5)], key=str)
+
+
 def test_one_to_one_join_refuses_repeats(spark):
     a, b = spark.createDataFrame([(1,), (1,)], "k int"), spark.createDataFrame([(1,)], "k int")
     with pytest.raises(ValueError, match="left"):
