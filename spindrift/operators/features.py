@@ -92,3 +92,24 @@ def weighted_loss(rows: DataFrame, loss: str, mask: str, weight: str, sample: st
         return m.agg(mean.alias("loss"))
     each = m.groupBy(sample).agg(mean.alias("x"), F.sum(weight).alias("w")).where("w > 0")
     return each.agg(F.avg("x").alias("loss"))
+
+
+def trainer_rows(df: DataFrame, id_col: str, prompt: str, answer: str, path: str, limit: int, prompt_weight: float = 0.0) -> DataFrame:
+    """Token rows that meet the contract: prompt then answer, labels on the answer only, weights
+    ``prompt_weight`` and 1; rows without an answer or beyond ``limit`` tokens are left out."""
+    from spindrift.functions import tokens
+
+    d = df.select(id_col, tokens.token_ids(F.col(prompt), path).alias("p"), tokens.token_ids(F.col(answer), path).alias("a"))
+    d = d.where((F.size("a") > 0) & (F.size("p") + F.size("a") <= limit))
+    fill = lambda c, v: F.transform(c, lambda _: F.lit(v))
+    ids = F.concat("p", "a")
+    return d.select(
+        id_col, ids.alias("input_ids"), fill(ids, 1).alias("attention_mask"), F.concat(fill("p", -100), "a").alias("labels"),
+        F.concat(fill("p", float(prompt_weight)), fill("a", 1.0)).alias("loss_weights"),
+    )
+
+
+def inconsistent_rows(rows: DataFrame, id_col: str) -> DataFrame:
+    """Rows whose prompt and reference, recovered from the labels, don't make up their tokens."""
+    r = recover_prompt(F.col("input_ids"), F.col("labels"))
+    return rows.where(F.concat(r["prompt"], r["reference"]) != F.col("input_ids")).select(id_col)

@@ -379,3 +379,31 @@ def unified_status(s, d):
     ok = F.when(F.col("doc_id") % 7 == 0, F.lit(False)).when(F.col("doc_id") % 2 == 0, F.lit(True))
     status = parsing.quality_status([F.col("quality") == 0, F.col("toxic") == 1], [ok, F.lit(None).cast("boolean")])
     return table(s, d, "labels").select("doc_id", status.alias("status"))
+
+
+@query("text_embeddings", r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS w FROM documents), n AS (SELECT doc_id, CAST('0x' || left(md5(w), 6) AS BIGINT) % 32 AS dim, count(*) AS n FROM w GROUP BY 1, 2)
+SELECT doc_id, dim, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS weight FROM n""")
+def text_embeddings(s, d):
+    from spindrift.operators import embedding
+
+    e = embedding.hashed_words(table(s, d, "documents"), "doc_id", "text", 32)
+    return e.select("doc_id", "dim", F.round("weight", 6).alias("weight"))
+
+
+@query("semantic_neighbours")
+def semantic_neighbours(s, d):
+    """Benchmark items' nearest documents by hashed embeddings."""
+    from spindrift.operators import embedding, vectors
+
+    docs = embedding.dense(embedding.hashed_words(table(s, d, "documents"), "doc_id", "text", 64), "doc_id", 64)
+    items = embedding.dense(embedding.hashed_words(table(s, d, "benchmark"), "item_id", "text", 64), "item_id", 64)
+    return vectors.knn(items.withColumnRenamed("item_id", "doc_id"), docs, "doc_id", "embedding", 3, include_self=True)
+
+
+@query("trainer_features")
+def trainer_features(s, d, path="/opt/tokenizers/byte_bpe_50k.json", limit=512):
+    """Chat turns as trainer rows: the user's text is the prompt, the next turn the answer."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = table(s, d, "conversations").withColumn("answer", F.lead("text").over(w)).where("role = 'user' AND answer IS NOT NULL")
+    c = c.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("row_id"), T.highlight_prompt(F.col("text")).alias("prompt"), "answer")
+    return X.trainer_rows(c, "row_id", "prompt", "answer", path, limit)

@@ -308,3 +308,32 @@ def test_stream_appends_each_key_once(spark, tmp_path):
         q.awaitTermination(120)
     got = spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "out")).orderBy("k").collect()
     assert [(r["k"], r["v"]) for r in got] == [(1, "a"), (2, "b"), (3, "d")]
+
+
+def test_trainer_rows_meet_the_contract(spark, sf_dir):
+    from spindrift.plans.catalog import QUERIES
+
+    rows = QUERIES["trainer_features"](spark, sf_dir)
+    assert rows.count() > 5
+    assert all(r["n"] == 0 for r in X.violation_counts(rows, 50_257, 512).collect())
+    assert X.inconsistent_rows(rows, "row_id").count() == 0
+
+
+def test_tokens(spark):
+    from spindrift.functions import tokens
+
+    path = "/opt/tokenizers/byte_bpe_50k.json"
+    df = spark.createDataFrame([("hello world again",), ("",), (None,)], "t string")
+    got = df.select(tokens.count_tokens(F.col("t"), path).alias("n"), tokens.truncate_tokens(F.col("t"), path, 2).alias("h"), tokens.token_segments(F.col("t"), path).alias("s")).collect()
+    assert [r["n"] for r in got] == [3, 0, 0] and [r["h"] for r in got] == ["hello world", "", None]
+    assert [tuple(x) for x in got[0]["s"]] == [(0, 5), (5, 11), (11, 17)]
+
+
+def test_embedding_slot(spark):
+    from spindrift.operators import embedding
+
+    df = spark.createDataFrame([("ab",), ("c",)], "t string")
+    got = embedding.embed(df, "t", lambda ts: [[float(len(t))] for t in ts]).collect()
+    assert sorted(r["embedding"][0] for r in got) == [1.0, 2.0]
+    with pytest.raises(Exception, match="empty text"):
+        embedding.embed(spark.createDataFrame([(" ",)], "t string"), "t", lambda ts: [[0.0]] * len(ts)).collect()
