@@ -150,6 +150,12 @@ def knn_topk(s, d):
     return V.knn(e, e, "vec_id", "embedding", 10).select("src", "dst", "rank", F.round("sim", 6).alias("sim"))
 
 
+@query("knn_approximate")
+def knn_approximate(s, d):
+    e = emb(s, d)
+    return V.knn_approximate(e, e, "vec_id", "embedding", 10)
+
+
 @query("percentile_threshold", f"WITH {KNN} SELECT round(quantile_cont(sim, 0.6), 6) AS threshold FROM nn")
 def percentile_threshold(s, d):
     e = emb(s, d)

@@ -148,6 +148,13 @@ def test_knn_blocks(spark, monkeypatch):
         assert [got[k, r] for r in range(1, 5)] == np.argsort(-sims[k], kind="stable")[:4].tolist()
 
 
+def test_approximate_neighbours_recall(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    pairs = lambda df: {(r["src"], r["dst"]) for r in df.collect()}
+    exact = pairs(V.knn(e, e, "vec_id", "embedding", 10))
+    assert len(exact & pairs(V.knn_approximate(e, e, "vec_id", "embedding", 10))) / len(exact) > 0.9
+
+
 def brute_attach(members, near, threshold):
     size = {}
     for c in members.values():
