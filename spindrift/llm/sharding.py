@@ -52,39 +52,38 @@ def _unit(*cols: Column) -> Column:
 
 
 def propagate(state: DataFrame, shards: int, total: int, rounds: int, slack: float = 0.25) -> DataFrame:
-    """Move linked rows of ``state`` (row, size, hub, giant, salt, shard) towards their hubs' shards.
+    """Move linked rows of ``state`` (row, size, hub, linked, giant, salt, shard) towards their hubs'
+    shards, one join of the linked rows a round.
 
     ``slack`` is how far above an equal share a shard may fill between rounds; the cut that follows
     makes sizes equal again without parting a hub, but for those at the seven cuts.
     """
     capacity = int(total / shards * (1 + slack)) + 1
     full: list[int] = []
+    alone, linked = state.where("NOT linked"), cut(state.where("linked"))  # the others never move
+    resting = {r["shard"]: r["b"] for r in alone.groupBy("shard").agg(F.sum("size").alias("b")).collect()}
     for k in range(rounds):
-        held = state.groupBy("hub", "giant", "shard").agg(F.sum("size").alias("b"), F.count("*").alias("n"))
+        held = linked.groupBy("hub", "giant", "shard").agg(F.sum("size").alias("b"))
         held = held.groupBy("hub", "giant").agg(
-            F.max(F.struct((~F.col("shard").isin(full)).alias("free"), "b", (-F.col("shard")).alias("s"))).alias("best"),
-            F.sum("n").alias("n"),
+            F.max(F.struct((~F.col("shard").isin(full)).alias("free"), "b", (-F.col("shard")).alias("s"))).alias("best")
         )
-        wish = held.where("n > 1").select(
-            "hub", "giant", (-F.col("best.s")).alias("want"),
+        wish = held.select(
+            "hub", "giant", (-F.col("best.s")).cast("int").alias("want"),
             F.explode(F.when(F.col("giant"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"),
-        )
-        asked = state.join(wish, ["hub", "giant", "salt"], "left")
-        asked = asked.withColumn("want", F.coalesce("want", "shard").cast("int"))
+        )
+        asked = cut(linked.join(wish, ["hub", "giant", "salt"]))
         flows = asked.groupBy("shard", "want").agg(F.sum("size").alias("b")).collect()
-        load = [sum(r["b"] for r in flows if r["shard"] == x) for x in range(shards)]
+        load = [resting.get(x, 0) + sum(r["b"] for r in flows if r["shard"] == x) for x in range(shards)]
         share, load = quotas({(r["shard"], r["want"]): r["b"] for r in flows if r["shard"] != r["want"]}, load, capacity)
         full = [x for x in range(shards) if load[x] > total / shards * (1 + slack / 2)]
-        if not any(share.values()):
-            break
         granted = F.lit(0.0)
         for (a, b), v in sorted(share.items()):
             granted = F.when((F.col("shard") == a) & (F.col("want") == b), F.lit(float(v))).otherwise(granted)
         u = F.when(F.col("giant"), _unit(F.lit(k), F.col("hub"), F.col("row"))).otherwise(_unit(F.lit(k), F.col("hub")))
-        state = cut(
-            asked.withColumn("shard", F.when(u < granted, F.col("want")).otherwise(F.col("shard"))).drop("want")
-        )
-    return state
+        linked = asked.withColumn("shard", F.when(u < granted, F.col("want")).otherwise(F.col("shard"))).drop("want")
+        if not any(share.values()):
+            break
+    return alone.unionByName(linked)
 
 
 def even_cut(state: DataFrame, shards: int, total: int) -> DataFrame:
@@ -127,8 +126,11 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataF
     sums = base.agg(F.sum("size").alias("b"), F.count("*").alias("n")).first()
     total, n = sums["b"] or 0, sums["n"]
     many = F.col("count") * GIANT > F.lit(n)
-    giant = [r["hub"] for r in base.groupBy("hub").count().where(many & (F.col("count") > 1)).select("hub").collect()]
-    state = base.withColumn("giant", F.col("hub").isin(giant) if giant else F.lit(False))  # fewer than GIANT
+    hubs = cut(base.groupBy("hub").count().where("count > 1"))
+    giant = [r["hub"] for r in hubs.where(many).select("hub").collect()]  # fewer than GIANT
+    state = base.join(hubs.select("hub", F.lit(True).alias("linked")), "hub", "left")
+    state = state.withColumn("linked", F.coalesce("linked", F.lit(False)))
+    state = state.withColumn("giant", F.col("hub").isin(giant) if giant else F.lit(False))
     state = state.withColumn("salt", F.when(F.col("giant"), F.pmod("row", F.lit(SALTS))).otherwise(0).cast("int"))
     state = state.withColumn("shard", F.pmod(F.xxhash64(F.lit(11), "row"), F.lit(shards)).cast("int"))
     return even_cut(propagate(state, shards, total, rounds), shards, total)
