@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # White space as text tools see it: Java's \\s alone misses the no-break and wide spaces.
@@ -176,25 +176,28 @@ def minute_marker(c: Column) -> Column:
     return F.regexp_extract(strip(c), rf"(?i)^({MINUTE})", 1)
 
 
-def repetition(c: Column) -> Column:
-    """Struct (trigram, fourgram): some 3 words in a row stand thrice, some 4 twice."""
-    w = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"(?U:\w+)"), F.lit(0))
+def with_repetition(df: DataFrame, text_col: str) -> DataFrame:
+    """``df`` with trigram and fourgram: some 3 words in a row stand thrice, some 4 twice.
 
-    def often(n: int, times: int) -> Column:
-        sorted_grams = F.sort_array(ngrams(w, n))
-        size = F.greatest(F.size(sorted_grams) - (times - 1), F.lit(0))
-        pairs = F.zip_with(F.slice(sorted_grams, F.lit(1), size), F.slice(sorted_grams, F.lit(times), size), lambda a, b: a == b)
-        return F.exists(pairs, lambda x: x)
+    Words and sorted n-grams are columns of their own, so each is made once a row.
+    """
+    d = df.withColumn("_w", F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit(r"(?U:\w+)"), F.lit(0)))
+    d = d.withColumn("_g3", F.sort_array(ngrams(F.col("_w"), 3))).withColumn("_g4", F.sort_array(ngrams(F.col("_w"), 4)))
+
+    def often(grams: str, times: int) -> Column:
+        size = F.greatest(F.size(grams) - (times - 1), F.lit(0))
+        equal = F.zip_with(F.slice(grams, F.lit(1), size), F.slice(grams, F.lit(times), size), lambda a, b: a == b)
+        return F.exists(equal, lambda x: x)
 
-    return F.struct(often(3, 3).alias("trigram"), often(4, 2).alias("fourgram"))
+    return d.withColumn("trigram", often("_g3", 3)).withColumn("fourgram", often("_g4", 2)).drop("_w", "_g3", "_g4")
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    """Space-joined n-grams of an array."""
-    size = F.size(tokens)
-    return F.when(
-        size >= n, F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
-    ).otherwise(F.array().cast("array<string>"))
+    """Space-joined n-grams of an array, by zipping its n shifted slices: the array isn't read
+    again for each position."""
+    size = F.greatest(F.size(tokens) - n + 1, F.lit(0))
+    shifted = F.arrays_zip(*(F.slice(tokens, F.lit(k + 1), size).alias(f"w{k}") for k in range(n)))
+    return F.transform(shifted, lambda x: F.concat_ws(" ", *(x[f"w{k}"] for k in range(n))))
 
 
 def payload(c: Column, field: str, following: str | None = None) -> Column:

@@ -120,7 +120,7 @@ g AS (SELECT doc_id, n, array_to_string(w[i : i + n - 1], ' ') AS k FROM (SELECT
 c AS (SELECT doc_id, n, count(*) AS c FROM g GROUP BY doc_id, n, k)
 SELECT doc_id, coalesce(max(CASE WHEN n = 3 THEN c END) >= 3, false) AS trigram, coalesce(max(CASE WHEN n = 4 THEN c END) >= 2, false) AS fourgram FROM t LEFT JOIN c USING (doc_id) GROUP BY doc_id""")
 def repetition(s, d):
-    return docs(s, d).select("doc_id", T.repetition(F.col("text")).alias("r")).select("doc_id", "r.*")
+    return T.with_repetition(docs(s, d), "text").select("doc_id", "trigram", "fourgram")
 
 
 @query("field_payloads", """SELECT p_partkey, array_to_string(list_transform(string_split(p_type, ','), lambda x: trim(x)), '/') AS categories, p_name || '/' || p_brand AS keywords FROM part""")
