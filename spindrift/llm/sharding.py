@@ -4,13 +4,15 @@ Documents with equal texts are linked through a hub, the text's hash.  Documents
 by hash; each round is a Spark join in which the members of a hub ask to move to the shard that
 holds most of its bytes, shards near their capacity only if no other holds any.  Requests are summed to a shard-by-shard matrix (at most 64 numbers on
 the driver) and granted up to quotas: what flows the other way, plus the target's free capacity.
-Rounds end when nothing moves.  A last pass lays the documents on one line, shard after shard and
-hub after hub, and cuts it at equal shares of all bytes, so sizes are equal to within one document
-and only the hubs at a cut, or larger than a shard, lose links.
+Rounds end when nothing moves; a hub that is still apart then, or after the last round, goes whole
+to the shard that it asks for.  A last pass lays the documents on one line, shard after shard and
+hub after hub, and cuts it where each shard is full, so sizes are equal to within one document.
 
-A hub of more than ``1 / GIANT`` of all rows can't stay whole: its members move and are laid out
-each on its own, so no task holds a large hub.  Prefix sums are two-level, over cells (a bounded
-number) and inside a cell.
+A hub of more than ``1 / LARGE`` of all rows or bytes (fewer than ``2 * LARGE`` of them) is packed
+by itself beforehand: whole on one shard, largest first, or, where no shard has room for it, in as
+large parts as fit.  So only the hubs at a cut, which hold less than ``1 / LARGE``, and those that
+no shard can take lose links.  Rows of a large hub are numbered by cells, so no task holds it.
+Prefix sums are two-level, over cells (a bounded number) and inside a cell.
 
 Defined cases: a null text has size 1, checksum 0 and hub null-hash, like the empty text's group;
 rows that repeat a doc_id are placed each on its own; an empty table gives an empty result; other
@@ -26,9 +28,8 @@ from spindrift.llm.common import cut
 
 SHARDS = 8
 ROUNDS = 6
-GIANT = 256
+LARGE = 256
 CELL_BITS = 9
-SALTS = 16
 
 
 def quotas(
@@ -51,9 +52,54 @@ def _unit(*cols: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(7), *cols), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def propagate(state: DataFrame, shards: int, total: int, rounds: int, slack: float = 0.25) -> DataFrame:
-    """Move linked rows of ``state`` (row, size, hub, linked, giant, salt, shard) towards their hubs'
-    shards, one join of the linked rows a round.
+def pack(
+    hubs: list[tuple[int, int, int]], held: dict[tuple[int, int], int], shards: int, total: int
+) -> tuple[list[tuple[int, int, int, int, int]], list[int], list[int]]:
+    """Where the large ``hubs`` (hub, rows, bytes a row) go: parts (hub, shard, first row, end,
+    first slot), and the bytes and rows of each shard after it.  A hub that fits a shard's free
+    room goes there whole, the largest first, to the shard with the least room that does; with equal
+    room, to the one that holds most of it.  What fits no shard fills the freest shards in turn."""
+    share, load, rows = total // shards, [0] * shards, [0] * shards
+    parts = []
+
+    def put(hub: int, at: int, begin: int, n: int, size: int) -> None:
+        parts.append((hub, at, begin, begin + n, rows[at]))
+        load[at] += n * size
+        rows[at] += n
+
+    for hub, count, size in sorted(hubs, key=lambda h: (-h[1] * h[2], h[0])):
+        begin = 0
+        while begin < count:
+            left = count - begin
+            room = [x for x in range(shards) if load[x] + left * size <= share]
+            if room:
+                put(hub, min(room, key=lambda x: (-load[x], -held.get((hub, x), 0), x)), begin, left, size)
+                break
+            at = min(range(shards), key=lambda x: (load[x], -held.get((hub, x), 0), x))
+            n = min(left, max(1, (share - load[at]) // size))
+            put(hub, at, begin, n, size)
+            begin += n
+    return parts, load, rows
+
+
+def free_room(load: list[int], rest: int) -> list[int]:
+    """``rest`` bytes poured over the shards' ``load`` up to one level: what each takes, in whole
+    bytes that sum to ``rest``."""
+    order = sorted(load)
+    for n in range(1, len(order) + 1):
+        level = (rest + sum(order[:n])) / n
+        if n == len(order) or level <= order[n]:
+            break
+    ends = [0.0]
+    for x in load:
+        ends.append(ends[-1] + max(0.0, level - x))
+    whole = [round(e) for e in ends[:-1]] + [rest]
+    return [b - a for a, b in zip(whole, whole[1:], strict=False)]
+
+
+def propagate(state: DataFrame, shards: int, total: int, rounds: int, packed: list[int], slack: float = 0.25) -> DataFrame:
+    """Move linked rows of ``state`` (row, size, hub, linked, shard) towards their hubs' shards, one
+    join of the linked rows a round.  In the result no hub is on two shards.
 
     ``slack`` is how far above an equal share a shard may fill between rounds; the cut that follows
     makes sizes equal again without parting a hub, but for those at the seven cuts.
@@ -62,34 +108,36 @@ def propagate(state: DataFrame, shards: int, total: int, rounds: int, slack: flo
     full: list[int] = []
     alone, linked = state.where("NOT linked"), cut(state.where("linked"))  # the others never move
     resting = {r["shard"]: r["b"] for r in alone.groupBy("shard").agg(F.sum("size").alias("b")).collect()}
-    for k in range(rounds):
-        held = linked.groupBy("hub", "giant", "shard").agg(F.sum("size").alias("b"))
-        held = held.groupBy("hub", "giant").agg(
+    resting = {x: resting.get(x, 0) + packed[x] for x in range(shards)}
+
+    def asking() -> DataFrame:
+        held = linked.groupBy("hub", "shard").agg(F.sum("size").alias("b"))
+        held = held.groupBy("hub").agg(
             F.max(F.struct((~F.col("shard").isin(full)).alias("free"), "b", (-F.col("shard")).alias("s"))).alias("best")
         )
-        wish = held.select(
-            "hub", "giant", (-F.col("best.s")).cast("int").alias("want"),
-            F.explode(F.when(F.col("giant"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"),
-        )
-        asked = cut(linked.join(wish, ["hub", "giant", "salt"]))
+        return linked.join(held.select("hub", (-F.col("best.s")).cast("int").alias("want")), "hub")
+
+    for k in range(rounds):
+        asked = cut(asking())
         flows = asked.groupBy("shard", "want").agg(F.sum("size").alias("b")).collect()
-        load = [resting.get(x, 0) + sum(r["b"] for r in flows if r["shard"] == x) for x in range(shards)]
+        load = [resting[x] + sum(r["b"] for r in flows if r["shard"] == x) for x in range(shards)]
         share, load = quotas({(r["shard"], r["want"]): r["b"] for r in flows if r["shard"] != r["want"]}, load, capacity)
         full = [x for x in range(shards) if load[x] > total / shards * (1 + slack / 2)]
         granted = F.lit(0.0)
         for (a, b), v in sorted(share.items()):
             granted = F.when((F.col("shard") == a) & (F.col("want") == b), F.lit(float(v))).otherwise(granted)
-        u = F.when(F.col("giant"), _unit(F.lit(k), F.col("hub"), F.col("row"))).otherwise(_unit(F.lit(k), F.col("hub")))
+        u = _unit(F.lit(k), F.col("hub"))
         linked = asked.withColumn("shard", F.when(u < granted, F.col("want")).otherwise(F.col("shard"))).drop("want")
         if not any(share.values()):
             break
+    linked = asking().withColumn("shard", F.col("want")).drop("want")
     return alone.unionByName(linked)
 
 
-def even_cut(state: DataFrame, shards: int, total: int) -> DataFrame:
-    """``state`` with shard cut to equal bytes and slot, gapless from 0 in each shard."""
-    place = F.when(F.col("giant"), F.xxhash64("hub", "row")).otherwise(F.xxhash64(F.lit(3), "hub"))
-    s = state.withColumn("place", place).withColumn("cell", F.shiftrightunsigned("place", 64 - CELL_BITS))
+def even_cut(state: DataFrame, shards: int, room: list[int], before: list[int]) -> DataFrame:
+    """``state`` with shard cut to the ``room`` of each shard and slot, gapless from ``before``."""
+    s = state.withColumn("place", F.xxhash64(F.lit(3), "hub"))
+    s = s.withColumn("cell", F.shiftrightunsigned("place", 64 - CELL_BITS))
     cells = s.groupBy("shard", "cell").agg(F.sum("size").alias("b"), F.count("*").alias("n"))
     line = Window.orderBy("shard", "cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select(
@@ -105,11 +153,27 @@ def even_cut(state: DataFrame, shards: int, total: int) -> DataFrame:
         F.row_number().over(inside).alias("n1"),
     ).join(F.broadcast(cells), ["shard", "cell"])  # at most shards * 2**CELL_BITS rows
     middle = F.col("b0") + F.col("b1") + F.expr("size div 2")
-    cut_at = F.least(F.lit(shards - 1), F.floor(middle * shards / F.lit(max(1, total)))).cast("int")
+    ends = [sum(room[: x + 1]) for x in range(shards - 1)]
+    last = max((x for x in range(shards) if room[x]), default=shards - 1)
+    cut_at = F.least(F.lit(last), sum(((middle >= e).cast("int") for e in ends), F.lit(0))).cast("int")
     s = s.withColumn("shard", cut_at).withColumn("rank", F.col("n0") + F.col("n1") - 1).drop("b0", "b1", "n0", "n1")
     s = cut(s)
     first = s.groupBy("shard").agg(F.min("rank").alias("first"))
-    return s.join(F.broadcast(first), "shard").withColumn("slot", F.col("rank") - F.col("first"))
+    s = s.join(F.broadcast(first), "shard")
+    return s.withColumn("slot", F.col("rank") - F.col("first") + F.get(F.array(*map(F.lit, before)), F.col("shard")))
+
+
+def numbered(large: DataFrame, counts: dict[int, int], rows: int) -> DataFrame:
+    """``large`` with ``nth``, gapless from 0 in each hub; a cell holds about as many rows as one
+    of ``even_cut``."""
+    cells = SHARDS << CELL_BITS
+    salts = F.create_map(*[F.lit(x) for h, n in counts.items() for x in (h, 1 + n * cells // rows)])
+    s = large.withColumn("cell", F.pmod(F.xxhash64(F.lit(5), "hub", "row"), salts[F.col("hub")]))
+    n0 = s.groupBy("hub", "cell").agg(F.count("*").alias("n"))
+    line = Window.partitionBy("hub").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    n0 = n0.select("hub", "cell", F.coalesce(F.sum("n").over(line), F.lit(0)).alias("n0"))
+    s = s.withColumn("n1", F.row_number().over(Window.partitionBy("hub", "cell").orderBy("row")))
+    return s.join(F.broadcast(n0), ["hub", "cell"]).withColumn("nth", F.col("n0") + F.col("n1") - 1)
 
 
 def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
@@ -122,18 +186,30 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataF
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         F.xxhash64(text).alias("hub"),
     )
-    base = cut(base)
+    base = cut(base.withColumn("shard", F.pmod(F.xxhash64(F.lit(11), "row"), F.lit(shards)).cast("int")))
     sums = base.agg(F.sum("size").alias("b"), F.count("*").alias("n")).first()
     total, n = sums["b"] or 0, sums["n"]
-    many = F.col("count") * GIANT > F.lit(n)
-    hubs = cut(base.groupBy("hub").count().where("count > 1"))
-    giant = [r["hub"] for r in hubs.where(many).select("hub").collect()]  # fewer than GIANT
-    state = base.join(hubs.select("hub", F.lit(True).alias("linked")), "hub", "left")
+    hubs = cut(base.groupBy("hub").agg(F.count("*").alias("count"), F.max("size").alias("size")).where("count > 1"))
+    many = (F.col("count") * LARGE > F.lit(n)) | (F.col("count") * F.col("size") * LARGE > F.lit(total))
+    large = [(r["hub"], r["count"], r["size"]) for r in hubs.where(many).collect()]  # fewer than 2 * LARGE
+    ids = [h for h, _, _ in large]
+    out = ["doc_id", "row", "size", "text_crc32", "shard", "slot"]
+    parts, load, before = [], [0] * shards, [0] * shards
+    if large:
+        own = base.where(F.col("hub").isin(ids))
+        held = {(r["hub"], r["shard"]): r["b"] for r in own.groupBy("hub", "shard").agg(F.sum("size").alias("b")).collect()}
+        parts, load, before = pack(large, held, shards, total)
+    small = base.where(~F.col("hub").isin(ids)) if large else base
+    state = small.join(hubs.where(~many).select("hub", F.lit(True).alias("linked")), "hub", "left")
     state = state.withColumn("linked", F.coalesce("linked", F.lit(False)))
-    state = state.withColumn("giant", F.col("hub").isin(giant) if giant else F.lit(False))
-    state = state.withColumn("salt", F.when(F.col("giant"), F.pmod("row", F.lit(SALTS))).otherwise(0).cast("int"))
-    state = state.withColumn("shard", F.pmod(F.xxhash64(F.lit(11), "row"), F.lit(shards)).cast("int"))
-    return even_cut(propagate(state, shards, total, rounds), shards, total)
+    room = free_room(load, total - sum(load))
+    laid = even_cut(propagate(state, shards, total, rounds, load), shards, room, before).select(*out)
+    if not large:
+        return laid
+    where = docs.sparkSession.createDataFrame(parts, "hub long, to int, begin long, end long, slot0 long")
+    own = numbered(own.drop("shard"), {h: c for h, c, _ in large}, n).join(F.broadcast(where), "hub").where("nth >= begin AND nth < end")
+    own = own.withColumn("shard", F.col("to")).withColumn("slot", F.col("slot0") + F.col("nth") - F.col("begin"))
+    return laid.unionByName(own.select(*out))
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:

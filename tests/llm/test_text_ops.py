@@ -210,6 +210,32 @@ def test_sharding_is_even_and_keeps_groups(spark):
     assert (groups["nunique"] == 1).mean() > 0.9
 
 
+def test_sharding_keeps_large_groups(spark):
+    """Groups of 300 to 2,000 rows that fit a shard, one that doesn't, and a table of pairs only."""
+    rng = random.Random(5)
+    counts = [300, 500, 700, 900, 1200, 1500, 2000] * 2 + [3500]
+    texts = ["t%09d" % rng.randint(0, 10**9 - 1) for _ in range(9000)] + [f"group {k:03d} " for k, c in enumerate(counts) for _ in range(c)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sharding.sharding_query(df).toPandas()
+    assert len(got) == len(texts) and got.doc_id.is_unique
+    size = got.groupby("shard")["size"].sum()
+    assert size.max() - size.min() <= 2 * got["size"].max()
+    assert all(sorted(x) == list(range(len(x))) for _, x in got.groupby("shard").slot)
+    groups = got.groupby("text_crc32").shard.agg(["nunique", "count"])
+    assert (groups[(groups["count"] > 1) & (groups["count"] < 3500)]["nunique"] == 1).all()
+    assert (groups[groups["count"] == 3500]["nunique"] == 2).all()
+    pairs = spark.createDataFrame([(k, f"pair {k // 2 % 40:03d}") for k in range(80)], "doc_id long, text string")
+    got = sharding.sharding_query(pairs).toPandas()
+    assert (got.groupby("text_crc32").shard.nunique() == 1).all() and (got.groupby("shard").size() == 10).all()
+
+
+def test_sharding_packs_to_a_level():
+    parts, load, rows = sharding.pack([(1, 30, 10), (2, 6, 10), (3, 1, 500)], {}, 4, 1000)
+    assert sum(e - b for _, _, b, e, _ in parts) == 37 and sum(load) == 860 and sum(rows) == 37
+    assert sharding.free_room([500, 120, 120, 120], 140) == [0, 47, 46, 47]
+    assert sharding.free_room([0, 0], 0) == [0, 0]
+
+
 def test_language(spark, edge, edge_rows, empty):
     got = {(r["doc_id"], r["lang_pred"]): r for r in language_id.language_query(edge).collect()}
     assert got[0, "und"]["score"] == 0.0 and (1, "und") in got and (18, "und") in got
