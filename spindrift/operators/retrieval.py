@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,6 +136,42 @@ def max_sim(query: Column, doc: Column) -> Column:
     return score(query, doc)
 
 
+def max_sim_sets(vectors: DataFrame, set_col: str, id_col: str, vec_col: str, block: int = 2048) -> DataFrame:
+    """(q, doc, score): ``max_sim`` of every two different sets, all their vectors included.
+
+    Blocks of one set each meet as matrix products; a pair of blocks gives each query vector's
+    best, and the largest of these over all blocks of the other set is summed.  Work is rows x rows.
+    """
+    sizes = vectors.groupBy(F.col(set_col).alias("q")).agg(F.ceil(F.count("*") / block).alias("n"))
+    n = sizes.agg(F.sum("n")).first()[0] or 1
+    rows = vectors.select(F.col(set_col).alias("q"), F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    rows = rows.join(F.broadcast(sizes), "q").withColumn("block", F.pmod(F.xxhash64("id"), "n"))
+    a = rows.groupBy("q", "block").agg(F.collect_list("id").alias("qi"), F.flatten(F.collect_list("v")).alias("qm"))
+    a = a.repartition(min(n, 32))  # blocks, not rows
+    b = a.select(F.col("q").alias("doc"), F.col("qm").alias("bm"), F.size("qi").alias("bn"))
+
+    def run(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                qi, qm, bm = (np.asarray(batch.column(c)[row].values) for c in ("qi", "qm", "bm"))
+                q = qm.reshape(len(qi), -1)[np.argsort(qi, kind="stable")]
+                best = (q @ bm.reshape(batch.column("bn")[row].as_py(), -1).T).max(1)
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c).slice(row, 1) for c in ("q", "block", "doc")), pa.array([best], pa.list_(pa.float64()))], names=["q", "block", "doc", "best"]
+                )
+
+    kinds = {f.name: f.dataType.simpleString() for f in a.schema}
+    pairs = a.crossJoin(b).where("q <> doc")
+    best = pairs.mapInArrow(run, f"q {kinds['q']}, block {kinds['block']}, doc {kinds['q']}, best array<double>")
+
+    @F.pandas_udf("double")
+    def total(x: pd.Series) -> float:
+        return float(np.maximum.reduce(list(x)).sum())
+
+    per_block = best.groupBy("q", "block", "doc").agg(total("best").alias("s"))
+    return per_block.groupBy("q", "doc").agg(F.sum("s").alias("score"))
+
+
 def transport_score(a: np.ndarray, b: np.ndarray) -> float:
     """1 - the cost of moving uniform mass between two sets of unit vectors, the cost being cosine
     distance clamped to [0, 1]; both empty is 1, one empty 0.  Exact, by successive shortest

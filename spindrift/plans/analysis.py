@@ -284,12 +284,7 @@ def chunk_spans(s, d):
 
 @query("late_interaction")
 def late_interaction(s, d):
-    e = table(s, d, "embeddings").groupBy("label").agg(F.slice(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))), 1, 8).alias("x"))
-    e = e.select("label", F.col("x.embedding").alias("m"))
-    return e.alias("a").crossJoin(e.alias("b")).where("a.label <> b.label").select(
-        F.col("a.label").alias("q"), F.col("b.label").alias("doc"), F.round(Q.max_sim(F.col("a.m"), F.col("b.m")), 6).alias("score"),
-        F.round(Q.mover_score(F.col("a.m"), F.col("b.m")), 6).alias("mover"),
-    )
+    return Q.max_sim_sets(table(s, d, "embeddings"), "label", "vec_id", "embedding").select("q", "doc", F.round("score", 6).alias("score"))
 
 
 ROWS = """

@@ -15,6 +15,7 @@ from spindrift.operators import relational as R
 from spindrift.operators import retrieval as Q
 from spindrift.operators import sampling as P
 from spindrift.operators import vectors as V
+from spindrift.plans.catalog import QUERIES
 from spindrift.sources import files
 from spindrift.streaming import incremental
 
@@ -274,6 +275,27 @@ def test_transport_score():
         assert Q.transport_score(x, y) == pytest.approx(1 - best)
 
 
+def test_late_interaction_scores_whole_sets(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").toPandas()
+    sets = {k: np.stack(list(g.embedding)).astype(float) for k, g in e.groupby("label")}
+    got = {(r["q"], r["doc"]): r["score"] for r in QUERIES["late_interaction"](spark, sf_dir).collect()}
+    assert set(got) == {(a, b) for a in sets for b in sets if a != b}
+    assert all(v == pytest.approx((sets[a] @ sets[b].T).max(1).sum(), abs=2e-6) for (a, b), v in got.items())
+    small = Q.max_sim_sets(spark.createDataFrame(e[["label", "vec_id", "embedding"]]), "label", "vec_id", "embedding", 7)
+    assert {(r["q"], r["doc"]): round(r["score"], 6) for r in small.collect()} == pytest.approx(got)
+
+
+def test_mover_score_of_unequal_sets(spark):
+    from itertools import permutations
+
+    rng = np.random.default_rng(3)
+    x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (rng.standard_normal((2, 3)), rng.standard_normal((4, 3))))
+    cost = np.clip(1 - np.repeat(x, 2, 0) @ y.T, 0, 1)
+    best = min(sum(cost[i, p[i]] for i in range(4)) / 4 for p in permutations(range(4)))
+    df = spark.createDataFrame([(x.tolist(), y.tolist())], "a array<array<double>>, b array<array<double>>")
+    assert df.select(Q.mover_score(F.col("a"), F.col("b")).alias("m")).first()["m"] == pytest.approx(1 - best)
+
+
 def test_recommendations_have_a_row_for_every_query(spark):
     q = spark.createDataFrame([(1,), (2,)], "q long")
     f = spark.createDataFrame([(1, 1, 1), (1, 3, 2), (1, 3, 3), (1, 4, 4)], "q long, doc long, rank long")
