@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -149,12 +150,22 @@ def normalize_combination(c: Column) -> Column:
 
 
 def strip_highlight_prefix(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"(?i)^\s*highlight\s*:\s*", ""))
+    return F.trim(F.regexp_replace(c, rf"(?i)^{WHITE}*highlight{WHITE}*:{WHITE}*", ""))
+
+
+def casefold(c: Column) -> Column:
+    """Full case folding, which ``lower`` isn't: a sharp s equals ss."""
+
+    @F.pandas_udf("string")
+    def fold(x: pd.Series) -> pd.Series:
+        return x.map(str.casefold, na_action="ignore")
+
+    return fold(c)
 
 
 def comparable(c: Column) -> Column:
     """A response normalised for comparison."""
-    return F.lower(collapse(strip_highlight_prefix(F.coalesce(c, F.lit("")))))
+    return casefold(collapse(strip_highlight_prefix(F.coalesce(c, F.lit("")))))
 
 
 def claim_sentences(c: Column) -> Column:

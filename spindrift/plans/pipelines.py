@@ -92,6 +92,13 @@ def chunk_ingest(s, d):
     return R.insert_if_absent(t.where("doc_id % 5 = 1"), t.where("doc_id % 2 = 0"), ["k"], [F.col("doc_id")])
 
 
+@query("chunk_ingest_whole")
+def chunk_ingest_whole(s, d):
+    """All documents come in, keyed by their whole texts; a null text has no key and stays out."""
+    t = table(s, d, "documents").where("text IS NOT NULL").select(F.md5("text").alias("k"), "doc_id")
+    return R.insert_if_absent(t.where("doc_id % 5 = 1"), t, ["k"], [F.col("doc_id")])
+
+
 @query("recommendation_upsert", """SELECT vec_id, CASE WHEN vec_id % 10 = 0 THEN '' WHEN vec_id % 2 = 0 THEN vec_id || ',' || (vec_id + 1) ELSE 'old' END AS ids FROM embeddings""")
 def recommendation_upsert(s, d):
     e = table(s, d, "embeddings").select("vec_id")
@@ -309,11 +316,25 @@ def metric_summary(s, d):
     return c.select("conv_id", "turn", T.summary_for_metric(t).alias("summary"), T.has_legacy_tags(F.col("text")).alias("legacy"))
 
 
+@query("metric_summary_whole")
+def metric_summary_whole(s, d):
+    """Every turn, those with brackets and tags too."""
+    c = table(s, d, "conversations")
+    t = F.concat(F.lit("[SUMMARY]<|x|> Summary : "), F.coalesce("text", F.lit("")), F.lit("\u3000[/SUMMARY]"))
+    return c.select("conv_id", "turn", T.summary_for_metric(t).alias("summary"), T.has_legacy_tags(F.col("text")).alias("legacy"))
+
+
 @query("html_escape", """SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '\'\'', '&#x27;') AS safe FROM pages WHERE html NOT LIKE '%\'\'%'""".replace("\\'\\'", "''"))
 def html_escape(s, d):
     return table(s, d, "pages").where("html NOT LIKE '%\\'%'").select("page_id", T.escape_html(F.col("html")).alias("safe"))
 
 
+@query("html_escape_whole")
+def html_escape_whole(s, d):
+    """Every page, those with an apostrophe too."""
+    return table(s, d, "pages").select("page_id", T.escape_html(F.col("html")).alias("safe"))
+
+
 @query("inference_rows", r"""SELECT doc_id, 'highlight' AS task, 'Article:' || chr(10) || text AS prompt FROM documents WHERE len(list_filter(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda w: w <> '')) >= 30 AND source IN ('src1', 'src2', 'src3')
 UNION ALL SELECT doc_id, 'both', 'Allowed: a, b' || chr(10) || 'Title: ' || lang || chr(10) || 'Body: ' || text FROM documents WHERE len(list_filter(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda w: w <> '')) >= 30 AND source IN ('src1', 'src2', 'src3')""")
 def inference_rows(s, d, least=30):

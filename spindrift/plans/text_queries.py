@@ -53,6 +53,16 @@ def representation(s, d):
     return t.select("doc_id", T.representation(F.left("text", F.lit(10)), cats, F.array("source", "lang"), T.first_words(F.col("text"), 5)).alias("repr"))
 
 
+@query("representation_text_whole")
+def representation_whole(s, d):
+    """Every document: its first line as title, its whole text as body."""
+    t = docs(s, d)
+    text = F.coalesce("text", F.lit(""))
+    cats = F.when(F.col("lang") != "en", F.array("lang")).otherwise(F.array().cast("array<string>"))
+    keys = F.array_compact(F.array("source", "lang"))
+    return t.select("doc_id", T.representation(F.substring_index(text, "\n", 1), cats, keys, text).alias("repr"))
+
+
 @query("label_normalize", r"SELECT p_partkey, regexp_replace(p_brand || CASE WHEN p_size % 2 = 0 THEN 'special' ELSE '' END || p_size, '^(.*special)\d+$', '\1') AS label FROM part")
 def label_normalize(s, d):
     p = table(s, d, "part")
@@ -112,6 +122,14 @@ def response_changed(s, d):
     return c.select("conv_id", "turn", (T.comparable(F.col("text")) != T.comparable(F.concat(F.lit("Highlight: "), F.upper("text"), F.lit(" ")))).alias("changed"))
 
 
+@query("response_changed_whole")
+def response_changed_whole(s, d):
+    """Every turn, whatever its letters or its opening."""
+    c = table(s, d, "conversations")
+    other = F.concat(F.lit("Highlight: "), F.upper("text"), F.lit(" "))
+    return c.select("conv_id", "turn", (T.comparable(F.col("text")) != T.comparable(other)).alias("changed"))
+
+
 TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
 
 
