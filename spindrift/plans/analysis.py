@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import parsing as P
 from spindrift.functions import scalars as S
+from spindrift.functions import text as T
 from spindrift.operators import features as X
 from spindrift.operators import relational as R
 from spindrift.operators import retrieval as Q
+from spindrift.operators import vectors as V
 from spindrift.plans.registry import query
 from spindrift.sources.tables import table
 
@@ -269,6 +271,56 @@ def evidence_packets(s, d):
     return p.select("q", F.array_join(text, ";").alias("packet"))
 
 
+def whole_scores(s, d):
+    """Hybrid search of every 50th vector among all rows: inner products, and BM25 of the first
+    sentence of its document over the texts of all rows.
+
+    Without a keyword hit a row's score falls with its inner product, so beside the hits (with
+    theirs) only the nearest rows can be among the best; the farthest one keeps the scaling that
+    of all rows.
+    """
+    e = table(s, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    ask = e.where("vec_id % 50 = 0")
+    texts = table(s, d, "documents").join(e.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), "text")
+    said = texts.where("doc % 50 = 0").select(F.col("doc").alias("q"), F.get(T.claim_sentences(F.col("text")), F.lit(0)).alias("said"))
+    k = Q.bm25(texts, "doc", "text", said, "q", "said").where("q <> doc")
+    near = V.knn(ask, e, "vec_id", "embedding", 32).select(F.col("src").alias("q"), F.col("dst").alias("doc"), F.col("sim").alias("score"))
+    far = V.knn(ask, e.withColumn("embedding", F.transform("embedding", lambda x: -x)), "vec_id", "embedding", 1)
+    far = far.select(F.col("src").alias("q"), F.col("dst").alias("doc"), (-F.col("sim")).alias("score"))
+    hit = k.select("q", "doc").join(ask.select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe")), "q")
+    hit = hit.join(e.withColumnRenamed("vec_id", "doc"), "doc").select("q", "doc", S.dot(F.col("qe"), F.col("embedding")).alias("score"))
+    v = near.unionByName(far).unionByName(hit).groupBy("q", "doc").agg(F.round(F.max("score"), 9).alias("score"))
+    return Q.hybrid(v, k, "q", "doc", 0.7, 8, None)
+
+
+@query("hybrid_search_whole")
+def hybrid_search_whole(s, d):
+    return whole_scores(s, d).select("q", "doc", F.round("score", 6).alias("score"), "rank")
+
+
+@query("confident_topics_whole")
+def confident_topics_whole(s, d):
+    return Q.confident(whole_scores(s, d), "score", 0.52).groupBy("q").agg(F.count("*").alias("n"), F.round(F.max("score"), 6).alias("best"))
+
+
+@query("recommendation_records_whole")
+def recommendation_records_whole(s, d):
+    asked = table(s, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"))
+    r = Q.recommendation_records(asked, whole_scores(s, d), "q", "doc", [F.col("rank")], 5)
+    return r.select("q", F.array_join(F.transform("recommended", lambda x: x.cast("string")), ",").alias("ids"))
+
+
+@query("evidence_packets_whole")
+def evidence_packets_whole(s, d):
+    """Each query's claims are the sentences of its document, all with the evidence of their query."""
+    t = table(s, d, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("q"), "text")
+    claims = Q.claim_jobs(t.join(table(s, d, "embeddings").select(F.col("vec_id").alias("q")), "q", "left_semi"), "q", "text")
+    found = claims.select("q", "claim_idx").join(whole_scores(s, d), "q")
+    p = Q.evidence_packets(claims, found, "q", 2)
+    text = F.transform("claims", lambda c: F.concat(c["claim_idx"].cast("string"), F.lit(":"), F.array_join(F.transform(c["evidence"], lambda e: e["doc"].cast("string")), ",")))
+    return p.select("q", F.array_join(text, ";").alias("packet"))
+
+
 @query("sentence_chunks", r"""WITH c AS (SELECT doc_id, string_split(regexp_replace(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), '([.!?]) ', '\1' || chr(1), 'g'), chr(1)) AS ss FROM documents WHERE NOT regexp_matches(text, '(?i)\d\s*min')),
 f AS (SELECT doc_id, list_filter(ss, lambda x: len(string_split(trim(x), ' ')) >= 3) AS ss FROM c)
 SELECT doc_id, doc_id || '::sent::' || i AS chunk_id, ss[i + 1] AS chunk_text FROM (SELECT doc_id, ss, unnest(range(0, len(ss))) AS i FROM f)""")

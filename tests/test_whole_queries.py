@@ -2,8 +2,11 @@
 
 import hashlib
 import html
+import math
 import re
+from collections import Counter
 
+import numpy as np
 import pytest
 
 from spindrift.plans.catalog import ORACLES, QUERIES
@@ -67,3 +70,36 @@ def test_chunk_ingest_whole(spark, tables):
     want = {h: min(k for k, g in rows if g == h) for _, h in rows if h not in stored}
     got = QUERIES["chunk_ingest_whole"](spark, tables).collect()
     assert len(got) == len(want) and {r["k"]: r["doc_id"] for r in got} == want
+
+
+def test_hybrid_search_whole(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").toPandas().sort_values("vec_id")
+    ids, m = list(e.vec_id), np.stack(list(e.embedding)).astype(float)
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect() if r["doc_id"] in set(ids)}
+    terms = {k: re.findall("[a-z0-9]+", t.lower()) for k, t in docs.items()}
+    tf, avg = {k: Counter(w) for k, w in terms.items()}, sum(map(len, terms.values())) / len(terms)
+    df = Counter(w for c in tf.values() for w in c)
+    scale = lambda x: {k: (v - min(x.values())) / (max(x.values()) - min(x.values())) if max(x.values()) > min(x.values()) else 1.0 for k, v in x.items()}
+    want = {}
+    for n, q in enumerate(ids):
+        if q % 50:
+            continue
+        v = scale({d: round(float(x), 9) for d, x in zip(ids, m @ m[n], strict=True) if d != q})
+        sentences = [x.strip() for x in re.split(r"(?<=[.!?])\s+", re.sub("(?i)^highlight:", "", docs.get(q, "").strip()).strip()) if x.strip()]
+        words = set(re.findall("[a-z0-9]+", sentences[0].lower())) if sentences else set()
+        hit = {d: [w for w in words if w in c] for d, c in tf.items() if d != q and words & set(c)}
+        idf = {w: math.log(1 + (len(tf) - df[w] + 0.5) / (df[w] + 0.5)) for w in words}
+        k = scale({d: sum(idf[w] * tf[d][w] * 2.2 / (tf[d][w] + 1.2 * (0.25 + 0.75 * len(terms[d]) / avg)) for w in ws) for d, ws in hit.items()}) if hit else {}
+        s = {d: 0.7 * x + 0.3 * k.get(d, 0) for d, x in v.items()}
+        want[q] = sorted(s, key=lambda d: (-round(s[d], 9), d))[:8], s
+    got = {}
+    for r in QUERIES["hybrid_search_whole"](spark, sf_dir).orderBy("q", "rank").collect():
+        got.setdefault(r["q"], []).append(r["doc"])
+        assert r["score"] == pytest.approx(want[r["q"]][1][r["doc"]], abs=2e-6)
+    assert got == {q: w for q, (w, _) in want.items()}
+    rec = {r["q"]: r["ids"] for r in QUERIES["recommendation_records_whole"](spark, sf_dir).collect()}
+    assert rec == {q: ",".join(map(str, w[:5])) for q, (w, _) in want.items()}
+    packets = {r["q"]: r["packet"] for r in QUERIES["evidence_packets_whole"](spark, sf_dir).collect()}
+    assert packets and all(p.startswith("0:" + ",".join(map(str, got[q][:2]))) for q, p in packets.items())
+    best = {r["q"]: r["n"] for r in QUERIES["confident_topics_whole"](spark, sf_dir).collect()}
+    assert best == {q: n for q, (w, s) in want.items() if (n := sum(s[d] >= 0.52 for d in w))}
