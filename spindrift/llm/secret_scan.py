@@ -107,16 +107,16 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def scan(
-    docs: DataFrame, repo_col: str = "doc_id", owner_col: str = "source", max_owners: int = 2, max_repos: int = 8
+    docs: DataFrame, repo_col: str = "doc_id", owner_col: str = "source", max_owners: int = 2, max_repos: int | None = 8
 ) -> DataFrame:
     """doc_id, base, added (spans as arrays of structs) and n_live: how many distinct candidate
-    values of the document are owner-specific."""
+    values of the document are owner-specific.  Without ``max_repos`` owners alone decide, however
+    often an owner's documents repeat a value."""
     found = cut(find(docs, repo_col, owner_col))
-    live = (
-        ownership(found)
-        .where((F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos))
-        .select("hash")
-    )
+    few = F.col("n_owners") <= max_owners
+    if max_repos is not None:
+        few &= F.col("n_repos") <= max_repos
+    live = ownership(found).where(few).select("hash")
     c = (
         found.where((F.size("base") > 0) | (F.size("extra") > 0))
         .select("doc_id", "row", F.explode(F.concat("base", "extra")).alias("s"))
@@ -147,9 +147,9 @@ def _joined(spans: Column) -> Column:
     )
 
 
-def secrets_query(docs: DataFrame) -> DataFrame:
+def secrets_query(docs: DataFrame, max_repos: int | None = 8) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans and n_live of every document."""
-    s = scan(docs.select("doc_id", "text", "source"))
+    s = scan(docs.select("doc_id", "text", "source"), max_repos=max_repos)
     count = lambda k: F.size(F.filter("base", lambda x: x["order"] == k)).cast("long")
     return s.select(
         "doc_id",

@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 from spindrift.llm import quality_rules, secret_scan, source_mixing, url_filter
+from spindrift.llm.queries import QUERIES
 
 
 def count_words(t):
@@ -92,6 +93,16 @@ def test_secret_ownership(spark):
     assert all(got[k]["spans"] == "" and got[k]["n_live"] == 0 for k in range(20))
 
 
+def test_secret_ownership_ignores_copies(spark, tmp_path):
+    lone, shared = "Zq7" * 9, "Ex4mpl3" * 5
+    rows = [(k, f"mine {lone} ok", "s1") for k in range(12)] + [(20 + k, f"see {shared}", f"s{k}") for k in range(3)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in QUERIES["op6_secret_scan_by_owner"](spark, str(tmp_path)).collect()}
+    assert len(got) == 15
+    assert all(got[k]["spans"] == f"opaque:5:{5 + len(lone)}" and got[k]["n_live"] == 1 for k in range(12))
+    assert all(got[20 + k]["spans"] == "" and got[20 + k]["n_live"] == 0 for k in range(3))
+
+
 def test_water_fill(spark):
     df = spark.createDataFrame([("a", 100), ("b", 10), (None, 0), ("c", 50)], "source string, source_size long")
     got = {r["source"]: r["target"] for r in source_mixing.water_fill(df).collect()}
