@@ -38,13 +38,17 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-TRIGGER = re.compile(r"[0-9@]|[\[({]\s?at\s?[\])}]")
+TRIGGER = re.compile(r"[0-9@]|[\[({]\s?(?i:at)\s?[\])}]")
 #: Bytes without which a text can hold neither a base span nor a trigger.
 HOT = np.zeros(256, bool)
 HOT[[*range(0x30, 0x3A), 0x40, 0x28, 0x5B, 0x7B]] = True
-#: Forms that an added span must have, whole.
+#: Forms that an added span must have, whole; of an address at least one sign must be disguised.
+AT, DOT = r" ?[\[({] ?(?i:at) ?[\])}] ?", r" ?[\[({] ?(?i:dot) ?[\])}] ?"
 FORMS = (
-    re.compile(r"[A-Za-z0-9._%+-]+ ?[\[({] ?at ?[\])}] ?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+| ?[\[({] ?dot ?[\])}] ?[A-Za-z0-9-]+)+"),
+    re.compile(
+        rf"[A-Za-z0-9._%+-]+(?:{AT}[A-Za-z0-9-]+(?:(?:\.|{DOT})[A-Za-z0-9-]+)+"
+        rf"|@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*{DOT}[A-Za-z0-9-]+(?:(?:\.|{DOT})[A-Za-z0-9-]+)*)"
+    ),
     re.compile(r"[0-9]{1,3}(?: ?(?:\[\.\]|\(\.\)) ?[0-9]{1,3}){3}"),
     re.compile(r"[0-9](?:[ ./-]{0,2}[0-9]){12,18}"),
     re.compile(r"(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}"),
@@ -116,7 +120,9 @@ def examples(n: int, length: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     def email() -> str:
         local = word() + pick(["", "", f".{num(1)}", f".{num(2)}", f"_{word()}", f".{word()}", num(3)])
         dot = pick([".", ".", "[dot]", "(dot)", " [dot] ", " (dot) "])
-        return local + pick(["@", " [at] ", "[at]", "(at)", " (at) ", "{at}"]) + word() + dot + pick(["com", "org", "net", "de"])
+        at = pick(["@", " [at] ", "[at]", "(at)", " (at) ", "{at}"])
+        case = pick([str.lower, str.lower, str.upper, str.title])
+        return local + case(at) + word() + case(dot) + pick(["com", "org", "net", "de"])
 
     makers = (
         email,

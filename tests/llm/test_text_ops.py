@@ -58,6 +58,15 @@ def test_pii_network_on_held_out_text():
     assert (got[want > 0] == want[want > 0]).mean() > 0.9
 
 
+def test_pii_finds_plain_at_and_any_case(spark):
+    marks = [("@", "[dot]"), ("@", "(dot)"), (" [AT] ", " [DOT] "), ("(At)", "(Dot)"), ("[AT]", "."), (" (at) ", " (dot) ")]
+    found = [f"{who}{at}{host}{dot}com" for at, dot in marks for who, host in (("anna", "site"), ("marte.lich", "comit"))]
+    df = spark.createDataFrame([(k, f"write to {x} and wait") for k, x in enumerate(found)], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii_tagger.detect(df).collect()}
+    assert got == {k: f"email:9:{9 + len(x)}" for k, x in enumerate(found)}
+    assert not pii_tagger.FORMS[0].fullmatch("bob@site.com") and pii_tagger.windows_of("bob [AT] site [DOT] com")
+
+
 def test_pii_gradients():
     net = pii_tagger.Tagger(1)
     chars, y = pii_tagger.examples(3, 8, 5)
