@@ -329,6 +329,12 @@ def sentence_chunks(s, d):
     return Q.sentence_chunks(t, "doc_id", "text").select("doc_id", "chunk_id", "chunk_text")
 
 
+@query("sentence_chunks_whole")
+def sentence_chunks_whole(s, d):
+    """Every document, those with minute markers too."""
+    return Q.sentence_chunks(table(s, d, "documents"), "doc_id", "text").select("doc_id", "chunk_id", "chunk_text")
+
+
 @query("chunk_spans")
 def chunk_spans(s, d):
     return Q.sentence_chunks(table(s, d, "documents"), "doc_id", "text", 0.1).select("doc_id", "sentence_id", "search_text", "start_char", "end_char")

@@ -115,6 +115,12 @@ def article_sentences(s, d):
     return t.select("doc_id", F.size(T.article_sentences(F.col("text"))).cast("long").alias("n")).where("n > 0")
 
 
+@query("article_sentences_whole")
+def article_sentences_whole(s, d):
+    """Every document, those with minute markers too; 0 where there is no sentence."""
+    return docs(s, d).select("doc_id", F.size(T.article_sentences(F.col("text"))).cast("long").alias("n"))
+
+
 @query("response_changed", r"""SELECT conv_id, turn, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) <> lower(trim(regexp_replace(upper(text) || ' ', '\s+', ' ', 'g'))) AS changed FROM conversations
   WHERE NOT regexp_matches(text, '[^\x00-\x7F]') AND NOT regexp_matches(text, '^(?i:\s*highlight)')""")
 def response_changed(s, d):

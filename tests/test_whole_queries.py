@@ -14,6 +14,7 @@ from spindrift.plans.catalog import ORACLES, QUERIES
 TEXTS = [
     " leading space  here", "Straße und Fluß.", "STRASSE", "Highlight: it's é", "\u00a0highlight : ÉA b", "[SUMMARY] tagged [x] 'y'", "summary: [TASK=SUMMARY] z",
     "<|end|> it's <b>\"bold\"</b> & more", "The same thirty characters opening, then one.", "The same thirty characters opening, then two.",
+    "Kick off here now. 45+3 mins: a late goal! 90 min +2 it ends level. Two words.", "In 5 minutes it was over. Or 12 min later",
     "The same thirty characters opening, then one.", "first line \n second  line ", "", "ends at ten ", "plain text", None,
 ]
 
@@ -103,3 +104,17 @@ def test_hybrid_search_whole(spark, sf_dir):
     assert packets and all(p.startswith("0:" + ",".join(map(str, got[q][:2]))) for q, p in packets.items())
     best = {r["q"]: r["n"] for r in QUERIES["confident_topics_whole"](spark, sf_dir).collect()}
     assert best == {q: n for q, (w, s) in want.items() if (n := sum(s[d] >= 0.52 for d in w))}
+
+
+def sentences(t):
+    """The reference's rule: a break before minute markers, then at sentence ends; three words at least."""
+    t = re.sub(r"\s+(?=(?:\d{1,3}(?:\+\d+)?\s*mins?:|\d{1,3}\s*min(?:\s*\+\d+)?))", "\0", squeeze(t or ""), flags=re.I)
+    return [x.strip() for b in t.split("\0") for x in re.split(r"(?<=[.!?])\s+", b) if len(x.split()) >= 3]
+
+
+def test_sentences_whole(spark, tables):
+    want = {k + 2: sentences(t) for k, t in enumerate(TEXTS)}
+    assert {k: r["n"] for k, r in by_id(spark, tables, "article_sentences_whole").items()} == {k: len(v) for k, v in want.items()}
+    got = {r["chunk_id"]: r["chunk_text"] for r in QUERIES["sentence_chunks_whole"](spark, tables).collect()}
+    assert got == {f"{k}::sent::{i}": x for k, v in want.items() for i, x in enumerate(v)}
+    assert any(x.startswith("45+3 mins:") for x in got.values())
