@@ -11,7 +11,9 @@ empty table gives an empty result.  Other columns pass through ``accepted`` what
 
 from __future__ import annotations
 
+import inspect
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -24,22 +26,23 @@ SYMBOLS = "#*$%&|<>"
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects``: SQL over the columns that ``measure`` makes."""
+    """``rejects``: SQL over the columns that ``measure`` makes; ``lazy``: the same, given them."""
 
     name: str
     rejects: str
+    lazy: Callable[..., Column]
 
 
 #: The first two are the contract's base; the others follow published web-corpus filters.
 BASE_RULES = (
-    Rule("too_few_words", "n_words < 50"),
-    Rule("repeated_trigrams", "100 * n_repeat_words > 50 * n_words"),
+    Rule("too_few_words", "n_words < 50", lambda n_words: n_words < 50),
+    Rule("repeated_trigrams", "100 * n_repeat_words > 50 * n_words", lambda n_repeat_words, n_words: 100 * n_repeat_words > 50 * n_words),
 )
 METHOD_RULES = (
-    Rule("symbol_ratio", "10 * n_symbols > n_words"),
-    Rule("duplicate_lines", "n_lines >= 10 AND 100 * n_dup_lines > 30 * n_lines"),
-    Rule("mean_word_length", "word_chars < 3 * n_words OR word_chars > 12 * n_words"),
-    Rule("few_alphabetic_words", "100 * n_alpha_words < 70 * n_words"),
+    Rule("symbol_ratio", "10 * n_symbols > n_words", lambda n_symbols, n_words: 10 * n_symbols > n_words),
+    Rule("duplicate_lines", "n_lines >= 10 AND 100 * n_dup_lines > 30 * n_lines", lambda n_lines, n_dup_lines: (n_lines >= 10) & (100 * n_dup_lines > 30 * n_lines)),
+    Rule("mean_word_length", "word_chars < 3 * n_words OR word_chars > 12 * n_words", lambda word_chars, n_words: (word_chars < 3 * n_words) | (word_chars > 12 * n_words)),
+    Rule("few_alphabetic_words", "100 * n_alpha_words < 70 * n_words", lambda n_alpha_words, n_words: 100 * n_alpha_words < 70 * n_words),
 )
 
 
@@ -96,6 +99,44 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, and only where the result is asked for."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _lines(t: Column) -> Column:
+    return F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
+
+
+def _repeats(w: Column) -> Column:
+    """Words that stand in a word triple which occurs again."""
+    m = F.greatest(F.size(w) - 2, F.lit(0))
+    triples = F.arrays_zip(*(F.slice(w, F.lit(k + 1), m).alias(c) for k, c in enumerate("abc")))
+    hashes = F.sort_array(F.transform(triples, lambda x, i: F.struct(F.xxhash64(x["a"], x["b"], x["c"]).alias("h"), i.alias("p"))))
+
+    def count(h: Column) -> Column:
+        n = F.greatest(F.size(h) - 1, F.lit(0))
+        windows = F.zip_with(
+            F.slice(h, F.lit(1), n), F.slice(h, F.lit(2), n),
+            lambda x, y: F.when(x["h"] == y["h"], F.array(*(z["p"] + k for z in (x, y) for k in range(3)))),
+        )
+        return F.size(F.array_distinct(F.flatten(F.filter(windows, lambda x: x.isNotNull()))))
+
+    return _let(hashes, count)
+
+
+#: The counts of ``measure`` as expressions of the text and its words, for rules that may not be asked.
+COUNTS: dict[str, Callable[[Column, Column], Column]] = {
+    "n_words": lambda t, w: F.size(w),
+    "word_chars": lambda t, w: _without(t, SPACES),
+    "n_symbols": lambda t, w: F.length(t) - _without(t, SYMBOLS),
+    "n_lines": lambda t, w: F.size(_lines(t)),
+    "n_dup_lines": lambda t, w: _let(_lines(t), lambda x: F.size(x) - F.size(F.array_distinct(x))),
+    "n_repeat_words": lambda t, w: _repeats(w),
+    "n_alpha_words": lambda t, w: F.size(F.filter(w, lambda x: x.rlike(r"\p{L}"))),
+}
+
+
 def order_rules(
     docs: DataFrame, rules: tuple[Rule, ...], text_col: str = "text", rows: int = 400, fraction: float = 0.02
 ) -> list[Rule]:
@@ -135,11 +176,29 @@ def judge(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
+def kept_lazily(rules: list[Rule], text: Column, words: Column) -> Column:
+    """Whether no rule rejects; each rule's counts are made where it is asked, so only until one
+    rejects."""
+
+    def rejects(r: Rule) -> Column:
+        names = list(inspect.signature(r.lazy).parameters)
+        counts = F.struct(*(COUNTS[c](text, words).cast("long").alias(c) for c in names))
+        return _let(counts, lambda s: r.lazy(*(s[c] for c in names)))
+
+    out = None
+    for r in rules:
+        out = (F if out is None else out).when(rejects(r), F.lit(False))
+    return out.otherwise(F.lit(True))
+
+
 def accepted(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that the cascade keeps."""
+    """The rows of ``docs``, all columns, that no rule rejects; all rules are ordered, base ones too."""
     rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
-    # a filter would be pushed below the counts, which it would then compute once per use
-    return judge(rows).select(F.explode(F.when(F.col("kept"), F.array("row"))).alias("row")).select("row.*")
+    rules = order_rules(rows, BASE_RULES + METHOD_RULES)
+    rows = rows.select("row", F.coalesce("text", F.lit("")).alias("_t")).withColumn("_w", words_of(F.col("_t")))
+    kept = kept_lazily(rules, F.col("_t"), F.col("_w"))
+    # a filter would be pushed below the words, which it would then make once per use
+    return rows.select(F.explode(F.when(kept, F.array("row"))).alias("row")).select("row.*")
 
 
 def quality_query(docs: DataFrame) -> DataFrame:

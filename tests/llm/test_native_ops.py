@@ -4,6 +4,9 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import pytest
+from pyspark.sql import functions as F
+
 from spindrift.llm import quality_rules, secret_scan, source_mixing, url_filter
 from spindrift.llm.queries import QUERIES
 
@@ -93,6 +96,18 @@ def test_secret_ownership(spark):
     assert all(got[k]["spans"] == "" and got[k]["n_live"] == 0 for k in range(20))
 
 
+def test_accepted_asks_no_rule_after_a_rejection(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = {r["doc_id"] for r in quality_rules.quality_query(docs).where("kept").collect()}
+    assert {r["doc_id"] for r in quality_rules.accepted(docs).collect()} == want and want
+    # a count that can't be made: rows rejected before its rule never ask for it
+    monkeypatch.setattr(quality_rules, "order_rules", lambda docs, rules, *a: list(quality_rules.BASE_RULES + quality_rules.METHOD_RULES))
+    monkeypatch.setitem(quality_rules.COUNTS, "n_alpha_words", lambda t, w: F.raise_error(F.lit("asked")).cast("long"))
+    assert quality_rules.accepted(docs.where("n_chars < 60")).count() == 0
+    with pytest.raises(Exception, match="asked"):
+        quality_rules.accepted(docs).collect()
+
+
 def test_secret_ownership_ignores_copies(spark, tmp_path):
     lone, shared = "Zq7" * 9, "Ex4mpl3" * 5
     rows = [(k, f"mine {lone} ok", "s1") for k in range(12)] + [(20 + k, f"see {shared}", f"s{k}") for k in range(3)]
