@@ -287,10 +287,98 @@ def test_jaccard_blocks_of_a_large_group(spark, monkeypatch):
     assert got == jaccard_join.brute_force(texts)
 
 
-def test_prefix_depth_reaches_recall():
-    d = jaccard_join.prefix_depth()
-    assert 1 - (1 - 0.8**d) ** jaccard_join.TREES >= jaccard_join.RECALL
-    assert 1 - (1 - 0.8 ** (d + 1)) ** jaccard_join.TREES < jaccard_join.RECALL
+def test_shortest_prefix_reaches_recall():
+    d, trees = jaccard_join.least_depth(), jaccard_join.TREES
+    assert 1 - (1 - 0.8**d) ** trees >= jaccard_join.RECALL
+    assert 1 - (1 - 0.8 ** (d + 1)) ** trees < jaccard_join.RECALL
+    bits = trees * jaccard_join.FULL_DEPTH
+    assert 0.9 * bits * 0.85 < jaccard_join.least_agreement() < 0.9 * bits
+
+
+def trie_rows(rng, sizes, near):
+    """Sorted buckets of labels and sketches; rows of one bucket share a sketch up to ``near`` bits."""
+    rows = []
+    for k, n in enumerate(sizes):
+        core = rng.integers(0, 256, 32).astype(np.uint8)
+        for _ in range(n):
+            s = core.copy() if rng.random() < 0.8 else rng.integers(0, 256, 32).astype(np.uint8)
+            s[rng.integers(0, 32, near)] ^= np.uint8(1)
+            rows.append((k, int(rng.integers(0, 3)) << 48 | int(rng.integers(0, 3)) << 32, s.view(np.uint64)))
+    rows.sort(key=lambda r: r[:2])
+    return np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.uint64), np.stack([r[2] for r in rows])
+
+
+def test_descend_loses_no_connection():
+    rng = np.random.default_rng(2)
+    for trial in range(20):
+        bucket, below, sketch = trie_rows(rng, rng.integers(2, 40, 12), 4)
+        agree, n = jaccard_join.least_agreement(), len(bucket)
+        a, b, c, root = jaccard_join.descend(bucket, below, sketch, 5, agree, enough=3)
+        same = np.bitwise_count(~(sketch[:, None] ^ sketch[None])).sum(2) >= agree
+        plausible = same & (bucket[:, None] == bucket[None]) & ~np.eye(n, dtype=bool)
+        sparse = plausible.sum(1) < 3
+        got = set(zip(a.tolist(), b.tolist(), strict=True))
+        assert {tuple(sorted(x)) for x in got} == {
+            (i, j) for i, j in zip(*np.nonzero(plausible), strict=True) if i < j and (sparse[i] or sparse[j])
+        }
+        assert all(sparse[i] for i, _ in got)
+        assert not sparse[c].any() and (root < c).all() and plausible.any() == bool(len(a) + len(c))
+
+
+def chained(rng, n, words, step):
+    """Texts of which each shares all but ``step`` words with the one before."""
+    w = ["c%d" % rng.randint(0, 10**6) for _ in range(words)]
+    out = []
+    for _ in range(n):
+        out.append(" ".join(w))
+        w = w[step:] + ["c%d" % rng.randint(0, 10**6) for _ in range(step)]
+    return out
+
+
+def test_jaccard_components_beyond_a_block(spark, monkeypatch):
+    """A long chain of weakly similar texts, a dense group and repeated rows, in blocks of a few."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_NODES", 6)
+    monkeypatch.setattr(jaccard_join, "ENOUGH", 4)
+    rng = random.Random(11)
+    texts = chained(rng, 120, 90, 22) + chained(rng, 80, 120, 9)  # similar to 0.6; to 0.86, 0.74
+    words = ["w%d" % rng.randint(0, 5000) for _ in range(150)]
+    for _ in range(40):
+        w = list(words)
+        for _ in range(rng.randint(0, 5)):
+            w[rng.randrange(len(w))] = "x%d" % rng.randint(0, 99)
+        texts.append(" ".join(w))
+    texts += [texts[3]] * 30 + ["", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(9)
+    got = [(r["class_id"], r["n_links"]) for r in jaccard_join.jaccard_query(df).orderBy("doc_id").collect()]
+    assert got == jaccard_join.brute_force(texts)
+
+
+def test_jaccard_compares_candidates_only(spark, monkeypatch):
+    """In a chain beyond a block, a text is compared with its candidates and not with all texts."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_NODES", 6)
+    texts = chained(random.Random(3), 150, 90, 16)  # similar to 0.69, 0.47, ...
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    signed = df.selectExpr("doc_id", "cast('' as binary) node", "text").mapInArrow(
+        jaccard_join._signatures, "doc_id long, node binary, n long, labels binary"
+    )
+    rows = jaccard_join.tasks_of(signed.selectExpr("doc_id short", "n", "labels")).groupBy("task", "bi", "bj").agg(F.count("*").alias("c")).collect()
+    assert sum(r["c"] * (r["c"] - 1) // 2 for r in rows) < 6 * len(texts)
+
+
+def test_jaccard_hot_buckets(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HOT_BUCKET", 5)
+    monkeypatch.setattr(jaccard_join, "BLOCK_NODES", 7)
+    rng = random.Random(6)
+    texts = chained(rng, 30, 60, 2) + [prose_of(rng) for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [(r["class_id"], r["n_links"]) for r in jaccard_join.jaccard_query(df).orderBy("doc_id").collect()]
+    assert got == jaccard_join.brute_force(texts)
+
+
+def prose_of(rng):
+    return " ".join("p%d" % rng.randint(0, 10**6) for _ in range(rng.randint(1, 60)))
 
 
 def test_components(spark):
