@@ -44,9 +44,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there, with no lineage."""
+    """Write ``df`` to the shared checkpoint folder and go on from there, with no lineage.  Shuffle
+    files that nothing refers to any more are released then, not whenever the driver next collects
+    its garbage: a loop of small rounds would pile them up on the executors' disks."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def apart(df: DataFrame, key: str) -> DataFrame:

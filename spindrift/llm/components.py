@@ -20,8 +20,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     No links, no rows.  Self-links and repeated links are harmless.
     """
     e = cut(links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct())
-    mark = _mark(e)
-    while mark[0]:
+    while not _stars(e):
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(apart(low, "a"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -31,14 +30,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             small.select("a", F.col("m").alias("b"))
         )
         e = cut(small.where("a <> b").distinct())
-        before, mark = mark, _mark(e)
-        if mark == before:
-            break
-    nodes = e.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
+    nodes = e.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return nodes.unionAll(nodes.select(F.col("root").alias("node"), "root").distinct())
 
 
-def _mark(e: DataFrame) -> tuple:
-    """The number of links and a checksum of them: equal for equal sets of links."""
-    h = F.xxhash64("a", "b").cast("decimal(20,0)")
-    return tuple(e.agg(F.count(F.lit(1)), F.coalesce(F.sum(h), F.lit(0)), F.coalesce(F.bit_xor(F.xxhash64("b", "a")), F.lit(0))).first())
+def _stars(e: DataFrame) -> bool:
+    """Whether every node has one link down, to a node that has none."""
+    ends = e.groupBy("a").agg(F.count("*").alias("down"), F.lit(0).alias("up"))
+    ends = ends.unionAll(e.select(F.col("b").alias("a")).distinct().select("a", F.lit(0).alias("down"), F.lit(1).alias("up")))
+    return ends.groupBy("a").agg(F.sum("down").alias("down"), F.sum("up").alias("up")).where("down > 1 OR down * up > 0").isEmpty()

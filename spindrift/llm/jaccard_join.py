@@ -339,7 +339,7 @@ def verify_block(sets: list[np.ndarray], block: np.ndarray, i: int, j: int, thre
 
 def _verify(threshold: float):
     """Arrow batches sorted by (task, bi, bj), one row per text and block pair -> links and roots."""
-    cols = ["node", "doc_id", "task", "bi", "bj", "block"]
+    cols = ["node", "doc_id", "task", "bi", "bj", "block", "whole"]
 
     def flush(key, rows):
         data, off = tb.arrow_bytes(pa.array([t for *_, t in rows], pa.large_string()))
@@ -351,13 +351,13 @@ def _verify(threshold: float):
         links, root = verify_block(sets, block, key[1], key[2], threshold)
         for k, r in enumerate(rows):
             top = rows[root[k]]
-            yield r[0], int(links[k]), top[0], top[1]
+            yield r[0], int(links[k]), top[0], r[3]
 
     def emit(out):
         a, b, c, d = zip(*out, strict=True)
         return pa.RecordBatch.from_arrays(
-            [pa.array(a, pa.binary()), pa.array(b, pa.int64()), pa.array(c, pa.binary()), pa.array(d, pa.int64())],
-            names=["node", "links", "top", "top_doc"],
+            [pa.array(a, pa.binary()), pa.array(b, pa.int64()), pa.array(c, pa.binary()), pa.array(d, pa.bool_())],
+            names=["node", "links", "top", "whole"],
         )
 
     def run(batches):
@@ -365,7 +365,7 @@ def _verify(threshold: float):
         for batch in batches:
             got = [batch.column(c).to_pylist() for c in cols]
             texts = batch.column("text")
-            for k, (node, doc, task, bi, bj, block) in enumerate(zip(*got, strict=True)):
+            for k, (node, doc, task, bi, bj, block, whole) in enumerate(zip(*got, strict=True)):
                 if (task, bi, bj) != key:
                     if rows:
                         out += flush(key, rows)
@@ -373,7 +373,7 @@ def _verify(threshold: float):
                     if len(out) > 5000:
                         yield emit(out)
                         out = []
-                rows.append((node, doc, block, texts[k].as_py()))
+                rows.append((node, doc, block, whole, texts[k].as_py()))
         if rows:
             out += flush(key, rows)
         if out:
@@ -388,10 +388,10 @@ def _parts(g: str, s: str):
 
 
 def tasks_of(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(short, task, block, bi, bj): which nodes are compared in which task, blocks bi and bj of it
+    """(short, task, whole, block, bi, bj): which nodes are compared in which task, blocks bi and bj of it
     with each other.  ``nodes`` has short (its 64-bit id), n (shingles) and labels.
 
-    A component of one block is a task.  In a larger one a dense component is dealt as pairs of
+    A component of one block is a task (whole).  In a larger one a dense component is dealt as pairs of
     blocks, and every sparse node is a task with its partners (the node as block 0, they as 1).
     """
     found = cut(candidates(nodes.select(F.col("short").alias("node"), "labels"), threshold).distinct())
@@ -400,7 +400,7 @@ def tasks_of(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     parts = sized.groupBy("root").agg(F.count("*").alias("g"), F.sum("n").alias("s")).select("root", _parts("g", "s").alias("m"))
     sized = cut(sized.join(apart(parts, "root"), "root"))
     small = sized.where("m = 1").select(
-        "short", F.xxhash64(F.lit(0), "root").alias("task"), F.lit(0).alias("block"), F.lit(0).alias("bi"), F.lit(0).alias("bj")
+        "short", F.xxhash64(F.lit(0), "root").alias("task"), F.lit(True).alias("whole"), F.lit(0).alias("block"), F.lit(0).alias("bi"), F.lit(0).alias("bj")
     )
     large = sized.where("m > 1")
     if large.isEmpty():
@@ -413,7 +413,7 @@ def tasks_of(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     inner = inner.withColumn("block", F.pmod(F.xxhash64("short"), F.col("m")).cast("int"))
     inner = inner.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     inner = inner.select(
-        "short", F.xxhash64(F.lit(1), "root").alias("task"), "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj")
+        "short", F.xxhash64(F.lit(1), "root").alias("task"), F.lit(False).alias("whole"), "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj")
     )
     pairs = links.where("NOT dense").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), "a").where("u <> v")
     pairs = pairs.groupBy("u", "v").agg(F.min("a").alias("a"))  # both ends may be sparse
@@ -421,9 +421,9 @@ def tasks_of(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     core = lambda end: cores.select(F.col("short").alias(end), F.col("root").alias(f"core_{end}"))
     pairs = pairs.join(core("a"), "a", "left").join(core("b"), "b", "left")
     pairs = cut(pairs.where("core_a IS NULL OR core_b IS NULL OR core_a <> core_b").select("a", "b"))
-    task, ends = F.xxhash64(F.lit(2), "a").alias("task"), (F.lit(0).alias("bi"), F.lit(1).alias("bj"))
-    hubs = pairs.select("a").distinct().select(F.col("a").alias("short"), task, F.lit(0).alias("block"), *ends)
-    spokes = pairs.select(F.col("b").alias("short"), task, F.lit(1).alias("block"), *ends)
+    task, ends = (F.xxhash64(F.lit(2), "a").alias("task"), F.lit(False).alias("whole")), (F.lit(0).alias("bi"), F.lit(1).alias("bj"))
+    hubs = pairs.select("a").distinct().select(F.col("a").alias("short"), *task, F.lit(0).alias("block"), *ends)
+    spokes = pairs.select(F.col("b").alias("short"), *task, F.lit(1).alias("block"), *ends)
     return small.unionByName(inner).unionByName(hubs).unionByName(spokes)
 
 
@@ -445,14 +445,18 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     texts = d.join(members.withColumnRenamed("rep", "doc_id"), ["doc_id", "node"]).dropDuplicates(["doc_id", "node"])
     checked = (
         texts.join(tasks, "short")
-        .select("node", "doc_id", "task", "bi", "bj", "block", "text")
+        .select("node", "doc_id", "task", "whole", "bi", "bj", "block", "text")
         .repartition("task", "bi", "bj")
         .sortWithinPartitions("task", "bi", "bj", "node")
-        .mapInArrow(_verify(threshold), "node binary, links long, top binary, top_doc long")
+        .mapInArrow(_verify(threshold), "node binary, links long, top binary, whole boolean")
     )
     checked = cut(checked)
     links = checked.groupBy("node").agg(F.sum("links").alias("n_links"))
-    roots = components(checked.select(F.col("node").alias("a"), F.col("top").alias("b")))
+    parted = checked.where("NOT whole")  # the tasks of a component's parts see it only together
+    roots = checked.where("whole AND node <> top").select("node", F.col("top").alias("root"))
+    roots = roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct())
+    if not parted.isEmpty():
+        roots = roots.unionAll(components(parted.select(F.col("node").alias("a"), F.col("top").alias("b"))))
     linked = roots.join(nodes.select("node", "rep"), "node")
     linked = linked.join(linked.groupBy("root").agg(F.min("rep").alias("class_id")), "root").drop("rep")
     info = nodes.select("node", "rep", "n_copies").join(linked, "node", "left").join(links, "node", "left")
