@@ -7,7 +7,7 @@ many owners hold is a copied example and is not.
 
 Spans come from native functions only: ``split`` gives the pieces between the matches of a
 pattern and ``regexp_extract_all`` the matches, so running lengths give starts and ends in code
-points.
+points; they are summed in blocks, so a text's time grows with its matches and not their square.
 
 Defined cases: a null text is empty and has no spans; a null source is an owner of its own; rows
 that repeat a doc_id are scanned each on its own, and an identical row repeats its result; an
@@ -17,11 +17,12 @@ empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import cut
+from spindrift.llm.common import apart, cut
 
 #: Fixed by the contract.  The bounds stand in the last two patterns: a maximal run is one match.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -29,33 +30,70 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 OPAQUE = r"[A-Za-z0-9+/_-]{24,}"
 KINDS = ("assign", "access", "hex", "opaque")
+#: Entries of a running sum that are summed in one piece.
+BLOCK = 256
 SPAN = "array<struct<start:int,order:int,end:int,value:string>>"
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _scan(steps: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """Running results of ``op`` from 0, as an aggregate: it copies its result once per entry."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        at = op(acc["at"], x)
+        return F.struct(at.alias("at"), F.concat(acc["out"], F.array(at)).alias("out"))
+
+    return F.aggregate(steps, start, step, lambda acc: acc["out"])
+
+
+def running(steps: Column, op: Callable[[Column, Column], Column] = lambda x, y: x + y) -> Column:
+    """Running sums (or another associative ``op`` with 0 as its neutral element) of an array of
+    ints, in blocks of ``BLOCK``: time grows with the array's length, and with its square only at
+    1 / BLOCK**2."""
+    many = F.floor((F.size(steps) - 1) / BLOCK).cast("int")
+    blocks = F.transform(
+        F.when(F.size(steps) > 0, F.sequence(F.lit(0), many)).otherwise(F.array().cast("array<int>")),
+        lambda k: _scan(F.slice(steps, k * BLOCK + 1, F.lit(BLOCK)), op),
+    )
+
+    def placed(inner: Column) -> Column:
+        ends = _scan(F.transform(inner, lambda x: F.element_at(x, -1)), op)
+        return _let(
+            ends,
+            lambda e: F.flatten(
+                F.transform(inner, lambda x, k: F.transform(x, lambda v: op(F.coalesce(F.get(e, k - 1), F.lit(0)), v)))
+            ),
+        )
+
+    return _let(blocks, placed)
+
+
 def spans_of(text: Column, pattern: str, kind: int, group: int, least: int) -> Column:
     """All matches whose ``group`` has ``least`` characters or more, as structs of
     (start, order, end, value); empty if there is none."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    rows = F.arrays_zip(
-        F.split(text, pattern, -1).alias("gap"), whole.alias("whole"), value.alias("value")
-    )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    parts = F.struct(F.split(text, pattern, -1).alias("gap"), whole.alias("whole"), value.alias("value"))
 
-    def step(acc, x):
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.length(x["whole"])
-        one = F.struct(
-            begin.alias("start"), F.lit(kind).alias("order"), end.alias("end"), x["value"].alias("value")
-        )
-        keep = F.length(x["value"]) >= least
-        return F.struct(
-            F.coalesce(end, begin).alias("at"),
-            F.when(keep, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).cast(SPAN).alias("out"),
+    def found(x: Column) -> Column:
+        sizes = F.transform(x["whole"], lambda w: F.length(w))
+        gaps = F.transform(F.slice(x["gap"], F.lit(1), F.size(x["whole"])), lambda g: F.length(g))
+        before = F.concat(F.array(F.lit(0)), sizes)
+        steps = F.zip_with(gaps, F.slice(before, F.lit(1), F.size(x["whole"])), lambda g, w: g + w)
+        rows = F.arrays_zip(running(steps).alias("at"), sizes.alias("n"), x["value"].alias("value"))
+        return F.transform(
+            F.filter(rows, lambda r: F.length(r["value"]) >= least),
+            lambda r: F.struct(
+                r["at"].alias("start"), F.lit(kind).alias("order"), (r["at"] + r["n"]).alias("end"), r["value"].alias("value")
+            ),
         )
 
-    found = F.aggregate(rows, start, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPAN))
+    return F.when(text.rlike(pattern), _let(parts, found)).otherwise(F.array().cast(SPAN))
 
 
 def find(docs: DataFrame, repo_col: str, owner_col: str) -> DataFrame:
@@ -79,12 +117,33 @@ def find(docs: DataFrame, repo_col: str, owner_col: str) -> DataFrame:
         spans_of(text, OPAQUE, 3, 0, 24).alias("opaque"),
     )
     mixed = lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]")
-    free = F.filter(
-        "opaque",
-        lambda c: mixed(c["value"])
-        & ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])),
+    t = t.withColumn("opaque", F.filter("opaque", lambda c: mixed(c["value"]))).withColumn("base", F.sort_array("base"))
+    free = F.when((F.size("base") > 0) & (F.size("opaque") > 0), _apart_from("opaque", "base")).otherwise(F.col("opaque"))
+    return t.select("doc_id", "repo", "owner", "row", _hashed(F.col("base")).alias("base"), _hashed(free).alias("extra"))
+
+
+def _apart_from(spans: str, others: str) -> Column:
+    """The ``spans`` that overlap none of ``others``, in one sweep: what begins before a span's end
+    must have ended by its start."""
+    event = lambda at, kind, top, start, value: F.struct(
+        at.alias("at"), F.lit(kind).alias("kind"), top.alias("top"), start.alias("start"), value.alias("value")
     )
-    return t.select("doc_id", "repo", "owner", "row", _hashed(F.sort_array("base")).alias("base"), _hashed(free).alias("extra"))
+    events = F.sort_array(
+        F.concat(
+            F.transform(others, lambda b: event(b["start"], 1, b["end"], b["start"], F.lit(""))),
+            F.transform(spans, lambda o: event(o["end"], 0, F.lit(0), o["start"], o["value"])),
+        )
+    )
+
+    def swept(e: Column) -> Column:
+        tops = running(F.transform(e, lambda x: x["top"]), F.greatest)
+        free = F.filter(F.arrays_zip(e.alias("e"), tops.alias("top")), lambda x: (x["e"]["kind"] == 0) & (x["top"] <= x["e"]["start"]))
+        return F.transform(
+            free,
+            lambda x: F.struct(x["e"]["start"].alias("start"), F.lit(3).alias("order"), x["e"]["at"].alias("end"), x["e"]["value"].alias("value")),
+        )
+
+    return _let(events, swept)
 
 
 def _hashed(spans: Column) -> Column:
@@ -123,7 +182,7 @@ def scan(
         .withColumn("hash", F.col("s.value"))
     )
     per_doc = (
-        c.join(live, "hash")
+        c.join(apart(live, "hash"), "hash")  # plain exchanges, so that a hot value can be split
         .groupBy("doc_id", "row")
         .agg(
             F.sort_array(F.collect_set(F.when(F.col("s.order") == 3, F.col("s")))).alias("added"),

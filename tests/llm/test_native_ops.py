@@ -1,7 +1,9 @@
 """Quality rules (3), URL filters (5), secret scans (6) and source mixing (9)."""
 
 import hashlib
+import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -118,6 +120,39 @@ def test_secret_ownership_ignores_copies(spark, tmp_path):
     assert all(got[20 + k]["spans"] == "" and got[20 + k]["n_live"] == 0 for k in range(3))
 
 
+def opaque_free(t):
+    """Long opaque runs that overlap no base span, in plain Python."""
+    base = secret_scan.brute_force([t])[0]
+    runs = [(m.start(), m.end()) for m in re.finditer(secret_scan.OPAQUE, t) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
+    return [(a, b) for a, b in runs if not any(x < b and a < y for x, _, y, _ in base)]
+
+
+def test_secrets_of_a_very_long_text(spark):
+    """32,000 matches in one text: time grows with the matches, not with their square."""
+    rng = random.Random(4)
+    makers = (lambda: "%032x" % rng.getrandbits(128), lambda: f"Zq{rng.getrandbits(100)}x", lambda: f"token={rng.getrandbits(60)}", lambda: "é")
+    text = " ".join(rng.choice(makers)() for _ in range(42_000))
+    small = " ".join(rng.choice(makers)() for _ in range(700))
+    df = spark.createDataFrame([(1, text, "a"), (2, small, "b")], "doc_id long, text string, source string")
+    began = time.perf_counter()
+    got = {r["doc_id"]: r for r in secret_scan.secrets_query(df).collect()}
+    assert time.perf_counter() - began < 60
+    for k, t in ((1, text), (2, small)):
+        base = secret_scan.brute_force([t])[0]
+        assert got[k]["n_hex"] + got[k]["n_assign"] == len(base) > 100
+        assert got[k]["base_sha256"] == hashlib.sha256(",".join(f"{secret_scan.KINDS[s[1]]}:{s[0]}:{s[2]}" for s in base).encode()).hexdigest()
+    want = sorted([(a, kind, b) for a, kind, b, _ in secret_scan.brute_force([small])[0]] + [(a, 3, b) for a, b in opaque_free(small)])
+    assert got[2]["spans"] == ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in want)
+
+
+def test_secret_value_that_all_documents_hold(spark):
+    """The join on values has plain exchanges on both sides, so a hot value can be split."""
+    rows = [(k, "key Zq81Kk77Zq81Kk77Zq81Kk77 ok", "one") for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    got = secret_scan.secrets_query(df, max_repos=None)
+    assert all(r["n_live"] == 1 for r in got.collect()) and got.count() == 300
+
+
 def test_water_fill(spark):
     df = spark.createDataFrame([("a", 100), ("b", 10), (None, 0), ("c", 50)], "source string, source_size long")
     got = {r["source"]: r["target"] for r in source_mixing.water_fill(df).collect()}
