@@ -45,7 +45,39 @@ def test_rule_order_follows_rejections_per_cost(spark):
     docs = spark.createDataFrame([(1, "### " * 60)] * 3, "doc_id long, text string")
     rules = quality_rules.order_rules(docs, quality_rules.METHOD_RULES, fraction=1.0)
     assert {r.name for r in rules} == {r.name for r in quality_rules.METHOD_RULES}
-    assert {r.name for r in rules[:2]} == {"symbol_ratio", "few_alphabetic_words"}  # the two that reject these
+    # those that reject these: too many symbols, no letters, words of three characters are long enough
+    assert {r.name for r in rules[:2]} == {"symbol_ratio", "few_alphabetic_words"}
+
+
+def test_rule_sample_reads_a_few_rows(spark):
+    """Sampling stops in the first partitions: a later one that can't be read isn't noticed."""
+    from pyspark.sql import functions as F
+
+    text = F.when(F.col("id") > 90_000, F.raise_error(F.lit("read"))).otherwise(F.concat(F.lit("word "), F.col("id").cast("string")))
+    docs = spark.range(100_000, numPartitions=20).select(text.alias("text"))
+    assert len(quality_rules.order_rules(docs, quality_rules.METHOD_RULES)) == 4
+
+
+def test_judge_replaces_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c " * 30, 7, "x"), (2, None, None, None)], "doc_id long, text string, n_words long, _t string")
+    got = quality_rules.judge(docs)
+    assert got.columns == ["doc_id", "text", "_t", *quality_rules.RETURNED, "base_failed", "kept"]
+    assert [(r["n_words"], r["_t"]) for r in got.orderBy("doc_id").collect()] == [(90, "x"), (0, None)]
+
+
+def test_repeated_words_few_and_many(spark):
+    """Triples that repeat: none, a few distinct ones, and more than are looked up one by one."""
+    rng = random.Random(9)
+    texts = []
+    for k in range(60):
+        w = ["v%d" % rng.randint(0, 10**6) for _ in range(rng.randint(0, 90))]
+        for _ in range(k % 7):
+            i, n = rng.randint(0, max(0, len(w) - 6)), rng.randint(1, 40)
+            w += w[i : i + n]
+        texts.append(rng.choice([" ", "\t", "\n "]).join(w))
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: tuple(r)[1:7] for r in quality_rules.quality_query(df).collect()}
+    assert got == {k: brute_quality(t) for k, t in enumerate(texts)}
 
 
 def test_urls(spark):
@@ -103,7 +135,7 @@ def test_accepted_asks_no_rule_after_a_rejection(spark, sf_dir, monkeypatch):
     want = {r["doc_id"] for r in quality_rules.quality_query(docs).where("kept").collect()}
     assert {r["doc_id"] for r in quality_rules.accepted(docs).collect()} == want and want
     # a count that can't be made: rows rejected before its rule never ask for it
-    monkeypatch.setattr(quality_rules, "order_rules", lambda docs, rules, *a: list(quality_rules.BASE_RULES + quality_rules.METHOD_RULES))
+    monkeypatch.setattr(quality_rules, "order_rules", lambda docs, rules, *a: list(rules))
     monkeypatch.setitem(quality_rules.COUNTS, "n_alpha_words", lambda t, w: F.raise_error(F.lit("asked")).cast("long"))
     assert quality_rules.accepted(docs.where("n_chars < 60")).count() == 0
     with pytest.raises(Exception, match="asked"):
