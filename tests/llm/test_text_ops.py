@@ -132,6 +132,43 @@ def test_contamination(spark, edge, edge_rows, empty, block_bytes):
     assert decontaminate.contamination(edge, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_bitmaps_hold_all_hashes(spark):
+    rng = np.random.default_rng(1)
+    h = np.concatenate([rng.integers(0, 1 << 63, 500, dtype=np.uint64) * np.uint64(2), [np.uint64(0), np.uint64((1 << 64) - 1)]])
+    df = spark.createDataFrame([(int(x),) for x in h.view(np.int64)], "h long")
+    assert (decontaminate._bitmap(df).seen == decontaminate.Bitmap(h).seen).all()
+
+
+def test_large_benchmark_reads_the_documents_once(spark, monkeypatch):
+    """A benchmark beyond a block is joined by its windows, one pass over the documents; a phrase
+    that all items and all documents share joins nothing by itself."""
+    rng = random.Random(12)
+    words = lambda n: [f"u{rng.randint(0, 10**6)}" for _ in range(n)]
+    phrase = "in the case of the".split()
+    items = [(k, " ".join(words(20) + phrase + words(20))) for k in range(80)]
+    texts = [" ".join(words(30) + phrase + words(30)) for _ in range(200)]
+    texts += [" ".join(words(5)) + " " + " ".join(items[k][1].split()[k : k + 13]) for k in range(0, 30, 3)]
+    read = spark.sparkContext.accumulator(0)
+    seen = decontaminate._candidates
+
+    def counted(*a):
+        run = seen(*a)
+
+        def outer(batches):
+            for batch in batches:
+                read.add(batch.num_rows)
+                yield from run([batch])
+
+        return outer
+
+    monkeypatch.setattr(decontaminate, "_candidates", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contamination(df, bench, 1000).collect()
+    assert Counter(tuple(r) for r in got) == Counter((k, *brute_contamination(t, items)) for k, t in enumerate(texts))
+    assert read.value == len(texts) and sum(r["n_items"] for r in got) == 10
+
+
 def test_winnowing_guarantee():
     rng = np.random.default_rng(3)
     for _ in range(50):
