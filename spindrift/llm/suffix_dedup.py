@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.llm import textbytes as tb
-from spindrift.llm.common import apart
+from spindrift.llm.common import apart, cut
 
 LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1  # gram starts in a window
@@ -257,14 +257,40 @@ def _finish(batches):
         )
 
 
-def _with_unique_ids(docs: DataFrame) -> tuple[DataFrame, bool]:
-    """``docs`` with doc_id unique and in order, the given one kept as ``own``; whether it changed."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    repeated = d.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1).count() > 0
-    if not repeated:
-        return d, False
-    place = Window.orderBy(F.col("doc_id").isNull(), "doc_id", F.md5("text"))  # only for tables with repeated ids
-    return d.select(F.col("doc_id").alias("own"), F.row_number().over(place).cast("long").alias("doc_id"), "text"), True
+def _repeated(d: DataFrame) -> bool:
+    return not d.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty()
+
+
+def _in_order(d: DataFrame) -> DataFrame:
+    """For a table with repeated or null ids: its different (doc_id, text) pairs as own, text and
+    copies, with doc_id their place in the collection.
+
+    Pairs are dealt in ranges and numbered inside a range, so no task holds the table; a pair's
+    copies are one row, and a text only moves to its pair's place.
+    """
+    order = (F.col("own").isNull(), F.col("own"), F.col("digest"))
+    pairs = d.select(F.col("doc_id").alias("own"), F.md5("text").alias("digest")).groupBy("own", "digest").agg(F.count("*").alias("copies"))
+    pairs = cut(pairs.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
+    counts = pairs.groupBy("range").agg(F.count("*").alias("n"))  # a row a partition
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"))
+    place = F.row_number().over(Window.partitionBy("range").orderBy(*order))
+    pairs = pairs.withColumn("n1", place).join(F.broadcast(counts), "range").select(
+        "own", "digest", "copies", (F.col("n0") + F.col("n1")).cast("long").alias("place")
+    )
+    same = F.col("doc_id").eqNullSafe(F.col("own")) & (F.md5("text") == F.col("digest"))
+    texts = d.join(apart(cut(pairs), "digest"), same)
+    return cut(texts.select("own", "copies", F.col("place").alias("doc_id"), "text").dropDuplicates(["doc_id"]))
+
+
+def _gone(text: Column) -> list[Column]:
+    """The result of a text that an earlier document holds."""
+    n = F.octet_length(text).cast("long")
+    whole = n >= LENGTH
+    return [
+        n.alias("n_bytes"), F.when(whole, n).otherwise(0).alias("n_removed"), whole.cast("long").alias("n_spans"),
+        F.sha2(F.when(whole, F.lit("")).otherwise(text), 256).alias("kept_sha256"),
+    ]
 
 
 def _where(condition: str) -> list[Column]:
@@ -275,8 +301,19 @@ def _where(condition: str) -> list[Column]:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
-    full, changed = _with_unique_ids(docs)
-    d = full.select("doc_id", "text").where("doc_id IS NOT NULL")  # so that all joins share one exchange of the texts
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    if not _repeated(d):
+        return _dedup(d)
+    full = _in_order(d)
+    result = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    first = _dedup(full.select("doc_id", "text")).join(full.select("doc_id", "own"), "doc_id").select(F.col("own").alias("doc_id"), *result)
+    again = full.where("copies > 1").withColumn("copy", F.explode(F.sequence(F.lit(2), F.col("copies").cast("int"))))
+    return first.unionByName(again.select(F.col("own").alias("doc_id"), *_gone(F.col("text"))))
+
+
+def _dedup(docs: DataFrame) -> DataFrame:
+    """``dedup`` of a table (doc_id, text) without nulls, in which no id comes twice."""
+    d = docs.where("doc_id IS NOT NULL")  # so that all joins share one exchange of the texts
     reps = d.select("doc_id", F.md5("text").alias("digest")).groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
     reps = reps.select("doc_id", F.lit(True).alias("rep"))
     own = d.hint("shuffle_merge").join(reps.hint("shuffle_merge"), "doc_id").select("doc_id", "text")
@@ -314,10 +351,7 @@ def dedup(docs: DataFrame) -> DataFrame:
         .join(kept.hint("shuffle_merge"), "doc_id", "left")
         .select("doc_id", "text", F.coalesce("rep", F.lit(False)).alias("rep"), "ps", "kept_p", "kept_bits")
     )
-    out = ready.mapInArrow(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    if changed:
-        out = out.join(full.select("doc_id", "own"), "doc_id").drop("doc_id").withColumnRenamed("own", "doc_id")
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return ready.mapInArrow(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def _bits_of(batches):
