@@ -11,12 +11,14 @@ hub after hub, and cuts it where each shard is full, so sizes are equal to withi
 A hub of more than ``1 / LARGE`` of all rows or bytes (fewer than ``2 * LARGE`` of them) is packed
 by itself beforehand: whole on one shard, largest first, or, where no shard has room for it, in as
 large parts as fit.  So only the hubs at a cut, which hold less than ``1 / LARGE``, and those that
-no shard can take lose links.  Rows of a large hub are numbered by cells, so no task holds it.
-Prefix sums are two-level, over cells (a bounded number) and inside a cell.
+no shard can take lose links.  Prefix sums are two-level, over cells (a bounded number) and inside
+a cell; the rows of a hub that is larger than a cell on average are numbered by cells of their own,
+and joins on hubs have plain exchanges, so no task need hold a hub.
 
 Defined cases: a null text has size 1, checksum 0 and hub null-hash, like the empty text's group;
 rows that repeat a doc_id are placed each on its own; an empty table gives an empty result; other
-columns are carried through by ``shard`` and ignored by the query.
+columns are carried through by ``shard``, whose own replace those of the same names, and ignored by
+the query.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import cut
+from spindrift.llm.common import apart, cut
 
 SHARDS = 8
 ROUNDS = 6
@@ -115,7 +117,7 @@ def propagate(state: DataFrame, shards: int, total: int, rounds: int, packed: li
         held = held.groupBy("hub").agg(
             F.max(F.struct((~F.col("shard").isin(full)).alias("free"), "b", (-F.col("shard")).alias("s"))).alias("best")
         )
-        return linked.join(held.select("hub", (-F.col("best.s")).cast("int").alias("want")), "hub")
+        return linked.join(apart(held.select("hub", (-F.col("best.s")).cast("int").alias("want")), "hub"), "hub")
 
     for k in range(rounds):
         asked = cut(asking())
@@ -135,23 +137,24 @@ def propagate(state: DataFrame, shards: int, total: int, rounds: int, packed: li
 
 
 def even_cut(state: DataFrame, shards: int, room: list[int], before: list[int]) -> DataFrame:
-    """``state`` with shard cut to the ``room`` of each shard and slot, gapless from ``before``."""
-    s = state.withColumn("place", F.xxhash64(F.lit(3), "hub"))
-    s = s.withColumn("cell", F.shiftrightunsigned("place", 64 - CELL_BITS))
-    cells = s.groupBy("shard", "cell").agg(F.sum("size").alias("b"), F.count("*").alias("n"))
-    line = Window.orderBy("shard", "cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select(
-        "shard",
-        "cell",
-        F.coalesce(F.sum("b").over(line), F.lit(0)).alias("b0"),
-        F.coalesce(F.sum("n").over(line), F.lit(0)).alias("n0"),
-    )
-    inside = Window.partitionBy("shard", "cell").orderBy("place", "hub", "row", "size")
+    """``state`` with shard cut to the ``room`` of each shard and slot, gapless from ``before``.
+
+    A hub lies in one piece: inside a cell, or, if it holds more rows than a cell does on average
+    (``parts`` is above 0), in that many cells of its own.
+    """
+    s = state.withColumn("place", F.xxhash64(F.lit(3), "hub")).withColumn("own", F.col("parts") > 0)
+    s = s.withColumn("cell", F.when(F.col("own"), F.col("hub")).otherwise(F.shiftrightunsigned("place", 64 - CELL_BITS)))
+    s = s.withColumn("part", F.when(F.col("own"), F.pmod(F.xxhash64(F.lit(5), "row"), F.col("parts"))).otherwise(0))
+    at = ["shard", "own", "cell", "part"]
+    cells = s.groupBy(*at).agg(F.sum("size").alias("b"), F.count("*").alias("n"))
+    line = Window.orderBy(*at).rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select(*at, F.coalesce(F.sum("b").over(line), F.lit(0)).alias("b0"), F.coalesce(F.sum("n").over(line), F.lit(0)).alias("n0"))
+    inside = Window.partitionBy(*at).orderBy("place", "hub", "row", "size")
     s = s.select(
         "*",
         (F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).alias("b1"),
         F.row_number().over(inside).alias("n1"),
-    ).join(F.broadcast(cells), ["shard", "cell"])  # at most shards * 2**CELL_BITS rows
+    ).join(F.broadcast(cells), at)  # at most 3 * shards * 2**CELL_BITS rows
     middle = F.col("b0") + F.col("b1") + F.expr("size div 2")
     ends = [sum(room[: x + 1]) for x in range(shards - 1)]
     last = max((x for x in range(shards) if room[x]), default=shards - 1)
@@ -200,8 +203,11 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataF
         held = {(r["hub"], r["shard"]): r["b"] for r in own.groupBy("hub", "shard").agg(F.sum("size").alias("b")).collect()}
         parts, load, before = pack(large, held, shards, total)
     small = base.where(~F.col("hub").isin(ids)) if large else base
-    state = small.join(hubs.where(~many).select("hub", F.lit(True).alias("linked")), "hub", "left")
-    state = state.withColumn("linked", F.coalesce("linked", F.lit(False)))
+    cells = shards << CELL_BITS
+    parts_of = F.when(F.col("count") * cells > n, 1 + F.floor(F.col("count") * cells / max(n, 1))).otherwise(0).cast("int")
+    linked = hubs.where(~many).select("hub", F.lit(True).alias("linked"), parts_of.alias("parts"))
+    state = small.join(apart(linked, "hub"), "hub", "left")
+    state = state.withColumn("linked", F.coalesce("linked", F.lit(False))).withColumn("parts", F.coalesce("parts", F.lit(0)))
     room = free_room(load, total - sum(load))
     laid = even_cut(propagate(state, shards, total, rounds, load), shards, room, before).select(*out)
     if not large:
@@ -213,24 +219,20 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataF
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
-    """``docs`` with size, text_crc32, law, shard, slot and grown_shard; every column is kept.
+    """``docs`` with size, text_crc32, law, shard, slot and grown_shard, which replace columns of
+    these names; every other column is kept.
 
     Needs text and doc_id only for placement, so the texts themselves aren't moved by the query
-    ``sharding_query``; here they are joined back by row.
+    ``sharding_query``; here they are joined back by row, equal rows in any order.
     """
-    text = F.coalesce("text", F.lit(""))
-    own = Window.partitionBy("_row").orderBy(F.lit(1))
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), text)
-    left = docs.withColumn("_row", key).withColumn("_copy", F.row_number().over(own))
-    placed = assign(docs, shards, rounds).select(
-        F.col("row").alias("_row"), "size", "text_crc32", "shard", "slot"
-    )
-    placed = placed.withColumn("_copy", F.row_number().over(Window.partitionBy("_row").orderBy("shard", "slot")))
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit("")))
+    left = docs.select(F.struct("*").alias("doc"), key.alias("row"))
+    left = left.withColumn("copy", F.row_number().over(Window.partitionBy("row").orderBy(F.lit(1))))
+    placed = assign(docs, shards, rounds).select("row", "size", "text_crc32", "shard", "slot")
+    placed = placed.withColumn("copy", F.row_number().over(Window.partitionBy("row").orderBy("shard", "slot")))
     taken = {"size", "text_crc32", "law", "shard", "slot", "grown_shard"}
-    keep = [c for c in docs.columns if c not in taken]
-    return left.select(*keep, "_row", "_copy").join(placed, ["_row", "_copy"]).select(
-        *keep, *_result_columns()
-    )
+    keep = [F.col("doc")[c].alias(c) for c in docs.columns if c not in taken]
+    return left.join(placed, ["row", "copy"]).select(*keep, *_result_columns())
 
 
 def _result_columns() -> list[Column]:
