@@ -5,8 +5,8 @@ linear support vector machine per family picks the family first (one against the
 one-versus-one machines vote between its languages, ties going to the larger summed margin.
 
 Training takes a bounded, seeded sample of labelled rows (``per_language``, a parameter): for each
-language the rows are counted over the whole table and a hash threshold chosen to give about that
-many.  Only rows whose crc32(doc_id as text) mod 4 is not 2 are learned from.  The model is a few
+language the rows are counted over the whole table and a threshold on the text's hash chosen to give
+about that many; equal texts are learned from once a language.  Only rows whose crc32(doc_id as text) mod 4 is not 2 are learned from.  The model is a few
 vectors of ``DIM`` floats, whatever the corpus; it is the only thing sent to the executors.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; so is every row if
@@ -156,7 +156,9 @@ def _featurise(batches):
             for i, j in tb.slices(off, 1 << 18)
             for v in features(data[off[i] : off[j]], off[i : j + 1] - off[i])
         ]
-        yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(vectors, pa.binary())], names=["lang", "v"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("lang"), batch.column("u"), pa.array(vectors, pa.binary())], names=["lang", "u", "v"]
+        )
 
 
 def learn(docs: DataFrame, per_language: int = 400, seed: int = 23) -> Model | None:
@@ -165,22 +167,25 @@ def learn(docs: DataFrame, per_language: int = 400, seed: int = 23) -> Model | N
     counts = {r["lang"]: r["count"] for r in may.groupBy("lang").count().collect()}
     if not counts:
         return None
-    u = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30))
+    u = F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1 << 30))
     limit = F.lit(0)
     for v, n in counts.items():
         limit = F.when(F.col("lang") == v, F.lit(min(1 << 30, int((1 << 30) * per_language / n)))).otherwise(limit)
     rows = (
-        may.where(u < limit)
-        .select("doc_id", "lang", F.lower("text").alias("t"))
-        .where(F.col("t").rlike(r"\p{L}"))
-        .mapInArrow(lambda b: _featurise(x.select(["t", "lang"]) for x in b), "lang string, v binary")
-        .limit(2 * per_language * len(counts))
+        may.withColumn("u", u)
+        .where(F.col("u") < limit)
+        .where(F.col("text").rlike(r"\p{L}"))
+        .select("lang", "u", F.lower("text").alias("t"))
+        .mapInArrow(lambda b: _featurise(x.select(["t", "lang", "u"]) for x in b), "lang string, u long, v binary")
+        .dropDuplicates(["lang", "u"])
+        .orderBy("u", "lang")
+        .limit(2 * per_language * len(counts))  # by hash, so a rerun takes the same rows
         .collect()
     )
-    rows = sorted((r["lang"], bytes(r["v"])) for r in rows)  # the order of arrival doesn't matter
+    rows = sorted((r["lang"], r["u"], bytes(r["v"])) for r in rows)  # the order of arrival doesn't matter
     if not rows:
         return None
-    return fit(np.stack([np.frombuffer(v, np.float16) for _, v in rows]).astype(np.float32), [v for v, _ in rows])
+    return fit(np.stack([np.frombuffer(v, np.float16) for *_, v in rows]).astype(np.float32), [v for v, *_ in rows])
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -194,6 +194,21 @@ def test_repeated_strings(spark, edge, edge_rows, empty):
     assert suffix_dedup.dedup(empty).count() == 0
 
 
+def test_repeated_strings_with_odd_ids(spark):
+    """Null and repeated ids over many partitions: no single task, every row its own result."""
+    rng = random.Random(18)
+    line = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared, rows = line(150), []
+    for k in range(90):
+        text = rng.choice([line(60), shared, line(40) + shared + line(30), None, "", shared[:120] + line(50)])
+        rows.append((rng.choice([None, k % 9, k]), text))
+    rows += [(None, shared + line(9))] * 4 + [rows[3]] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(13)
+    want = rows_in_order(rows)
+    want = Counter((x[0], *y) for x, y in zip(want, suffix_dedup.brute_force([x[1] for x in want]), strict=True))
+    assert Counter(tuple(r) for r in suffix_dedup.dedup(df).collect()) == want
+
+
 def test_repeated_strings_around_hot_lines(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT", 5)
     rng = random.Random(8)
@@ -275,6 +290,44 @@ def test_sharding_keeps_large_groups(spark):
     assert (got.groupby("text_crc32").shard.nunique() == 1).all() and (got.groupby("shard").size() == 10).all()
 
 
+def test_sharding_keeps_clashing_columns_and_copies(spark):
+    rows = [(k % 5, f"text {k % 7}", "law", k, "r", 1) for k in range(70)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, law string, other long, _row string, copy long")
+    got = sharding.shard(df)
+    assert set(got.columns) == {"doc_id", "text", "other", "_row", "copy", "size", "text_crc32", "law", "shard", "slot", "grown_shard"}
+    got = got.collect()
+    assert sorted(r["other"] for r in got) == list(range(70)) and {r["law"] for r in got} == {"bytes"}
+    assert all(r["text"] == f"text {r['other'] % 7}" and r["size"] == 7 for r in got)
+
+
+def brute_quotas(ask, load, capacity):
+    """Granted bytes move byte by byte: opposite requests first, then into free room by demand."""
+    left, now, moved = dict(ask), list(load), Counter()
+    for a, b in ask:
+        while a < b and left.get((a, b), 0) and left.get((b, a), 0):
+            for x in ((a, b), (b, a)):
+                left[x] -= 1
+                moved[x] += 1
+    for a, b in sorted(ask, key=lambda x: (-ask[x], x)):
+        while left[a, b] and now[b] < capacity:
+            left[a, b] -= 1
+            moved[a, b] += 1
+            now[a] -= 1
+            now[b] += 1
+    return moved, now
+
+
+def test_quotas_against_byte_by_byte():
+    rng = random.Random(7)
+    for _ in range(100):
+        n = rng.randint(2, 5)
+        load = [rng.randint(0, 60) for _ in range(n)]
+        ask = {(a, b): rng.randint(1, 30) for a in range(n) for b in range(n) if a != b and rng.random() < 0.6}
+        share, now = sharding.quotas(ask, load, 50)
+        moved, want = brute_quotas(ask, load, 50)
+        assert now == want and all(abs(share[k] * ask[k] - moved[k]) < 1e-6 for k in ask)
+
+
 def test_sharding_packs_to_a_level():
     parts, load, rows = sharding.pack([(1, 30, 10), (2, 6, 10), (3, 1, 500)], {}, 4, 1000)
     assert sum(e - b for _, _, b, e, _ in parts) == 37 and sum(load) == 860 and sum(rows) == 37
@@ -289,6 +342,36 @@ def test_language(spark, edge, edge_rows, empty):
     assert language_id.language_query(edge.selectExpr("doc_id", "text", "cast(null as string) lang")).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_votes_against_brute_force():
+    """The machines' signs, one by one: the family's first, then each pair's vote."""
+    rng = np.random.default_rng(3)
+    langs = ["de", "en", "nl", "es", "fr", "hu"]
+    centre = {v: rng.standard_normal(40) for v in langs}
+    x = np.stack([centre[v] + 0.4 * rng.standard_normal(40) for v in langs for _ in range(30)]).astype(np.float32)
+    model = language_id.fit(x, [v for v in langs for _ in range(30)])
+    probe = (x[::7] + 0.8 * rng.standard_normal(x[::7].shape)).astype(np.float32)
+    got, score = model.predict(probe)
+    assert ((0 <= score) & (score <= 1)).all()
+    for v, p in zip(got, probe, strict=True):
+        f = max(range(len(model.families)), key=lambda k: float(p @ model.top[0][:, k] + model.top[1][k]))
+        members, pairs, w, b = model.heads[model.families[f]]
+        votes, margin = Counter(), Counter()
+        for k, (i, j) in enumerate(pairs):
+            z = float(p @ w[:, k] + b[k])
+            votes[members[i] if z >= 0 else members[j]] += 1
+            margin[members[i]] += z
+            margin[members[j]] -= z
+        assert v == max(members, key=lambda m: (votes[m], margin[m]))
+
+
+def test_language_learns_the_same_from_repeated_rows(spark):
+    rng = random.Random(3)
+    texts = [(v, " ".join(rng.choice(w) for _ in range(12))) for v, w in (("en", ["the", "and", "of"]), ("de", ["der", "und", "von"])) for _ in range(40)]
+    rows = [(None, t, v) for v, t in texts] + [(4, t, v) for v, t in texts for _ in range(3)]
+    one, two = (language_id.learn(spark.createDataFrame(r, "doc_id long, text string, lang string").repartition(n)) for r, n in ((rows, 3), (rows[::-1], 7)))
+    assert all((a == b).all() for a, b in zip(one.heads["germanic"][2:], two.heads["germanic"][2:], strict=True))
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language_id.language_query(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
