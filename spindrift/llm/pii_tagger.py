@@ -2,13 +2,14 @@
 
 The network is written and trained in numpy, on labelled spans that ``examples`` generates from a
 seed (plain and disguised addresses and numbers among words, dates, versions and ids).  Long texts
-are read in overlapping windows; each window is decoded by Viterbi and every character takes the
-label of the window that holds it most centrally, so spans are put together once per document.
+are read in overlapping windows.  Windows that overlap are reconciled globally: their emissions are
+averaged, weighted by how central a character lies, and one Viterbi pass decodes the whole run of
+adjoining windows, so a span is never cut where windows meet.
 
-A span must hold a digit, an ``@`` or a bracketed ``at`` (that is part of the label scheme), so a
-window without one can only decode to nothing and isn't read; every other window of the whole
-text is.  What the network adds must pass its kind's form check and may not touch a base span;
-base spans always stay.
+A span must hold a digit, an ``@``, a bracketed ``at`` or a lone ``dot`` (that is part of the label
+scheme), so a window without one can only decode to nothing and isn't read; every other window of
+the whole text is.  What the network adds must hold what its kind consists of (``valid``) and may
+not touch a base span; base spans always stay.
 
 Defined cases: a null text is empty and has no spans; rows that repeat a doc_id are read each on
 its own; an empty table gives an empty result; other columns are ignored.
@@ -16,12 +17,14 @@ its own; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from spindrift.llm import textbytes as tb
@@ -38,21 +41,19 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-TRIGGER = re.compile(r"[0-9@]|[\[({]\s?(?i:at)\s?[\])}]")
-#: Bytes without which a text can hold neither a base span nor a trigger.
+TRIGGER = re.compile(r"[0-9@]|[\[({<]\s?(?i:at)\s?[\])}>]|(?<=\s)(?i:dot)(?=\s)")
+#: Bytes without which a text can hold neither a base span nor a trigger, but for a lone ``dot``.
 HOT = np.zeros(256, bool)
-HOT[[*range(0x30, 0x3A), 0x40, 0x28, 0x5B, 0x7B]] = True
-#: Forms that an added span must have, whole; of an address at least one sign must be disguised.
-AT, DOT = r" ?[\[({] ?(?i:at) ?[\])}] ?", r" ?[\[({] ?(?i:dot) ?[\])}] ?"
-FORMS = (
-    re.compile(
-        rf"[A-Za-z0-9._%+-]+(?:{AT}[A-Za-z0-9-]+(?:(?:\.|{DOT})[A-Za-z0-9-]+)+"
-        rf"|@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*{DOT}[A-Za-z0-9-]+(?:(?:\.|{DOT})[A-Za-z0-9-]+)*)"
-    ),
-    re.compile(r"[0-9]{1,3}(?: ?(?:\[\.\]|\(\.\)) ?[0-9]{1,3}){3}"),
-    re.compile(r"[0-9](?:[ ./-]{0,2}[0-9]){12,18}"),
-    re.compile(r"(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}"),
-)
+HOT[[*range(0x30, 0x3A), 0x40, 0x28, 0x5B, 0x7B, 0x3C]] = True
+#: What an added address consists of: names around one sign for at, then names with a sign for dot
+#: between them.  A sign is plain, bracketed, or a word of its own; one of them must be disguised.
+NAME, LABEL = r"[A-Za-z0-9._%+-]+", r"[A-Za-z0-9-]+"
+AT = r"(?: ?[\[({<] ?(?i:at) ?[\])}>] ?| (?i:at) | ?@ ?)"
+DOT = r"(?: ?[\[({<] ?(?i:dot|\.) ?[\])}>] ?| (?i:dot) |\.| \. )"
+ADDRESS = re.compile(rf"{NAME}{AT}{LABEL}(?:{DOT}{LABEL})+")
+PLAIN = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+OCTETS = re.compile(r"[0-9]{1,3}(?: ?[\[({<]? ?\.(?: ?[\])}>])? ?[0-9]{1,3}){3}")
+NUMBER = re.compile(r"[0-9(][0-9 ()./-]*[0-9]")
 
 
 def luhn(digits: str) -> bool:
@@ -119,8 +120,8 @@ def examples(n: int, length: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
 
     def email() -> str:
         local = word() + pick(["", "", f".{num(1)}", f".{num(2)}", f"_{word()}", f".{word()}", num(3)])
-        dot = pick([".", ".", "[dot]", "(dot)", " [dot] ", " (dot) "])
-        at = pick(["@", " [at] ", "[at]", "(at)", " (at) ", "{at}"])
+        dot = pick([".", ".", "[dot]", "(dot)", " [dot] ", " (dot) ", " dot ", " dot "])
+        at = " at " if dot == " dot " and rng.random() < 0.8 else pick(["@", " [at] ", "[at]", "(at)", " (at) ", "{at}"])
         case = pick([str.lower, str.lower, str.upper, str.title])
         return local + case(at) + word() + case(dot) + pick(["com", "org", "net", "de"])
 
@@ -128,7 +129,7 @@ def examples(n: int, length: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         email,
         lambda: pick([".", ".", "[.]", "(.)"]).join(octets()),
         card,
-        lambda: pick([f"+{num(1)} ({num(3)}) {num(3)}-{num(4)}", f"+{num(2)} {num(3)} {num(4)} {num(3)}", f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}"]),
+        lambda: pick([f"+{num(1)} ({num(3)}) {num(3)}-{num(4)}", f"+{num(2)} {num(3)} {num(4)} {num(3)}", f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}", f"0{num(3)}/{num(7)}", f"0{num(2)} {num(3)} {num(4)}", f"0{num(4)}-{num(6)}", f"00{num(2)} {num(3)} {num(6)}"]),
     )
     noise = (
         lambda: f"version {num(1)}.{num(1)}",
@@ -139,6 +140,10 @@ def examples(n: int, length: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         lambda: f'"{num(3)}ab{num(4)}cd{num(3)}e"',
         lambda: f"@{word()}",
         lambda: f"({word()})",
+        lambda: f"{word()} at {word()}",
+        lambda: f"{word()} dot {word()}",
+        lambda: f"{num(3)}/{num(3)}",
+        lambda: f"{num(3)}-{num(1)}-{num(4)}-{num(4)}-{num(1)}",
     )
     chars, labels = np.zeros((length, n), np.int64), np.zeros((length, n), np.int64)
     for col in range(n):
@@ -278,25 +283,33 @@ class Tagger:
             g["emb"] += by_char @ p["w" + side].T
         return loss, g
 
-    def decode(self, chars: np.ndarray) -> np.ndarray:
-        """The best labels (time, batch) by Viterbi."""
-        e, _ = self.emissions(chars)
+    def viterbi(self, e: np.ndarray, length: np.ndarray | None = None) -> np.ndarray:
+        """The best labels (time, batch) for emissions e; a column is decoded up to its ``length``."""
         steps, batch, _ = e.shape
         back = np.empty((steps, batch, LABELS), np.int8)
         s = e[0]
         for t in range(1, steps):
             m = s[:, :, None] + self.p["trans"]
             back[t] = m.argmax(1)
-            s = m.max(1) + e[t]
+            fresh = m.max(1) + e[t]
+            if length is not None:  # past its end a column stands still
+                over = t >= length
+                back[t, over] = np.arange(LABELS)
+                fresh[over] = s[over]
+            s = fresh
         y = np.empty((steps, batch), np.int64)
         y[-1] = s.argmax(1)
         for t in range(steps - 1, 0, -1):
             y[t - 1] = back[t, np.arange(batch), y[t]]
         return y
 
+    def decode(self, chars: np.ndarray) -> np.ndarray:
+        """The best labels (time, batch) of texts of one length."""
+        return self.viterbi(self.emissions(chars)[0])
+
 
 @lru_cache(maxsize=2)
-def train(n: int = 2560, length: int = 56, epochs: int = 10, batch: int = 64, seed: int = 3) -> Tagger:
+def train(n: int = 3072, length: int = 56, epochs: int = 12, batch: int = 64, seed: int = 3) -> Tagger:
     """Adam over seeded examples; the same seed gives the same network."""
     chars, labels = examples(n, length, seed)
     net, rng = Tagger(seed), np.random.default_rng(seed)
@@ -327,76 +340,140 @@ def windows_of(t: str) -> list[int]:
     return sorted(out)
 
 
+#: How much a window's emission counts at each of its places: most at its centre.
+WEIGHT = (1.0 + np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1])).astype(np.float32)
+#: Windows that are decoded as one run at most; a longer run (over 12,000 characters without a
+#: pause) is decoded in overlapping runs.
+RUN = 256
+
+
+def runs_of(t: str) -> list[tuple[int, int]]:
+    """Runs of adjoining windows (first, last)."""
+    out: list[tuple[int, int]] = []
+    for k in windows_of(t):
+        if out and k == out[-1][1] + 1 and k - out[-1][0] < RUN:
+            out[-1] = (out[-1][0], k)
+        elif out and k == out[-1][1] + 1:
+            out.append((k - 1, k))  # goes on from the window before
+        else:
+            out.append((k, k))
+    return out
+
+
 def tag(net: Tagger, texts: list[str], chunk: int = 256) -> list[list[tuple[int, int, int]]]:
     """Spans (kind, start, end) that the network sees in each text."""
     half = STRIDE // 2
-    jobs = [(i, k) for i, t in enumerate(texts) for k in windows_of(t)]
-    codes: dict[int, np.ndarray] = {}
-    seen: dict[int, list[tuple[int, np.ndarray]]] = {}
-    for a in range(0, len(jobs), chunk):
-        part = jobs[a : a + chunk]
-        x = np.full((WINDOW, len(part)), 32, np.int64)
-        for col, (i, k) in enumerate(part):
+    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    runs = [(last - first + 1, i, first) for i, t in enumerate(texts) for first, last in runs_of(t)]
+    runs.sort()  # runs of about one length are decoded together
+    at = 0
+    while at < len(runs):
+        end, windows = at, 0
+        while end < len(runs) and (end == at or windows + runs[end][0] <= chunk):
+            windows += runs[end][0]
+            end += 1
+        part, at = runs[at:end], end
+        x = np.full((WINDOW, windows), 32, np.int64)
+        col, codes = 0, {}
+        for n, i, first in part:
             if i not in codes:
-                codes = {i: encode(texts[i])}  # jobs come text by text
-            begin = k * STRIDE - half
-            s = codes[i][max(0, begin) : begin + WINDOW]
-            x[max(0, -begin) : max(0, -begin) + len(s), col] = s
-        y = net.decode(x)
-        for col, (i, k) in enumerate(part):
-            seen.setdefault(i, []).append((k, y[half : half + STRIDE, col]))  # its most central characters
-    out: list[list[tuple[int, int, int]]] = []
-    for i, t in enumerate(texts):
-        spans: list[tuple[int, int, int]] = []
-        kind, begin, last = -1, 0, -1
-        for k, y in seen.get(i, ()):
-            for p in np.flatnonzero(y).tolist():
-                label, at = int(y[p]), k * STRIDE + p
-                if at >= len(t):
-                    break
-                if kind >= 0 and last == at - 1 and label == 2 + 2 * kind:
-                    last = at
-                    continue
-                if kind >= 0:
-                    spans.append((kind, begin, last + 1))
-                kind, begin, last = (label - 1) // 2, at, at
-        if kind >= 0:
-            spans.append((kind, begin, last + 1))
-        out.append(spans)
+                codes[i] = encode(texts[i])
+            for k in range(first, first + n):
+                begin = k * STRIDE - half
+                s = codes[i][max(0, begin) : begin + WINDOW]
+                x[max(0, -begin) : max(0, -begin) + len(s), col] = s
+                col += 1
+        e, _ = net.emissions(x)
+        length = np.array([(n - 1) * STRIDE + WINDOW for n, _, _ in part])
+        mean = np.zeros((length.max(), len(part), LABELS), np.float32)
+        weight = np.zeros((length.max(), len(part), 1), np.float32)
+        col = 0
+        for c, (n, _, _) in enumerate(part):
+            for k in range(n):
+                place = slice(k * STRIDE, k * STRIDE + WINDOW)
+                mean[place, c] += e[:, col] * WEIGHT[:, None]
+                weight[place, c] += WEIGHT[:, None]
+                col += 1
+        y = net.viterbi(mean / np.maximum(weight, 1e-9), length)
+        for c, (_, i, first) in enumerate(part):
+            out[i] += spans_in(y[: length[c], c], first * STRIDE - half, len(texts[i]))
+    return [sorted(set(x), key=lambda v: v[1]) for x in out]
+
+
+def spans_in(y: np.ndarray, begin: int, n: int) -> list[tuple[int, int, int]]:
+    """The spans of a run of labels that starts at character ``begin`` of a text of ``n``."""
+    out: list[tuple[int, int, int]] = []
+    for p in np.flatnonzero(y).tolist():
+        label, at = int(y[p]), begin + p
+        if at < 0 or at >= n:
+            continue
+        if out and out[-1][2] == at and label == 2 + 2 * out[-1][0]:
+            out[-1] = (*out[-1][:2], at + 1)
+        else:
+            out.append(((label - 1) // 2, at, at + 1))
     return out
 
 
 def valid(t: str, kind: int, a: int, b: int) -> bool:
-    """Whether an added span has its kind's form and stands on its own."""
+    """Whether an added span consists of what its kind does and stands on its own."""
     s = t[a:b]
-    if not FORMS[kind].fullmatch(s) or (a and t[a - 1].isalnum()) or t[b : b + 1].isalnum():
+    if (a and t[a - 1].isalnum()) or t[b : b + 1].isalnum():
         return False
-    d = digits_of(s)
+    if kind == 0:
+        return ADDRESS.fullmatch(s) is not None and not PLAIN.fullmatch(s)
     if kind == 1:
-        return all(int(p) <= 255 for p in re.findall("[0-9]+", s))
-    if kind == 2:
-        return 13 <= len(d) <= 19 and luhn(d)
-    return kind != 3 or 10 <= len(d) <= 15
+        return OCTETS.fullmatch(s) is not None and all(int(p) <= 255 for p in re.findall("[0-9]+", s))
+    d = digits_of(s)
+    if not NUMBER.fullmatch(s):
+        return False
+    return 13 <= len(d) <= 19 and luhn(d) if kind == 2 else 10 <= len(d) <= 15 and len(d) < len(s)
 
 
 def snap(t: str, kind: int, a: int, b: int) -> tuple[int, int]:
-    """A disguised address that was seen in part is taken whole, at most 64 characters each way."""
-    if kind == 0:
-        for m in FORMS[0].finditer(t, max(0, a - 64), min(len(t), b + 64)):
-            if m.start() < b and a < m.end():
-                return m.span()
+    """An address or a number that was seen in part is taken whole, at most 64 characters each way."""
+    whole = (ADDRESS, OCTETS, NUMBER, NUMBER)[kind]
+    low, high = max(0, a - 64), min(len(t), b + 64)
+    for m in whole.finditer(t, low, high):
+        if m.start() < b and a < m.end():
+            return m.span()
     return a, b
 
 
+class Taken:
+    """Disjoint ranges of a text, in order."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]):
+        self.ends: list[int] = []
+        self.starts: list[int] = []
+        for _, a, b in sorted(spans, key=lambda x: x[1]):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def add(self, a: int, b: int) -> bool:
+        """Take a range if it is free."""
+        k = bisect.bisect_right(self.ends, a)
+        if k < len(self.starts) and self.starts[k] < b:
+            return False
+        self.starts.insert(k, a)
+        self.ends.insert(k, b)
+        return True
+
+
 def find(net: Tagger, texts: list[str]) -> list[tuple[list, list]]:
     """(base, added) spans of each text."""
     out = []
     for t, seen in zip(texts, tag(net, texts), strict=True):
         base = base_spans(t)
-        added = [
-            (k, a, b) for k, a, b in dict.fromkeys((k, *snap(t, k, a, b)) for k, a, b in seen)
-            if valid(t, k, a, b) and not any(x < b and a < y for _, x, y in base)
-        ]
+        taken = Taken(base)
+        added = []
+        for k, a, b in seen:
+            for x, y in ((a, b), snap(t, k, a, b)):  # as it was seen, else whole
+                if valid(t, k, x, y) and taken.add(x, y):
+                    added.append((k, x, y))
+                    break
         out.append((base, added))
     return out
 
@@ -414,10 +491,11 @@ def detect(docs: DataFrame) -> DataFrame:
         for batch in batches:
             data, off = tb.arrow_bytes(batch.column("text"))
             n = batch.num_rows
+            dots = np.flatnonzero(pc.match_substring(batch.column("text"), "dot", ignore_case=True).fill_null(False).to_numpy(zero_copy_only=False))
             rows: list[tuple] = [(0, 0, 0, 0, empty, "", 0)] * n
             for i, j in tb.slices(off):
                 hot = np.flatnonzero(HOT[data[off[i] : off[j]]]) + off[i]
-                which = np.unique(np.searchsorted(off, hot, "right") - 1)
+                which = np.unique(np.concatenate([np.searchsorted(off, hot, "right") - 1, dots[(dots >= i) & (dots < j)]]))
                 texts = [data[off[r] : off[r + 1]].tobytes().decode("utf-8", "replace") for r in which]
                 for r, (base, added) in zip(which.tolist(), find(net, texts), strict=True):
                     kinds = [k for k, _, _ in base]
