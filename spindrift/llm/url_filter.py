@@ -1,8 +1,8 @@
 """URL filters: host and path rules, then logistic regression on hashed character n-grams.
 
-The classifier is trained on the driver from a small labelled URL table (``LABELLED``, a parameter)
-by full-batch gradient descent; its weights, one per hash bucket, go into the query as a constant
-array, so scoring is one expression inside the scan and nothing is shuffled.
+The classifier is trained on the driver from a small labelled URL table (``labelled_table``; a
+caller passes another) by full-batch gradient descent; its weights, one per hash bucket, go into the
+query as a constant array, so scoring is one expression inside the scan and nothing is shuffled.
 
 Defined cases: a null url or one without ``://`` has an empty host and path, fits no rule, and is
 allowed (it has no n-gram to judge by).  Repeated rows are judged alike, each on its own; an empty
@@ -13,10 +13,12 @@ from __future__ import annotations
 
 import json
 import math
+import random
 import re
 import zlib
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,25 +31,36 @@ RULES = (
     ("block", "example.com", "/de/"),
     ("allow", "org", "/fr/"),
 )
-#: 1: unwanted.  The table is small on purpose; a caller passes a larger one.
-LABELLED = (
-    *((u, 1) for u in """casino-royal.example.com/play best-casino.example.org/bonus casino-win.example.com/en/12
-    www.casino-slots.example.org/spin online-casino.example.com/fr/9 poker-bets.example.com/table free-bets.example.org/en/4
-    m.free-bets.example.com/odds sports-bets.example.org/live cheap-pills.example.com/en/44 www.cheap-pills.example.org/buy
-    pills-online.example.com/order discount-pills.example.org/es/7 cheap-meds.example.com/sale adult-x.example.com/video
-    blog.adult-x.example.org/en/80 xxx-adult.example.com/cam hot-adult.example.org/chat spam-farm.example.com/en/5
-    www.spam-farm.example.org/links link-spam.example.com/seo ads-track.example.com/click m.ads-track.example.org/px
-    ad-tracker.example.com/pixel track-ads.example.org/banner win-prize.example.com/claim free-money.example.org/now
-    cheap-loans.example.com/apply free-gift.example.org/win lottery-win.example.com/de/3""".split()),
-    *((u, 0) for u in """www.library.example.org/en/12 news.example.com/fr/8 blog.theater.example.com/en/55.html
-    m.weather.example.org/es/9 university.example.com/en/courses history.example.org/de/40 www.museum.example.com/en/tour
-    blog.garden.example.org/en/88 recipes.example.com/es/100 science.example.org/en/641 m.thing.example.com/en/450
-    therein.example.org/fr/33 www.nothing.example.com/en/27 mother.example.org/en/5 blog.other.example.com/es/61.html
-    ththor.example.org/en/300 tionsh.example.com/en/851 www.theory.example.org/de/9 m.ocean.example.com/fr/70
-    travel.example.org/en/412 music.example.com/en/77.html archive.example.org/es/10 www.school.example.com/en/3
-    health.example.org/fr/215 open-data.example.com/en/9 blog.co-op.example.org/en/20 north-east.example.com/de/14
-    www.city-hall.example.org/en/2 m.long-read.example.com/fr/66 docs.example.org/en/guide""".split()),
-)
+#: Stems of unwanted and of ordinary hosts, from which ``labelled_table`` makes its urls.
+UNWANTED = """casino poker roulette blackjack slots jackpot betting bookmaker lottery gamble pills pharmacy viagra
+tablets slimming replica adult xxx porn escort spam clickbait popunder adserver tracker banner affiliate loan payday
+casinos spins wager drugs pharma betonline freebet cheapmeds freespin winbig spammy linkfarm""".split()
+ORDINARY = """library university museum weather history science garden recipe school archive travel music health theatre
+council station market bridge forest island harbour village church castle review journal gazette times herald tribune
+learn code research energy climate planet ocean mountain river kitchen family sport football cinema photo design open
+data city north south east west green water house home world people story paper letter night morning winter summer""".split()
+
+
+@lru_cache(maxsize=2)
+def labelled_table(rows: int = 480, seed: int = 29) -> tuple[tuple[str, int], ...]:
+    """Urls without scheme and whether they are unwanted (1): stems, alone or paired, and invented
+    words under ordinary and unwanted hosts alike, so that neither paths nor pairing tell."""
+    rng = random.Random(seed)
+    syllables = "an er on es en de la re ti st ou le ion ing the nd at or ar al in".split()
+    invent = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(2, 4)))
+    out = []
+    for k in range(rows):
+        bad = k % 2
+        stems = [rng.choice(UNWANTED if bad else rng.choice((ORDINARY, [invent()]))) for _ in range(rng.randint(1, 2))]
+        if bad and len(stems) == 2 and rng.random() < 0.5:
+            stems[rng.randint(0, 1)] = rng.choice((rng.choice(ORDINARY), invent()))
+        host = rng.choice(("", "", "www.", "m.", "blog.")) + rng.choice(("", "-")).join(stems)
+        host += "." + rng.choice(("example.com", "example.org", "com", "org", "info"))
+        path = "/" + rng.choice(("", f"{rng.choice(('en', 'de', 'fr', 'es'))}/{rng.randint(1, 999)}", f"{invent()}.html", f"{rng.choice(ORDINARY)}/{invent()}"))
+        out.append((host + path, bad))
+    return tuple(out)
+
+
 GRAMS = (3, 4, 5)
 BUCKETS = 4096
 
@@ -77,29 +90,20 @@ def grams_of(s: str) -> list[int]:
 
 
 @lru_cache(maxsize=4)
-def train(labelled=LABELLED, epochs: int = 300, rate: float = 2.0, decay: float = 1e-4) -> tuple[tuple[float, ...], float]:
-    """Weights by bucket and the bias.  Each url's n-gram counts are scaled to mean 1 per gram."""
-    rows = []
-    for u, y in labelled:
+def train(labelled: tuple[tuple[str, int], ...] | None = None, epochs: int = 400, rate: float = 8.0, decay: float = 1e-4) -> tuple[tuple[float, ...], float]:
+    """Weights by bucket and the bias, by full-batch gradient descent on the logistic loss.  Each
+    url's n-gram counts are scaled by the root of their number."""
+    rows = labelled_table() if labelled is None else labelled
+    x, y = np.zeros((len(rows), BUCKETS)), np.array([float(v) for _, v in rows])
+    for k, (u, _) in enumerate(rows):
         g = grams_of(u)
-        x: dict[int, float] = {}
-        for k in g:
-            x[k] = x.get(k, 0.0) + 1.0 / math.sqrt(max(1, len(g)))
-        rows.append((x, y))
-    w, b = [0.0] * BUCKETS, 0.0
+        np.add.at(x[k], g, 1.0 / math.sqrt(max(1, len(g))))
+    w, b = np.zeros(BUCKETS), 0.0
     for _ in range(epochs):
-        step: dict[int, float] = {}
-        db = 0.0
-        for x, y in rows:
-            z = b + sum(w[k] * v for k, v in x.items())
-            err = 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, z)))) - y
-            db += err
-            for k, v in x.items():
-                step[k] = step.get(k, 0.0) + err * v
-        for k, v in step.items():
-            w[k] -= rate * (v / len(rows) + decay * w[k])
-        b -= rate * db / len(rows)
-    return tuple(round(v, 6) for v in w), round(b, 6)
+        err = 1.0 / (1.0 + np.exp(-np.clip(x @ w + b, -30.0, 30.0))) - y
+        w -= rate * (x.T @ err / len(rows) + decay * w)
+        b -= rate * err.mean()
+    return tuple(round(float(v), 6) for v in w), round(float(b), 6)
 
 
 def _adder(table: Column, subject: Column, n: int):
@@ -123,8 +127,8 @@ def score(subject: Column, model: tuple[tuple[float, ...], float]) -> Column:
     return F.when(count > 0, 1 / (1 + F.exp(-z))).otherwise(F.lit(0.0))
 
 
-def judge(pages: DataFrame, rules=RULES, labelled=LABELLED, threshold: float = 0.5) -> DataFrame:
-    """page_id, host, path, rule, verdict and by_rule of every page."""
+def judge(pages: DataFrame, rules=RULES, labelled=None, threshold: float = 0.5) -> DataFrame:
+    """page_id, host, path, rule and verdict of every page."""
     host, path = parse(F.col("url"))
     p = pages.select("page_id", host.alias("host"), path.alias("path"))
     p = p.withColumn("found", rule_for(F.col("host"), F.col("path"), rules)).withColumn(
