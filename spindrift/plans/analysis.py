@@ -13,6 +13,7 @@ from spindrift.operators import relational as R
 from spindrift.operators import retrieval as Q
 from spindrift.operators import vectors as V
 from spindrift.plans.registry import query
+from spindrift.plans.text_queries import SENTENCES
 from spindrift.sources.tables import table
 
 
@@ -253,9 +254,9 @@ def confident_topics(s, d):
     return Q.confident(hybrid_scores(s, d), "score", 0.52).groupBy("q").agg(F.count("*").alias("n"), F.round(F.max("score"), 6).alias("best"))
 
 
-@query("recommendation_records", f"WITH {VEC} SELECT e.vec_id AS q, coalesce((SELECT string_agg(CAST(doc AS VARCHAR), ',' ORDER BY rank) FROM hr WHERE hr.q = e.vec_id AND rank <= 5), '') AS ids FROM embeddings e WHERE e.vec_id % 25 = 0")
+@query("recommendation_records", f"WITH {VEC} SELECT e.vec_id AS q, coalesce((SELECT string_agg(CAST(doc AS VARCHAR), ',' ORDER BY rank) FROM hr WHERE hr.q = e.vec_id AND rank <= 5), '') AS ids FROM embeddings e WHERE e.vec_id % 50 = 0")
 def recommendation_records(s, d):
-    queries = table(s, d, "embeddings").where("vec_id % 25 = 0").select(F.col("vec_id").alias("q"))
+    queries = table(s, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"))
     r = Q.recommendation_records(queries, hybrid_scores(s, d), "q", "doc", [F.col("rank")], 5)
     return r.select("q", F.array_join(F.transform("recommended", lambda x: x.cast("string")), ",").alias("ids"))
 
@@ -321,17 +322,9 @@ def evidence_packets_whole(s, d):
     return p.select("q", F.array_join(text, ";").alias("packet"))
 
 
-@query("sentence_chunks", r"""WITH c AS (SELECT doc_id, string_split(regexp_replace(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), '([.!?]) ', '\1' || chr(1), 'g'), chr(1)) AS ss FROM documents WHERE NOT regexp_matches(text, '(?i)\d\s*min')),
-f AS (SELECT doc_id, list_filter(ss, lambda x: len(string_split(trim(x), ' ')) >= 3) AS ss FROM c)
+@query("sentence_chunks", f"""WITH c AS (SELECT doc_id, {SENTENCES} AS ss FROM documents), f AS (SELECT doc_id, list_filter(ss, lambda x: len(string_split(x, ' ')) >= 3) AS ss FROM c)
 SELECT doc_id, doc_id || '::sent::' || i AS chunk_id, ss[i + 1] AS chunk_text FROM (SELECT doc_id, ss, unnest(range(0, len(ss))) AS i FROM f)""")
 def sentence_chunks(s, d):
-    t = table(s, d, "documents").where(~F.col("text").rlike(r"(?i)\d\s*min"))
-    return Q.sentence_chunks(t, "doc_id", "text").select("doc_id", "chunk_id", "chunk_text")
-
-
-@query("sentence_chunks_whole")
-def sentence_chunks_whole(s, d):
-    """Every document, those with minute markers too."""
     return Q.sentence_chunks(table(s, d, "documents"), "doc_id", "text").select("doc_id", "chunk_id", "chunk_text")
 
 

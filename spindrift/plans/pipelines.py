@@ -231,12 +231,12 @@ def keyword_answers(s, d):
 
 
 @query("evidence_block", """SELECT conv_id, string_agg('[Claim ' || rn || ']' || chr(10) || role || chr(10) || chr(10) || CASE WHEN rn = 2 THEN '[Retrieved evidence]' || chr(10) || 'No retrieved evidence.'
-ELSE '[Evidence ' || rn || '.1]' || chr(10) || left(text, 5) || chr(10) || chr(10) || '[Evidence ' || rn || '.2]' || chr(10) || CAST(turn AS VARCHAR) END, chr(10) || chr(10) ORDER BY rn) AS block
+ELSE '[Evidence ' || rn || '.1]' || chr(10) || coalesce(text, '') || chr(10) || chr(10) || '[Evidence ' || rn || '.2]' || chr(10) || CAST(turn AS VARCHAR) END, chr(10) || chr(10) ORDER BY rn) AS block
 FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations) GROUP BY conv_id""")
 def evidence_block(s, d):
     c = table(s, d, "conversations").withColumn("claim_idx", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")))
     one = lambda k, text: F.struct(F.lit(k).alias("rank"), text.alias("chunk_text"))
-    found = F.array(one(1, F.left("text", F.lit(5))), one(2, F.col("turn").cast("string")), one(3, F.lit("beyond")))
+    found = F.array(one(1, F.coalesce("text", F.lit(""))), one(2, F.col("turn").cast("string")), one(3, F.lit("beyond")))
     evidence = F.when(F.col("claim_idx") != 2, F.slice(found, 1, 3)).otherwise(F.slice(found, 1, 0))
     claim = F.struct("claim_idx", F.col("role").alias("claim_sentence"), evidence.alias("evidence"))
     g = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(claim)).alias("claims"))

@@ -46,9 +46,9 @@ def first_fraction(s, d):
 
 
 @query("representation_text", f"""SELECT doc_id, 'Title: ' || trim(regexp_replace(left(text, 10), '\\s+', ' ', 'g')) || CASE WHEN lang = 'en' THEN '' ELSE ' | Categories: ' || lang END || ' | Keywords: ' || source || '; ' || lang
-  || ' | Body: ' || array_to_string({WORDS}[1:5], ' ') AS repr FROM (SELECT * FROM documents WHERE left(text, 10) NOT LIKE ' %' AND left(text, 10) NOT LIKE '% ' AND len({WORDS}) > 0)""")
+  || ' | Body: ' || array_to_string({WORDS}[1:5], ' ') AS repr FROM (SELECT * FROM documents)""")
 def representation(s, d):
-    t = docs(s, d).where(~F.left("text", F.lit(10)).like(" %") & ~F.left("text", F.lit(10)).like("% ") & (F.size(T.words(F.col("text"))) > 0))
+    t = docs(s, d)
     cats = F.when(F.col("lang") != "en", F.array("lang")).otherwise(F.array().cast("array<string>"))
     return t.select("doc_id", T.representation(F.left("text", F.lit(10)), cats, F.array("source", "lang"), T.first_words(F.col("text"), 5)).alias("repr"))
 
@@ -108,23 +108,21 @@ def claim_split(s, d):
     return Q.claim_jobs(docs(s, d), "doc_id", "text")
 
 
-@query("article_sentences", r"""WITH c AS (SELECT doc_id, string_split(regexp_replace(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), '([.!?]) ', '\1' || chr(1), 'g'), chr(1)) AS ss FROM documents WHERE NOT regexp_matches(text, '(?i)\d\s*min'))
-SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(ss) AS x FROM c) WHERE len(string_split(trim(x), ' ')) >= 3 GROUP BY doc_id""")
-def article_sentences(s, d):
-    t = docs(s, d).where(~F.col("text").rlike(r"(?i)\d\s*min"))
-    return t.select("doc_id", F.size(T.article_sentences(F.col("text"))).cast("long").alias("n")).where("n > 0")
+#: Sentences of an article as SQL: white space collapsed, broken before minute markers and after
+#: sentence ends.
+SENTENCES = rf"""list_transform(flatten(list_transform(string_split(regexp_replace(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), '(?i) ({T.MINUTE})', chr(2) || '\1', 'g'), chr(2)),
+  lambda b: string_split(regexp_replace(trim(b), '([.!?]) ', '\1' || chr(1), 'g'), chr(1)))), lambda x: trim(x))"""
 
 
-@query("article_sentences_whole")
-def article_sentences_whole(s, d):
-    """Every document, those with minute markers too; 0 where there is no sentence."""
+@query("article_sentences", f"""WITH c AS (SELECT doc_id, {SENTENCES} AS ss FROM documents)
+SELECT doc_id, CAST(len(list_filter(ss, lambda x: len(string_split(x, ' ')) >= 3)) AS BIGINT) AS n FROM c""")
+def article_sentences(s, d):
     return docs(s, d).select("doc_id", F.size(T.article_sentences(F.col("text"))).cast("long").alias("n"))
 
 
-@query("response_changed", r"""SELECT conv_id, turn, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) <> lower(trim(regexp_replace(upper(text) || ' ', '\s+', ' ', 'g'))) AS changed FROM conversations
-  WHERE NOT regexp_matches(text, '[^\x00-\x7F]') AND NOT regexp_matches(text, '^(?i:\s*highlight)')""")
+@query("response_changed", r"""SELECT conv_id, turn, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) <> lower(trim(regexp_replace(upper(text) || ' ', '\s+', ' ', 'g'))) AS changed FROM conversations""")
 def response_changed(s, d):
-    c = table(s, d, "conversations").where(~F.col("text").rlike(r"[^\x00-\x7F]") & ~F.col("text").rlike(r"^(?i:\s*highlight)"))
+    c = table(s, d, "conversations")
     return c.select("conv_id", "turn", (T.comparable(F.col("text")) != T.comparable(F.concat(F.lit("Highlight: "), F.upper("text"), F.lit(" ")))).alias("changed"))
 
 
@@ -183,9 +181,9 @@ def word_universe(s, d):
     return w.where("lang = 'en'").select("w").distinct().join(w.where("lang <> 'en'").select("w").distinct(), "w", "left_anti")
 
 
-@query("payload_items", r"""SELECT p_partkey, array_to_string(list_filter(list_transform(regexp_split_to_array(p_type || ';' || p_name || ',' || p_brand, '[,;\n\t]+'), lambda x: trim(x)), lambda x: x <> ''), '|') AS items FROM part WHERE p_type <> p_name""")
+@query("payload_items", r"""SELECT p_partkey, array_to_string(list_filter(list_transform(regexp_split_to_array(p_type || ';' || p_name || ',' || p_brand, '[,;\n\t]+'), lambda x: trim(x)), lambda x: x <> ''), '|') AS items FROM part""")
 def payload_items(s, d):
-    return table(s, d, "part").where("p_type <> p_name").select("p_partkey", F.array_join(T.payload_items(F.concat("p_type", F.lit(";"), "p_name", F.lit(",") , "p_brand")), "|").alias("items"))
+    return table(s, d, "part").select("p_partkey", F.array_join(T.payload_items(F.concat("p_type", F.lit(";"), "p_name", F.lit(",") , "p_brand")), "|").alias("items"))
 
 
 @query("answer_labels", r"""SELECT n_nationkey, array_to_string(list_filter(list_transform(regexp_split_to_array(regexp_extract('Categories: ' || n_name || ' | b;c', '(?is)categories\s*:\s*([^\n]*)', 1), '[,|;]'), lambda x: trim(x)), lambda x: x <> ''), '/') AS labels FROM nation""")
@@ -193,9 +191,9 @@ def answer_labels(s, d):
     return table(s, d, "nation").select("n_nationkey", F.array_join(P.labels_of_answer(F.concat(F.lit("Categories: "), "n_name", F.lit(" | b;c"))), "/").alias("labels"))
 
 
-@query("cycling_separators", """SELECT doc_id, array_to_string(list_transform(w, lambda x, i: CASE WHEN i = 1 THEN x ELSE [', ', '; ', ' / '][1 + (i - 2) % 3] || x END), '') AS joined FROM (SELECT doc_id, """ + WORDS + """[1:7] AS w FROM documents)""")
+@query("cycling_separators", """SELECT doc_id, array_to_string(list_transform(w, lambda x, i: CASE WHEN i = 1 THEN x ELSE [', ', '; ', ' / '][1 + (i - 2) % 3] || x END), '') AS joined FROM (SELECT doc_id, """ + WORDS + """ AS w FROM documents)""")
 def cycling(s, d):
-    return docs(s, d).select("doc_id", T.cycling_join(F.slice(T.words(F.col("text")), 1, 7), [", ", "; ", " / "]).alias("joined"))
+    return docs(s, d).select("doc_id", T.cycling_join(T.words(F.col("text")), [", ", "; ", " / "]).alias("joined"))
 
 
 @query("url_redaction", r"""SELECT page_id, regexp_replace(url, '([?&]ref=)[^&#]*', '\1REDACTED', 'g') AS url, regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g') AS file FROM pages""")
@@ -255,13 +253,13 @@ def schedule(s, d):
     return table(s, d, "events").select("event_id", F.round(S.binned_schedule((F.col("event_id") % 1000) / F.lit(1000.0), 0.04, 0.01, 0.0, 0.8, 0.01), 9).alias("weight"))
 
 
-@query("item_set_scores", f"""WITH t AS (SELECT doc_id, list_distinct({WORDS}[1:6]) AS g, list_distinct({WORDS}[3:9]) AS p FROM documents),
+@query("item_set_scores", f"""WITH t AS (SELECT doc_id, list_distinct({WORDS}) AS g, list_distinct({WORDS}[3:]) AS p FROM documents),
 h AS (SELECT doc_id, len(g) AS ng, len(p) AS np, len(list_intersect(g, p)) AS k FROM t),
 r AS (SELECT doc_id, CASE WHEN ng = 0 AND np = 0 THEN 1.0 WHEN np > 0 THEN k / np ELSE 0.0 END AS precision, CASE WHEN ng = 0 AND np = 0 THEN 1.0 WHEN ng > 0 THEN k / ng ELSE 0.0 END AS recall, k = ng AND k = np AS exact FROM h)
 SELECT doc_id, round(precision, 9) AS precision, round(recall, 9) AS recall, round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END, 9) AS f1, exact FROM r""")
 def item_scores(s, d):
     w = T.words(F.col("text"))
-    x = docs(s, d).select("doc_id", S.item_scores(F.slice(w, 1, 6), F.slice(w, 3, 7)).alias("s"))
+    x = docs(s, d).select("doc_id", S.item_scores(w, F.slice(w, F.lit(3), F.greatest(F.size(w), F.lit(0)))).alias("s"))
     return x.select("doc_id", F.round("s.precision", 9).alias("precision"), F.round("s.recall", 9).alias("recall"), F.round("s.f1", 9).alias("f1"), "s.exact")
 
 

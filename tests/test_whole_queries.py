@@ -114,7 +114,7 @@ def sentences(t):
 
 def test_sentences_whole(spark, tables):
     want = {k + 2: sentences(t) for k, t in enumerate(TEXTS)}
-    assert {k: r["n"] for k, r in by_id(spark, tables, "article_sentences_whole").items()} == {k: len(v) for k, v in want.items()}
-    got = {r["chunk_id"]: r["chunk_text"] for r in QUERIES["sentence_chunks_whole"](spark, tables).collect()}
+    assert {k: r["n"] for k, r in by_id(spark, tables, "article_sentences").items()} == {k: len(v) for k, v in want.items()}
+    got = {r["chunk_id"]: r["chunk_text"] for r in QUERIES["sentence_chunks"](spark, tables).collect()}
     assert got == {f"{k}::sent::{i}": x for k, v in want.items() for i, x in enumerate(v)}
     assert any(x.startswith("45+3 mins:") for x in got.values())
