@@ -42,6 +42,12 @@ def knn(queries: DataFrame, base: DataFrame, id_col: str, vec_col: str, k: int,
     n = [max(1, -(-df.count() // BLOCK)) for df in (queries, base)]
     q = _blocks(queries, id_col, vec_col, n[0]).select(F.col("ids").alias("qi"), F.col("m").alias("qm"))
     b = _blocks(base, id_col, vec_col, n[1]).select(F.col("ids").alias("bi"), F.col("m").alias("bm"))
+    pairs = q.repartition(n[0]).crossJoin(b)  # blocks, not rows
+    return _ranked(pairs.mapInArrow(_nearest(k, include_self), "src long, dst long, sim double"), k)
+
+
+def _nearest(k: int, include_self: bool):
+    """Pairs of blocks (qi, qm, bi, bm) -> the best ``k`` of each query among the block's rows."""
 
     def run(batches):
         for batch in batches:
@@ -59,47 +65,92 @@ def knn(queries: DataFrame, base: DataFrame, id_col: str, vec_col: str, k: int,
                     [pa.array(src[ok], pa.int64()), pa.array(dst[ok], pa.int64()), pa.array(sim[ok], pa.float64())], names=["src", "dst", "sim"]
                 )
 
-    pairs = q.repartition(n[0]).crossJoin(b)  # blocks, not rows
-    near = pairs.mapInArrow(run, "src long, dst long, sim double")
+    return run
+
+
+def _ranked(near: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("src").orderBy(F.col("sim").desc(), "dst")
     return near.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
-def _hyperplane_keys(df: DataFrame, id_col: str, vec_col: str, tables: int, bits: int, seed: int) -> DataFrame:
-    """(id, v, keys): for each table the side of ``bits`` seeded hyperplanes, as one number."""
+def coarse_centres(base: DataFrame, id_col: str, vec_col: str, lists: int, sample: int = 20_000, rounds: int = 8) -> np.ndarray:
+    """Unit centres of ``lists`` groups of directions, by spherical k-means over a bounded sample:
+    the ``sample`` rows with the least hash of their id."""
+    rows = base.select(F.col(vec_col).cast("array<double>").alias("v"), F.xxhash64(F.lit(31), id_col).alias("h"))
+    x = np.array([r["v"] for r in rows.where("v IS NOT NULL").orderBy("h").limit(max(sample, lists)).collect()], float)
+    if not len(x):
+        return np.zeros((0, 0))
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    c = x[:lists].copy()
+    for _ in range(rounds):
+        own = (x @ c.T).argmax(1)
+        total = np.zeros_like(c)
+        np.add.at(total, own, x)
+        norm = np.linalg.norm(total, axis=1, keepdims=True)
+        c = np.where(norm > 0, total / np.maximum(norm, 1e-12), c)
+    return c
+
+
+def _in_lists(df: DataFrame, id_col: str, vec_col: str, centres: np.ndarray, probes: int) -> DataFrame:
+    """(id, v, list): each row with the ``probes`` lists whose centres are nearest."""
 
     def run(batches):
-        planes = None
         for batch in batches:
-            vectors = [np.asarray(x.values, float) for x in batch.column("v")]
-            if not vectors:
+            rows = batch.num_rows
+            if not rows:
                 continue
-            if planes is None:
-                planes = np.random.default_rng(seed).standard_normal((len(vectors[0]), tables * bits))
-            sides = (np.stack(vectors) @ planes > 0).reshape(-1, tables, bits)
-            numbers = sides @ (1 << np.arange(bits)) + (np.arange(tables) << bits)
+            x = np.stack([np.asarray(v.values, float) for v in batch.column("v")])
+            best = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :probes]
+            own = pa.array(np.repeat(np.arange(rows), best.shape[1]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("v"), pa.array(numbers.astype(np.int64).tolist(), pa.list_(pa.int64()))], names=["id", "v", "keys"]
+                [batch.column("id").take(own), batch.column("v").take(own), pa.array(best.ravel(), pa.int32())], names=["id", "v", "list"]
             )
 
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    return rows.mapInArrow(run, "id long, v array<double>, keys array<long>")
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where("v IS NOT NULL")
+    return rows.mapInArrow(run, "id long, v array<double>, list int")
+
+
+def _probes_for(queries: DataFrame, base: DataFrame, id_col: str, vec_col: str, k: int, centres: np.ndarray, held: DataFrame, recall: float, sample: int = 64) -> int:
+    """The least number of lists that hold ``recall`` of the neighbours of ``sample`` queries, which
+    are searched exactly, in one pass over the base."""
+    some = cut(queries.where(F.col(vec_col).isNotNull()).orderBy(F.xxhash64(F.lit(13), id_col)).limit(sample))
+    true = knn(some, base, id_col, vec_col, k).join(held.select(F.col("id").alias("dst"), "list"), "dst").select("src", "list").collect()
+    vectors = {r[id_col]: np.asarray(r[vec_col], float) for r in some.collect()}
+    place = {i: np.argsort(np.argsort(-(centres @ v), kind="stable")) for i, v in vectors.items()}
+    needed = sorted(int(place[r["src"]][r["list"]]) + 1 for r in true)
+    return needed[max(0, int(np.ceil(recall * len(needed))) - 1)] if needed else 1
 
 
 def knn_approximate(
-    queries: DataFrame, base: DataFrame, id_col: str, vec_col: str, k: int, tables: int = 32, bits: int = 5, seed: int = 31
+    queries: DataFrame, base: DataFrame, id_col: str, vec_col: str, k: int, probes: int | None = None, lists: int | None = None, recall: float = 0.95
 ) -> DataFrame:
-    """Like ``knn`` without comparing all rows: only rows that share a hyperplane key in some table
-    meet, by an equi-join on the key, and are ranked by their exact inner product.  More tables
-    or fewer bits raise recall and cost (the defaults suit neighbours of cosine 0.5; closer ones
-    allow more bits); a pair met in several tables is ranked once."""
-    q = _hyperplane_keys(queries, id_col, vec_col, tables, bits, seed).select(F.col("id").alias("src"), F.col("v").alias("qv"), F.explode("keys").alias("key"))
-    b = _hyperplane_keys(base, id_col, vec_col, tables, bits, seed).select(F.col("id").alias("dst"), F.col("v").alias("bv"), F.explode("keys").alias("key"))
-    met = q.join(b, "key").where("src <> dst")
-    dot = F.aggregate(F.zip_with("qv", "bv", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    near = met.select("src", "dst", F.round(dot, 12).alias("sim")).groupBy("src", "dst").agg(F.max("sim").alias("sim"))
-    w = Window.partitionBy("src").orderBy(F.col("sim").desc(), "dst")
-    return near.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+    """Like ``knn`` without comparing all rows: the base lies in lists by nearest centre, a query
+    looks only into the ``probes`` lists nearest to it, and what it finds there is ranked exactly.
+
+    Lists grow with the root of the base (sqrt(n) / 3, 4,096 at most), so a query meets about
+    3 * probes * sqrt(n) rows.  Without ``probes``, as many lists are looked into as hold ``recall`` of
+    the true neighbours of a sample of queries: a few where vectors lie in groups, most of them where
+    directions are spread evenly and no index can do without.  Lists are cut into blocks of ``BLOCK`` rows, which bounds a task
+    however full a list is; every base row lies in exactly one list.
+    """
+    n = base.count()
+    lists = lists or max(1, min(4096, int(n**0.5 / 3)))
+    centres = coarse_centres(base, id_col, vec_col, lists)
+    if not len(centres):
+        return knn(queries, base, id_col, vec_col, k)
+    held = cut(_in_lists(base, id_col, vec_col, centres, 1))
+    probes = probes or _probes_for(queries, base, id_col, vec_col, k, centres, held, recall)
+    asked = cut(_in_lists(queries, id_col, vec_col, centres, probes))
+
+    def blocked(rows: DataFrame, i: str, m: str) -> DataFrame:
+        size = rows.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))  # a row a list
+        rows = rows.join(F.broadcast(size), "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+        return rows.groupBy("list", "part").agg(F.collect_list(F.struct("id", "v")).alias("x")).select(
+            "list", F.col("x.id").alias(i), F.flatten("x.v").alias(m)
+        )
+
+    pairs = blocked(asked, "qi", "qm").join(blocked(held, "bi", "bm"), "list")
+    return _ranked(pairs.mapInArrow(_nearest(k, False), "src long, dst long, sim double"), k)
 
 
 def percentile(df: DataFrame, col: str, q: float, fallback: float) -> DataFrame:
@@ -126,11 +177,12 @@ def graph_edges(neighbours: DataFrame, q: float, fallback: float, only_mutual: b
     return undirected(mutual(e) if only_mutual else e)
 
 
-def connected(edges: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, component): least node id reachable; rounds of neighbour minimum and pointer jump."""
+def connected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, component): least node id reachable; rounds of neighbour minimum and pointer jump, until
+    nothing changes."""
     both = cut(edges.select("u", "v").unionAll(edges.select("v", "u")).distinct())
     lab = nodes.select(F.col("node"), F.col("node").alias("component"))
-    for _ in range(rounds):
+    while True:
         best = both.join(lab, both.v == lab.node).groupBy("u").agg(F.min("component").alias("m"))
         new = lab.join(best, lab.node == best.u, "left").select("node", F.least("component", F.coalesce("m", "component")).alias("c1"), F.col("component").alias("old"))
         jump = lab.select(F.col("node").alias("c1"), F.col("component").alias("c2"))
@@ -142,28 +194,90 @@ def connected(edges: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFrame
     return lab
 
 
-def communities(edges: DataFrame, nodes: DataFrame, rounds: int = 10) -> DataFrame:
-    """(node, cluster) by weighted label propagation; ties go to the least label.  A stand-in for
-    modularity optimisation: labels differ from any other method's, invariants hold (every node
-    has one label, clusters lie inside connected components)."""
-    both = cut(edges.select("u", "v", "weight").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "weight")))
-    lab = nodes.select("node", F.col("node").alias("cluster"))
-    for k in range(rounds):
-        votes = both.join(lab, both.v == lab.node).groupBy("u", "cluster").agg(F.round(F.sum("weight"), 9).alias("w"))
-        best = votes.groupBy("u").agg(F.max(F.struct("w", (-F.col("cluster")).alias("c"))).alias("x"))
-        moves = F.pmod(F.xxhash64("node", F.lit(k)), F.lit(2)) == 0 if k % 3 else F.lit(True)  # damps oscillation
-        new = lab.join(best, lab.node == best.u, "left").select(
-            "node", F.when(moves & F.col("x").isNotNull(), -F.col("x.c")).otherwise(F.col("cluster")).alias("new"), "cluster"
-        )
-        new = cut(new)
-        changed = new.where("new <> cluster").limit(1).count()
-        lab = new.select("node", F.col("new").alias("cluster"))
-        if not changed:
+def communities(
+    edges: DataFrame, nodes: DataFrame, resolutions: tuple[float, ...] = (1.0,), largest: int | None = None, seed: int = 7
+) -> DataFrame:
+    """(node, cluster) by modularity with a resolution: the partition of the first of the
+    ``resolutions`` none of whose clusters has more than ``largest`` nodes, else of the last.
+
+    Any optimiser's labels are its own; what holds is that no cluster reaches beyond a connected
+    component, and that the quality is never below that of all nodes apart.
+    """
+    both = edges.select("u", "v", "weight").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "weight"))
+    both = cut(both.groupBy("u", "v").agg(F.sum(F.col("weight").cast("double")).alias("weight")))
+    found = None
+    for r in resolutions:
+        found = _partition(both, nodes, r, seed)
+        size = found.groupBy("cluster").count().agg(F.max("count")).first()[0] or 0
+        if largest is None or size <= largest:
             break
-    return lab
+    return found
+
+
+def _partition(both: DataFrame, nodes: DataFrame, resolution: float, seed: int) -> DataFrame:
+    """Levels of local moves and contraction until a level moves nothing."""
+    total = both.agg(F.sum("weight")).first()[0] or 0.0
+    member = cut(nodes.select("node", F.col("node").alias("cluster")))
+    if total <= 0:
+        return member
+    level = both
+    while True:
+        lab, moved = _local_moves(level, total, resolution, seed)
+        if not moved:
+            return member
+        member = member.withColumnRenamed("cluster", "c0").join(lab.select(F.col("node").alias("c0"), "cluster"), "c0", "left")
+        member = cut(member.select("node", F.coalesce("cluster", "c0").alias("cluster")))
+        ends = [lab.select(F.col("node").alias(x), F.col("cluster").alias(f"c{x}")) for x in ("u", "v")]
+        level = level.join(ends[0], "u").join(ends[1], "v").groupBy("cu", "cv").agg(F.sum("weight").alias("weight"))
+        level = cut(level.select(F.col("cu").alias("u"), F.col("cv").alias("v"), "weight"))
+
+
+def _quality(level: DataFrame, lab: DataFrame, total: float, resolution: float) -> float:
+    """Modularity of a labelling; self-links hold the weight inside contracted nodes."""
+    ends = [lab.select(F.col("node").alias(x), F.col("cluster").alias(f"c{x}")) for x in ("u", "v")]
+    e = level.join(ends[0], "u").join(ends[1], "v")
+    inside = F.sum(F.when(F.col("cu") == F.col("cv"), F.col("weight")).otherwise(0.0))
+    by = e.groupBy("cu").agg(inside.alias("inside"), F.sum("weight").alias("k"))
+    return by.agg(F.sum(F.col("inside") / total - resolution * (F.col("k") / total) ** 2)).first()[0] or 0.0
+
+
+def _local_moves(level: DataFrame, total: float, resolution: float, seed: int, patience: int = 3) -> tuple[DataFrame, bool]:
+    """Nodes move to the neighbouring cluster with the largest gain, a seeded half of them a round;
+    rounds end when no node gains, or when ``patience`` of them in a row raised the quality by less than
+    0.001.  The
+    best partition seen is returned, and whether it is better by more than that than all nodes apart."""
+    degree = cut(level.groupBy("u").agg(F.sum("weight").alias("k")).withColumnRenamed("u", "node"))
+    lab = degree.select("node", F.col("node").alias("cluster"))
+    best = start = _quality(level, lab, total, resolution)
+    best_lab, since, k = lab, 0, 0
+    while since < patience:
+        own = lab.join(degree, "node")
+        mass = own.groupBy("cluster").agg(F.sum("k").alias("mass"))
+        to = level.where("u <> v").join(lab.select(F.col("node").alias("v"), "cluster"), "v").groupBy("u", "cluster").agg(F.sum("weight").alias("w"))
+        stay = own.select(F.col("node").alias("u"), "cluster", F.lit(0.0).alias("w"))
+        c = to.unionAll(stay).groupBy("u", "cluster").agg(F.sum("w").alias("w")).join(mass, "cluster")
+        c = c.join(own.select(F.col("node").alias("u"), F.col("cluster").alias("now"), "k"), "u")
+        others = F.col("mass") - F.when(F.col("cluster") == F.col("now"), F.col("k")).otherwise(0.0)
+        c = c.withColumn("gain", F.round(F.col("w") - resolution * F.col("k") * others / total, 9))
+        top = F.max(F.struct("gain", (-F.col("cluster")).alias("c"))).alias("top")
+        b = c.groupBy("u", "now").agg(top, F.max(F.when(F.col("cluster") == F.col("now"), F.col("gain"))).alias("held"))
+        wants = F.col("top.gain") > F.col("held") + 1e-9
+        turn = F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "u"), F.lit(2)) == 0
+        moves = b.select(F.col("u").alias("node"), F.when(wants & turn, -F.col("top.c")).otherwise(F.col("now")).alias("cluster"), wants.alias("wants"))
+        moves = cut(moves)
+        k += 1
+        if moves.where("wants").isEmpty():
+            break
+        lab = moves.select("node", "cluster")
+        quality = _quality(level, lab, total, resolution)
+        since += 1
+        if quality > best:
+            since = 0 if quality > best + 1e-3 else since
+            best, best_lab = quality, lab
+    return best_lab, best > start + 1e-3
 
 
-def attach_singletons(members: DataFrame, neighbours: DataFrame, threshold: float, rounds: int = 50) -> DataFrame:
+def attach_singletons(members: DataFrame, neighbours: DataFrame, threshold: float) -> DataFrame:
     """Members (node, cluster) with singletons attached to the cluster of their first neighbour at
     the threshold or above that lies in a cluster of two or more.
 
@@ -175,7 +289,7 @@ def attach_singletons(members: DataFrame, neighbours: DataFrame, threshold: floa
     edges = neighbours.where(F.col("sim") >= threshold).select(F.col("src"), F.col("dst"), "rank")
     m = cut(m)
     # frozen sizes: an attached singleton is in a cluster of two or more from then on
-    for _ in range(rounds):
+    while True:  # the least open singleton is decided in every round
         open_ = m.where("NOT done").select(F.col("node").alias("src"))
         if open_.isEmpty():
             break
@@ -215,7 +329,7 @@ def centroids(df: DataFrame, cluster: str, vec: str, dim: int) -> DataFrame:
 def centroid_ranks(df: DataFrame, id_col: str, cluster: str, vec: str, dim: int, digits: int = 9) -> DataFrame:
     """Similarity and distance to the own centroid and the 0-based rank by distance, then id."""
     dot = F.aggregate(F.zip_with(vec, "centroid", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
-    j = df.join(F.broadcast(centroids(df, cluster, vec, dim)), cluster).withColumn("sim", F.round(dot, digits))
+    j = df.join(centroids(df, cluster, vec, dim), cluster).withColumn("sim", F.round(dot, digits))
     j = j.withColumn("dist", F.round(1 - F.col("sim"), digits))
     w = Window.partitionBy(cluster).orderBy("dist", id_col)
     return j.select(id_col, cluster, "size", "sim", "dist", (F.row_number().over(w) - 1).cast("long").alias("rank"))

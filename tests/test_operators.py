@@ -156,6 +156,42 @@ def test_approximate_neighbours_recall(spark, sf_dir):
     assert len(exact & pairs(V.knn_approximate(e, e, "vec_id", "embedding", 10))) / len(exact) > 0.9
 
 
+def test_approximate_neighbours_of_groups(spark):
+    """Where vectors lie in groups, few rows are met: far fewer than rows x rows."""
+    rng = np.random.default_rng(4)
+    centre = rng.standard_normal((40, 16))
+    x = np.repeat(centre, 30, 0) + 0.15 * rng.standard_normal((1200, 16))
+    e = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, v array<double>")
+    exact = {(r["src"], r["dst"]) for r in V.knn(e, e, "id", "v", 5).collect()}
+    got = V.knn_approximate(e, e, "id", "v", 5)
+    assert len(exact & {(r["src"], r["dst"]) for r in got.collect()}) / len(exact) > 0.9
+    centres = V.coarse_centres(e, "id", "v", 11)
+    held = V.cut(V._in_lists(e, "id", "v", centres, 1))
+    assert V._probes_for(e, e, "id", "v", 5, centres, held, 0.95) <= 3
+
+
+def modularity(edges, label, resolution=1.0):
+    total, k, inside = 2 * sum(w for *_, w in edges), {}, 0.0
+    for u, v, w in edges:
+        inside += 2 * w * (label[u] == label[v])
+        for x in (u, v):
+            k[label[x]] = k.get(label[x], 0.0) + w
+    return inside / total - resolution * sum((x / total) ** 2 for x in k.values())
+
+
+def test_communities_find_planted_groups(spark):
+    """Groups of a planted partition; a higher resolution or the size stop gives smaller clusters."""
+    rng = random.Random(6)
+    edges = [(a, b, 1.0) for a in range(48) for b in range(a + 1, 48) if rng.random() < (0.7 if a // 12 == b // 12 else 0.04)]
+    e = spark.createDataFrame(edges, "u long, v long, weight double")
+    nodes = spark.createDataFrame([(k,) for k in range(50)], "node long")
+    found = {r["node"]: r["cluster"] for r in V.communities(e, nodes).collect()}
+    planted = modularity(edges, {k: k // 12 for k in range(48)})
+    assert len(found) == 50 and modularity(edges, found) >= planted - 0.03
+    small = V.communities(e, nodes, (0.05, 1.0), largest=20)
+    assert small.groupBy("cluster").count().agg({"count": "max"}).first()[0] <= 20
+
+
 def brute_attach(members, near, threshold):
     size = {}
     for c in members.values():
@@ -366,3 +402,42 @@ def test_embedding_slot(spark):
     assert sorted(r["embedding"][0] for r in got) == [1.0, 2.0]
     with pytest.raises(Exception, match="empty text"):
         embedding.embed(spark.createDataFrame([(" ",)], "t string"), "t", lambda ts: [[0.0]] * len(ts)).collect()
+
+
+def test_paragraphs_by_their_rules():
+    from spindrift.operators import coverage as C
+
+    s = lambda n, end=".": "w" * (n - 1) + end
+    assert C.paragraphs_of(None) == [] and C.paragraphs_of(" \r\n ") == []
+    assert C.paragraphs_of("One  a.\r\n\r\nTwo\tb.\nstill two") == ["One a.", "Two b.\nstill two"]
+    assert C.paragraphs_of("first  line\n second\tline \n") == ["first line", "second line"]
+    assert C.paragraphs_of(f"{s(340)} {s(339)}") == [f"{s(340)} {s(339)}"]  # 680 characters: whole
+    assert C.paragraphs_of(s(900)) == [s(900)]  # one sentence
+    # closed at 380 characters only with three sentences
+    assert C.paragraphs_of(" ".join([s(200)] * 4)) == [" ".join([s(200)] * 3), s(200)]
+    assert C.paragraphs_of(" ".join([s(300)] * 3)) == [" ".join([s(300)] * 2), s(300)]
+    # a tail under 180 joins whatever the length
+    assert C.paragraphs_of(" ".join([s(200), s(200), s(210), s(100)])) == [" ".join([s(200), s(200), s(210), s(100)])]
+    # a quotation mark ends a sentence with its stop
+    a = s(228, '."')
+    assert C.paragraphs_of(" ".join([s(229, "!"), a, s(229, "?"), s(300)])) == [" ".join([s(229, "!"), a]), f"{s(229, '?')} {s(300)}"]
+
+
+def test_covering_selection(spark):
+    from spindrift.operators import coverage as C
+
+    assert C.greedy_cover([frozenset("ab"), frozenset("bcd"), frozenset("a")], set("abcd")) == [1, 0]
+    assert C.greedy_cover([], {"x"}) == [] and C.greedy_cover([frozenset()], set()) == []
+    rng = random.Random(2)
+    rows = [(k, k % 2, rng.sample("abcdefgh", rng.randint(0, 3))) for k in range(60)]
+    df = spark.createDataFrame(rows, "id long, split long, labels array<string>").repartition(5)
+    labels = {k: set(v) for k, _, v in rows}
+    for target in (12, 40, 2):
+        got = C.cover_by_split(df, "split", "id", "labels", target).collect()
+        assert len({r["id"] for r in got}) == len(got)
+        for x in (0, 1):
+            ids = [r["id"] for r in got if r["split"] == x]
+            assert len(ids) == min(target, 30) and all(k % 2 == x for k in ids)
+            need = set().union(*(labels[k] for k in labels if k % 2 == x))
+            assert target == 2 or set().union(*(labels[k] for k in ids)) == need
+    assert sorted(map(tuple, C.cover_by_split(df, "split", "id", "labels", 12).collect())) == sorted(map(tuple, C.cover_by_split(df.repartition(3), "split", "id", "labels", 12).collect()))
