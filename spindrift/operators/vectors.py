@@ -22,7 +22,15 @@ def cut(df: DataFrame) -> DataFrame:
         shared = f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
         named = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(named or (tempfile.mkdtemp(prefix="spindrift-") if local else shared))
-    return df.checkpoint(eager=True)
+    return forgetful(df.checkpoint(eager=True))
+
+
+def forgetful(df: DataFrame) -> DataFrame:
+    """A checkpointed table without the size that was guessed for it.  The guess for a join is the
+    product of its sides, so in a loop of joins the number of its digits would double every round
+    until planning takes longer than the work."""
+    spark, jdf = df.sparkSession, df._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(jdf.queryExecution().toRdd(), jdf.schema(), False), spark)
 
 
 def _blocks(df: DataFrame, id_col: str, vec_col: str, n: int) -> DataFrame:
