@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import apart, cut
+from spindrift.llm.common import apart, cut, forgetful
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -29,7 +29,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(
             small.select("a", F.col("m").alias("b"))
         )
-        e = cut(small.where("a <> b").distinct())
+        e = forgetful(cut(small.where("a <> b").distinct()))
     nodes = e.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return nodes.unionAll(nodes.select(F.col("root").alias("node"), "root").distinct())
 

@@ -546,6 +546,15 @@ def prose_of(rng):
     return " ".join("p%d" % rng.randint(0, 10**6) for _ in range(rng.randint(1, 60)))
 
 
+def test_components_of_a_long_chain(spark):
+    """Many rounds: neither the plan nor the guess of its size may grow with them."""
+    n = 3000
+    order = random.Random(4).sample(range(n), n)
+    links = spark.createDataFrame(list(zip(order, order[1:], strict=False)), "a long, b long")
+    got = components.components(links).collect()
+    assert len(got) == n and {r["root"] for r in got} == {0}
+
+
 def test_components(spark):
     rng = random.Random(9)
     links = [(rng.randint(0, 200), rng.randint(0, 200)) for _ in range(120)] + [(k, k + 1) for k in range(300, 340)]
