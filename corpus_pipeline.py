@@ -2,6 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
 columns of ``documents``, with their decisions in effect.  The last returns the shard manifest.
+
+Defined cases, in every stage: an empty table gives an empty one; columns of any other name pass
+through unread, whatever their names; rows that repeat a doc_id are rows of their own.  A null text
+is an empty one: quality rejects it, and in a later stage alone it is a class of near duplicates with
+the other empty texts, is never contaminated, has size 0 in the mix (so it isn't taken) and size 1
+in the manifest.  A null source is a source of its own; a null doc_id counts as the largest.
 """
 
 from __future__ import annotations
@@ -51,8 +57,8 @@ STAGES = [
     ("sharding", sharding_stage),
 ]
 
-#: MinHash candidates and label propagation aren't expressible in SQL; tests hold ``run`` against
-#: a brute-force version.
+#: MinHash candidates and label propagation aren't expressible in SQL; tests hold the near-duplicate
+#: stage against brute force and the others against their operators, which have tests of their own.
 ORACLE_SQL = None
 
 
