@@ -41,3 +41,17 @@ def test_empty_table(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_odd_rows(spark, edge, edge_rows, tmp_path):
+    """Nulls, ties, repeated rows and clashing names pass through every stage alone."""
+    spark.createDataFrame([(1, "some words of a benchmark"), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    counts = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, edge, str(tmp_path))
+        assert name == "sharding" or out.columns == edge.columns
+        counts[name] = out.count()
+    assert 0 < counts["quality_rules"] < len(edge_rows)
+    assert counts["jaccard_join"] == len({c for c, _ in jaccard_join.brute_force([r[1] for r in edge_rows])})
+    assert counts["decontaminate"] == counts["sharding"] == len(edge_rows)
+    assert counts["source_mixing"] > 0
