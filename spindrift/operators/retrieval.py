@@ -56,6 +56,18 @@ def claim_jobs(samples: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return c.select(id_col, F.col("i").cast("long").alias("claim_idx"), "claim")
 
 
+def checked_jobs(jobs: DataFrame, claim: str, vec: str, dim: int) -> DataFrame:
+    """``jobs`` with ``error``: why a job can't be searched, else null.  A failed job stays a row, so
+    the others are searched and no failure is lost."""
+    v = F.col(vec)
+    odd = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    error = (
+        F.when(F.trim(F.coalesce(F.col(claim), F.lit(""))) == "", "empty claim").when(v.isNull(), "no vector")
+        .when(F.size(v) != dim, F.concat(F.lit("vector of "), F.size(v).cast("string"), F.lit(f" for {dim}"))).when(odd, "vector not finite")
+    )
+    return jobs.withColumn("error", error)
+
+
 def term_counts(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """(keys, term, tf, len): lower-cased ASCII word terms of each row."""
     t = df.select(*keys, F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)).alias("w"))
