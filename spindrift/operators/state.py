@@ -73,7 +73,7 @@ class EpochSampler:
 class BestCheckpoints:
     """The ``k`` best checkpoints by a metric, in a manifest that a resumed run takes up.
 
-    Equal metrics prefer the later step.  ``resume`` needs a manifest of the same metric, direction
+    Equal metrics prefer the earlier step.  ``resume`` needs a manifest of the same metric, direction
     and ``k``, with finite metrics and different steps; anything else is a ValueError.
     """
 
@@ -109,7 +109,7 @@ class BestCheckpoints:
 
     def _ordered(self, records: list[dict]) -> list[dict]:
         sign = -1 if self.frozen["greater_is_better"] else 1
-        return sorted(records, key=lambda r: (sign * r["metric"], -r["step"]))
+        return sorted(records, key=lambda r: (sign * r["metric"], r["step"]))
 
     def offer(self, step: int, metric: float, path: str) -> list[dict]:
         """Take a checkpoint in if it is among the best; the records that fell out (the new one, too,

@@ -63,7 +63,8 @@ def test_best_checkpoints(spark, tmp_path):
     resumed = BestCheckpoints(spark, path, "score", 2, resume=True)
     assert resumed.records == best.records and [r["step"] for r in resumed.records] == [2, 3]
     assert [r["step"] for r in resumed.offer(5, 0.9, "c5")] == [3]
-    assert [r["step"] for r in resumed.offer(6, 0.9, "c6")] == [2] and [r["step"] for r in resumed.records] == [6, 5]
+    assert [r["step"] for r in resumed.offer(6, 0.9, "c6")] == [2] and [r["step"] for r in resumed.records] == [5, 6]
+    assert [r["step"] for r in resumed.offer(7, 0.9, "c7")] == [7]
     least = BestCheckpoints(spark, str(tmp_path / "least.json"), "loss", 1, greater_is_better=False)
     least.offer(1, 2.0, "a")
     assert [r["step"] for r in least.offer(2, 1.0, "b")] == [1]
