@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -111,6 +111,12 @@ def ends_with(a: Column, suffix: Sequence[int]) -> Column:
     return F.coalesce(tail == F.array(*map(F.lit, suffix)), F.lit(False))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once.  An expression that a lambda names is computed again
+    for every element, as projections are merged into one."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def answer_labels(prompt: Column, answer: Column, terminals: Sequence[Sequence[int]], mode: str) -> Column:
     """Labels: -100 for the prompt; the answer's terminal tail kept as mode (all, final_only, none)."""
     ids = F.array(*(F.lit(t) for seq in terminals for t in seq))
@@ -123,13 +129,8 @@ def answer_labels(prompt: Column, answer: Column, terminals: Sequence[Sequence[i
         ),
         lambda acc: acc["n"],
     )
-    first = size - tail
-    if mode == "all":
-        kept = answer
-    elif mode == "none":
-        kept = F.transform(answer, lambda x, i: F.when(i >= first, F.lit(-100)).otherwise(x))
-    else:
-        kept = F.transform(answer, lambda x, i: F.when((i >= first) & (i < size - 1), F.lit(-100)).otherwise(x))
+    masked = lambda end: let(size - tail, lambda n: F.transform(answer, lambda x, i: F.when((i >= n) & (i < end), F.lit(-100)).otherwise(x)))
+    kept = {"all": lambda: answer, "none": lambda: masked(size)}.get(mode, lambda: masked(size - 1))()
     return F.concat(F.transform(prompt, lambda _: F.lit(-100)), kept)
 
 

@@ -8,13 +8,15 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.functions.scalars import let
+
 
 def token_roles(tokens: Column, spans: Column) -> Column:
     """For each token (struct start, end) the index of the span (struct start, end) that it
     overlaps most, the first of equals; -1 for none."""
     overlap = lambda t, s: F.greatest(F.lit(0), F.least(t["end"], s["end"]) - F.greatest(t["start"], s["start"]))
     pick = lambda t: F.array_max(F.transform(spans, lambda s, i: F.struct(overlap(t, s).alias("o"), (-i).alias("i"))))
-    return F.transform(tokens, lambda t: F.when(F.coalesce(pick(t)["o"], F.lit(0)) > 0, -pick(t)["i"]).otherwise(F.lit(-1)))
+    return F.transform(tokens, lambda t: let(pick(t), lambda p: F.when(F.coalesce(p["o"], F.lit(0)) > 0, -p["i"]).otherwise(F.lit(-1))))
 
 
 def role_weights(roles: Column, budgets: Column, gamma: float) -> Column:

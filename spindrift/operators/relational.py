@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spindrift.operators.order import running, with_total
+
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key in an explicit order."""
@@ -125,7 +127,8 @@ def one_to_one_left(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> D
 
 def page(df: DataFrame, order: Sequence[Column], number: int, size: int) -> DataFrame:
     """Page ``number`` (1-based) of an ordered result, with the total on every row."""
-    return df.withColumn("total", F.count("*").over(Window.partitionBy())).orderBy(*order).offset((number - 1) * size).limit(size)
+    total = df.agg(F.count("*").alias("total"))  # one row; the others never meet for it
+    return df.orderBy(*order).offset((number - 1) * size).limit(size).join(F.broadcast(total))
 
 
 def prefix_before_seen(df: DataFrame, position: str, seen: Column, limit: int) -> DataFrame:
@@ -136,12 +139,10 @@ def prefix_before_seen(df: DataFrame, position: str, seen: Column, limit: int) -
 
 def running_share(df: DataFrame, count: str, label: str) -> DataFrame:
     """Share and cumulative share, by count descending, then label."""
-    total = F.sum(count).over(Window.partitionBy())
-    run = Window.orderBy(F.col(count).desc(), F.col(label)).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("share", F.col(count) / total).withColumn("cum_share", F.sum(count).over(run) / total)
+    d = running(with_total(df, _total=F.sum(count)), [F.col(count).desc(), F.col(label)], {"_run": count})
+    return d.withColumn("share", F.col(count) / F.col("_total")).withColumn("cum_share", F.col("_run") / F.col("_total")).drop("_run", "_total")
 
 
 def grouped_offsets(df: DataFrame, order: str, count: str) -> DataFrame:
     """Each group's offset: the running sum of the counts before it."""
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("offset", F.coalesce(F.sum(count).over(w), F.lit(0)))
+    return running(df, [order], {"offset": count}).withColumn("offset", F.col("offset") - F.col(count))

@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spindrift.operators.order import numbered, running, with_total
+
 
 def take_target(spec: int | float | None, n: int) -> int:
     """Rows that a take spec means: an int counts, a float below 1 is a fraction, 1.0 or None is
@@ -25,11 +27,10 @@ def seeded_take(df: DataFrame, key: str, seed: int, n: int) -> DataFrame:
 
 def largest_remainder(df: DataFrame, weight: str, total: int, order: str) -> DataFrame:
     """Whole quotas that sum to ``total``: floors, then one each by remainder, then ``order``."""
-    share = F.lit(total) * F.col(weight) / F.sum(weight).over(Window.partitionBy())
-    d = df.withColumn("_x", F.round(share, 9)).withColumn("_f", F.floor("_x"))
-    left = F.lit(total) - F.sum("_f").over(Window.partitionBy())
-    rank = F.row_number().over(Window.orderBy((F.col("_x") - F.col("_f")).desc(), F.col(order)))
-    return d.withColumn("quota", (F.col("_f") + F.when(rank <= left, 1).otherwise(0)).cast("long")).drop("_x", "_f")
+    d = with_total(df, _w=F.sum(weight)).withColumn("_x", F.round(F.lit(total) * F.col(weight) / F.col("_w"), 9)).withColumn("_f", F.floor("_x"))
+    d = numbered(with_total(d, _sum=F.sum("_f")), [(F.col("_x") - F.col("_f")).desc(), F.col(order)], "_rank", 1)
+    quota = F.col("_f") + F.when(F.col("_rank") <= total - F.col("_sum"), 1).otherwise(0)
+    return d.withColumn("quota", quota.cast("long")).drop("_x", "_f", "_w", "_sum", "_rank")
 
 
 def allocate(clusters: DataFrame, cluster: str, size: str, num: int, cap: int, growth: str = "log") -> DataFrame:
@@ -39,20 +40,19 @@ def allocate(clusters: DataFrame, cluster: str, size: str, num: int, cap: int, g
     the lesser cluster), cut to cap and size; what the cut leaves goes to clusters with room, the
     largest first.  Fewer picks than clusters go to the clusters of least hash.
     """
-    every = Window.partitionBy()
     c = clusters.where(F.col(size) > 0).select(cluster, size, F.least(F.col(size), F.lit(cap)).alias("_room"))
-    c = c.withColumn("_n", F.count("*").over(every))
     weight = F.log1p(size) if growth == "log" else F.sqrt(size)
+    c = with_total(c.withColumn("_w", weight), _n=F.count("*"), _all=F.sum("_w"))
     extra = F.greatest(F.lit(num) - F.col("_n"), F.lit(0))
-    c = c.withColumn("_x", F.round(extra * weight / F.sum(weight).over(every), 9)).withColumn("_f", F.floor("_x"))
-    by_rest = F.row_number().over(Window.orderBy((F.col("_x") - F.col("_f")).desc(), cluster))
-    one_more = F.when(by_rest <= extra - F.sum("_f").over(every), 1).otherwise(0)
-    c = c.withColumn("_k", F.least(1 + F.col("_f") + one_more, F.col("_room")))
-    c = c.withColumn("_head", F.col("_room") - F.col("_k")).withColumn("_need", F.lit(num) - F.sum("_k").over(every))
-    before = Window.orderBy(F.col(size).desc(), F.col(cluster)).rowsBetween(Window.unboundedPreceding, -1)
-    fill = F.least(F.col("_head"), F.greatest(F.col("_need") - F.coalesce(F.sum("_head").over(before), F.lit(0)), F.lit(0)))
-    few = F.row_number().over(Window.orderBy(F.md5(F.col(cluster).cast("string")), F.col(cluster)))
-    k = F.when(F.col("_n") > num, F.when(few <= num, 1).otherwise(0)).otherwise(F.col("_k") + fill)
+    c = c.withColumn("_x", F.round(extra * F.col("_w") / F.col("_all"), 9)).withColumn("_f", F.floor("_x"))
+    c = numbered(with_total(c, _sum=F.sum("_f")), [(F.col("_x") - F.col("_f")).desc(), F.col(cluster)], "_rest", 1)
+    one_more = F.when(F.col("_rest") <= extra - F.col("_sum"), 1).otherwise(0)
+    c = c.withColumn("_k", F.least(1 + F.col("_f") + one_more, F.col("_room"))).withColumn("_head", F.col("_room") - F.col("_k"))
+    c = running(with_total(c, _given=F.sum("_k")), [F.col(size).desc(), F.col(cluster)], {"_upto": "_head"})
+    need = F.lit(num) - F.col("_given")
+    fill = F.least(F.col("_head"), F.greatest(need - (F.col("_upto") - F.col("_head")), F.lit(0)))
+    c = numbered(c, [F.md5(F.col(cluster).cast("string")), F.col(cluster)], "_few", 1)
+    k = F.when(F.col("_n") > num, F.when(F.col("_few") <= num, 1).otherwise(0)).otherwise(F.col("_k") + fill)
     return c.select(cluster, size, k.cast("long").alias("k"))
 
 

@@ -91,12 +91,19 @@ def features(rows: DataFrame, keep: Sequence[str], prompt: Column, pieces: Colum
     d = rows.select(*keep, prompt.alias("prompt"), pieces.alias("_pieces"))
     d = d.withColumn("answer", F.array_join(F.transform("_pieces", lambda p: p["text"]), "")).where("trim(prompt) <> '' AND answer <> ''")
     d = d.withColumns({"prompt_ids": tokens.token_ids(F.col("prompt"), path), "_a": tokens.token_ids(F.col("answer"), path), "_at": tokens.token_segments(F.col("answer"), path)})
-    d = d.withColumn("_of", F.transform(token_roles(F.col("_at"), _spans(F.col("_pieces"))), lambda k: F.greatest(k, F.lit(0))))
-    d = d.withColumn("_n", F.transform("_pieces", lambda _, k: F.size(F.filter("_of", lambda x: x == k))))
+    pieces_col = F.col("_pieces")
 
-    def weight(k: Column) -> Column:
-        p = F.get("_pieces", k)
-        return F.when(p["shared"], S.token_weight(p["weight"], F.get("_n", k), "power", gamma=LABEL_GAMMA)).otherwise(p["weight"])
+    def weighed(of: Column, n: Column) -> Column:
+        """Weights and roles of the tokens, from the piece of each and the tokens of each piece."""
+        p = lambda k: F.get(pieces_col, k)
+        each = lambda k: S.token_weight(p(k)["weight"], F.get(n, k), "power", gamma=LABEL_GAMMA)
+        weight = F.transform(of, lambda k: F.when(p(k)["shared"], each(k)).otherwise(p(k)["weight"]))
+        return F.struct(weight.alias("weights"), F.transform(of, lambda k: p(k)["role"]).alias("roles"))
+
+    count = lambda of: F.transform(pieces_col, lambda _, k: F.size(F.filter(of, lambda x: x == k)))
+    owner = lambda spans: F.transform(token_roles(F.col("_at"), spans), lambda k: F.greatest(k, F.lit(0)))
+    held = S.let(_spans(pieces_col), lambda spans: S.let(owner(spans), lambda of: S.let(count(of), lambda n: weighed(of, n))))
+    d = d.withColumn("_held", held)
 
     ends = F.array(*map(F.lit, terminal)).cast("array<int>")
     d = d.withColumn("answer_ids", F.concat("_a", ends))
@@ -109,13 +116,14 @@ def features(rows: DataFrame, keep: Sequence[str], prompt: Column, pieces: Colum
     cut = (lambda c: F.slice(c, 1, limit)) if limit is not None else (lambda c: c)
     d = d.withColumns({
         "input_ids": cut(F.concat("prompt_ids", "answer_ids")), "labels": cut(F.col("_labels")),
-        "loss_weights": cut(F.concat(blank(0.0), F.transform("_of", weight), active(TERMINAL_WEIGHT, MASKED_WEIGHT))),
-        "token_roles": cut(F.concat(blank("prompt"), F.transform("_of", lambda k: F.get("_pieces", k)["role"]), active("terminal_active", "terminal_masked"))),
+        "loss_weights": cut(F.concat(blank(0.0), F.col("_held.weights"), active(TERMINAL_WEIGHT, MASKED_WEIGHT))),
+        "token_roles": cut(F.concat(blank("prompt"), F.col("_held.roles"), active("terminal_active", "terminal_masked"))),
     })
-    counted = lambda c: F.filter(c, lambda _, i: F.get("labels", i) != -100)
+    zipped = F.arrays_zip("input_ids", "labels", "loss_weights", "token_roles")
+    d = d.withColumn("_kept", F.filter(zipped, lambda z: z["labels"] != -100))
     return d.select(
         *keep, "prompt", "answer", "prompt_ids", "answer_ids", "input_ids", F.transform("input_ids", lambda _: F.lit(1)).alias("attention_mask"), "labels", "loss_weights",
-        "token_roles", counted("input_ids").alias("loss_ids"), counted("token_roles").alias("loss_roles"), counted("loss_weights").alias("loss_token_weights"),
+        "token_roles", F.col("_kept.input_ids").alias("loss_ids"), F.col("_kept.token_roles").alias("loss_roles"), F.col("_kept.loss_weights").alias("loss_token_weights"),
         (F.size("prompt_ids") + F.size("answer_ids") > F.size("input_ids")).alias("is_truncated"),
     )
 

@@ -12,6 +12,7 @@ from spindrift.operators import features as X
 from spindrift.operators import relational as R
 from spindrift.operators import retrieval as Q
 from spindrift.operators import vectors as V
+from spindrift.operators.order import numbered
 from spindrift.plans.registry import query
 from spindrift.plans.text_queries import SENTENCES
 from spindrift.sources.tables import table
@@ -166,7 +167,7 @@ def array_overlap(s, d):
 @query("stable_rank_fallback", """SELECT p_partkey, row_number() OVER (ORDER BY coalesce(CASE WHEN p_size % 3 = 0 THEN p_size END, CASE WHEN p_size % 3 = 1 THEN p_size * 10 END, 1e300), p_partkey) AS pos FROM part""")
 def stable_rank(s, d):
     key = F.coalesce(F.when(F.col("p_size") % 3 == 0, F.col("p_size").cast("double")), F.when(F.col("p_size") % 3 == 1, (F.col("p_size") * 10).cast("double")), F.lit(float("inf")))
-    return table(s, d, "part").select("p_partkey", F.row_number().over(Window.orderBy(key, "p_partkey")).cast("long").alias("pos"))
+    return numbered(table(s, d, "part").select("p_partkey", key.alias("key")), ["key", "p_partkey"], "pos", 1).drop("key")
 
 
 @query("rank_change", """WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS a, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS b FROM orders) SELECT o_orderkey, a - b AS change FROM r WHERE a <= 3""")
@@ -182,7 +183,7 @@ def rank_change(s, d):
 @query("job_order", """SELECT conv_id, turn, row_number() OVER (ORDER BY CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 2 END, conv_id, turn) AS pos FROM conversations""")
 def job_order(s, d):
     p = F.when(F.col("role") == "system", 0).when(F.col("role") == "user", 1).otherwise(2)
-    return table(s, d, "conversations").select("conv_id", "turn", F.row_number().over(Window.orderBy(p, "conv_id", "turn")).cast("long").alias("pos"))
+    return numbered(table(s, d, "conversations").select("conv_id", "turn", p.alias("p")), ["p", "conv_id", "turn"], "pos", 1).drop("p")
 
 
 @query("quality_states", """SELECT doc_id, CASE WHEN toxic = 1 THEN 'PARSE_FAILED' WHEN quality = 0 THEN 'REVISED' ELSE 'OK' END AS final_status, quality = 0 AS changed FROM labels""")

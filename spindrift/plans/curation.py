@@ -10,6 +10,7 @@ from spindrift.operators import labels as L
 from spindrift.operators import relational as R
 from spindrift.operators import sampling as P
 from spindrift.operators import vectors as V
+from spindrift.operators.order import numbered
 from spindrift.plans.registry import query
 from spindrift.sources.tables import table
 
@@ -230,7 +231,7 @@ def seeded_take(s, d):
 
 @query("rank_shard", """SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders) WHERE pos % 4 = 3""")
 def rank_shard(s, d):
-    o = table(s, d, "orders").select("o_orderkey", (F.row_number().over(Window.orderBy("o_orderkey")) - 1).alias("pos"))
+    o = numbered(table(s, d, "orders").select("o_orderkey"), ["o_orderkey"], "pos")
     return P.rank_shard(o, "pos", 3, 4).select("o_orderkey")
 
 

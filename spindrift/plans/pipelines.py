@@ -12,7 +12,9 @@ from spindrift.operators import coverage as C
 from spindrift.operators import features as X
 from spindrift.operators import relational as R
 from spindrift.operators import sampling as P
+from spindrift.operators import trainer as Y
 from spindrift.operators import validation as V
+from spindrift.operators.order import numbered
 from spindrift.plans import curation, serving
 from spindrift.plans.registry import query
 from spindrift.sources import files
@@ -28,8 +30,8 @@ def load_clean(s, d):
 
 @query("requested_positions", """SELECT doc_id, pos FROM (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC NULLS LAST, doc_id) - 1 AS pos FROM documents) WHERE pos IN (0, 3, 7, 100, 100000)""")
 def requested_positions(s, d):
-    w = Window.orderBy(F.col("n_chars").desc_nulls_last(), "doc_id")
-    return table(s, d, "documents").select("doc_id", (F.row_number().over(w) - 1).cast("long").alias("pos")).where(F.col("pos").isin(0, 3, 7, 100, 100000))
+    t = table(s, d, "documents").select("doc_id", "n_chars")
+    return numbered(t, [F.col("n_chars").desc_nulls_last(), "doc_id"], "pos").select("doc_id", "pos").where(F.col("pos").isin(0, 3, 7, 100, 100000))
 
 
 @query("samples_after_validity", """SELECT d.doc_id, l.quality AS quality FROM documents d JOIN labels l USING (doc_id) WHERE length(d.text) > 100 AND d.lang <> 'en' ORDER BY doc_id LIMIT 25""")
@@ -65,8 +67,8 @@ def merged_scoring_input(s, d):
 @query("packet_index_fallback", """SELECT doc_id, coalesce(CASE WHEN doc_id % 3 = 0 THEN doc_id + 1000000 END, row_number() OVER (ORDER BY coalesce(CASE WHEN doc_id % 5 > 0 THEN n_chars END, doc_id), doc_id)) AS packet_index FROM documents""")
 def packet_index(s, d):
     when = F.coalesce(F.when(F.col("doc_id") % 5 > 0, F.col("n_chars")), F.col("doc_id"))
-    row = F.row_number().over(Window.orderBy(when, "doc_id")).cast("long")
-    return table(s, d, "documents").select("doc_id", F.coalesce(F.when(F.col("doc_id") % 3 == 0, F.col("doc_id") + 1000000), row).alias("packet_index"))
+    t = numbered(table(s, d, "documents").select("doc_id", when.alias("at")), ["at", "doc_id"], "row", 1)
+    return t.select("doc_id", F.coalesce(F.when(F.col("doc_id") % 3 == 0, F.col("doc_id") + 1000000), "row").alias("packet_index"))
 
 
 @query("article_validity", """SELECT doc_id, text IS NOT NULL AND trim(left(text, 30)) <> '' AND length(text) >= 200 AND source IN ('src1', 'src2', 'src3') AS valid FROM documents""")
@@ -111,7 +113,7 @@ def recommendation_upsert(s, d):
 @query("picked_export", """SELECT pos, o_orderkey AS orig_idx, o_custkey % 50 AS cluster_id FROM (SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderkey DESC) - 1 AS pos FROM orders WHERE o_orderkey % 11 = 0)""")
 def picked_export(s, d):
     picks = table(s, d, "orders").where("o_orderkey % 11 = 0").select(F.col("o_orderkey").alias("orig_idx"))
-    picks = picks.withColumn("pos", (F.row_number().over(Window.orderBy(F.col("orig_idx").desc())) - 1).cast("long"))
+    picks = numbered(picks, [F.col("orig_idx").desc()], "pos")
     raw = table(s, d, "orders").select(F.col("o_orderkey").alias("orig_idx"), (F.col("o_custkey") % 50).alias("cluster_id"))
     return files.gather(raw, picks, "orig_idx", "pos").select("pos", "orig_idx", "cluster_id")
 
@@ -154,8 +156,7 @@ def taxonomy_rows(s, d):
 def two_source_union(s, d):
     a = table(s, d, "supplier").select(F.lit("supplier").alias("src"), F.col("s_suppkey").alias("item"), F.lit(0).alias("o"))
     b = table(s, d, "part").where("p_size > 45").select(F.lit("part").alias("src"), F.col("p_partkey").alias("item"), F.lit(1).alias("o"))
-    w = Window.orderBy("o", "item")
-    return a.unionAll(b).select("src", "item", (F.row_number().over(w) - 1).cast("long").alias("idx"))
+    return numbered(a.unionAll(b), ["o", "item"], "idx").select("src", "item", "idx")
 
 
 @query("usage_histogram", """SELECT n AS usage, count(*) AS items FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1) GROUP BY n""")
@@ -428,3 +429,20 @@ def trainer_features(s, d, path="/opt/tokenizers/byte_bpe_50k.json", limit=512):
     c = table(s, d, "conversations").withColumn("answer", F.lead("text").over(w)).where("role = 'user' AND answer IS NOT NULL")
     c = c.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("row_id"), T.highlight_prompt(F.col("text")).alias("prompt"), "answer")
     return X.trainer_rows(c, "row_id", "prompt", "answer", path, limit)
+
+
+@query("summary_features")
+def summary_features(s, d, path="/opt/tokenizers/byte_bpe_50k.json"):
+    """Chat turns as summary rows: a user's text is the article, the next turn the highlights."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = table(s, d, "conversations").withColumn("answer", F.lead("text").over(w)).where("role = 'user' AND answer IS NOT NULL")
+    c = c.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("row_id"), "text", "answer")
+    return Y.summary_features(c, "row_id", "text", "answer", path, limit=2048, article_tokens=1024)
+
+
+@query("label_features")
+def label_features(s, d, path="/opt/tokenizers/byte_bpe_50k.json"):
+    """Benchmark items as label rows: their longest words are the keywords, the first of them the category."""
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda x: F.length(x) > 6))
+    b = table(s, d, "benchmark").select("item_id", F.lit("Item").alias("title"), "text", words.alias("words"), F.slice(words, 1, 1).alias("first"))
+    return Y.label_features(b, "item_id", "title", "text", "both", path, ["any"], "first", "words", limit=2048)

@@ -3,10 +3,11 @@ and a document's source number modulo 5 its broad category."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.operators import relational as R
+from spindrift.operators.order import numbered
 from spindrift.plans.registry import query
 from spindrift.sources.tables import table
 
@@ -286,8 +287,7 @@ def resume_keep_last(s, d):
 @query("prefix_before_seen", """WITH p AS (SELECT event_id, user_id, row_number() OVER (ORDER BY event_id DESC) AS pos FROM events)
 SELECT event_id, pos FROM p WHERE pos < (SELECT min(pos) FROM p WHERE user_id % 50 = 7) ORDER BY pos LIMIT 40""")
 def prefix_before_seen(s, d):
-    w = Window.orderBy(F.col("event_id").desc())
-    p = table(s, d, "events").select("event_id", "user_id", F.row_number().over(w).cast("long").alias("pos"))
+    p = numbered(table(s, d, "events").select("event_id", "user_id"), [F.col("event_id").desc()], "pos", 1)
     return R.prefix_before_seen(p, "pos", F.col("user_id") % 50 == 7, 40).select("event_id", "pos")
 
 
@@ -300,6 +300,5 @@ def scope_union(s, d):
 
 @query("retrieval_completion_order", """SELECT doc_id, row_number() OVER (ORDER BY doc_id DESC) AS position FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)""")
 def completion_order(s, d):
-    w = Window.orderBy(F.col("doc_id").desc())
     ok = table(s, d, "labels").where("quality = 1").select("doc_id")
-    return table(s, d, "documents").select("doc_id").join(ok, "doc_id", "left_semi").select("doc_id", F.row_number().over(w).cast("long").alias("position"))
+    return numbered(table(s, d, "documents").select("doc_id").join(ok, "doc_id", "left_semi"), [F.col("doc_id").desc()], "position", 1)
