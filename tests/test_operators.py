@@ -4,12 +4,14 @@ import random
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from spindrift.functions import parsing as P2
 from spindrift.functions import scalars as S
 from spindrift.functions import text as T
+from spindrift.operators import blocks
 from spindrift.operators import features as X
 from spindrift.operators import relational as R
 from spindrift.operators import retrieval as Q
@@ -149,6 +151,39 @@ def test_knn_blocks(spark, monkeypatch):
         assert [got[k, r] for r in range(1, 5)] == np.argsort(-sims[k], kind="stable")[:4].tolist()
 
 
+def test_knn_sends_k_rows_a_query():
+    """However many blocks of the base a task meets, and with copies, near ties and numbers of any size."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((300, 6))
+    x[100:180] = x[5]
+    x[180:220] = x[6] * (1 + 1e-9 * np.arange(40))[:, None]
+    for y in (x, x * 1e17, x.astype(np.float32).astype(float)):
+        ids = rng.permutation(300)
+        pack = lambda i, p: dict(zip([f"{p}{c}" for c in ("b", "i", "m", "wide")], [0, ids[i].tobytes(), *blocks.vector_bytes(y[i])], strict=True))
+        rows = [pack(np.arange(300), "q") | pack(np.arange(lo, lo + 20), "b") for lo in range(0, 300, 20)]
+        for include in (False, True):
+            out = pa.Table.from_batches(V._nearest(4, include)(iter(pa.Table.from_pylist(rows).to_batches()))).to_pylist()
+            assert len(out) == 4 * 300
+            order = np.argsort(ids)
+            sims = np.round(y @ y[order].T, 12)
+            if not include:
+                sims[ids[:, None] == ids[order][None, :]] = -np.inf
+            near = np.take_along_axis(sims, np.argsort(-sims, axis=1, kind="stable")[:, :4], 1).ravel()
+            assert np.allclose([r["sim"] for r in out], near, rtol=1e-12, atol=1e-12)
+
+
+def test_approximate_queries_are_not_copied(spark, monkeypatch):
+    """A query lies in one block, whatever number of lists it looks into."""
+    rng = np.random.default_rng(9)
+    e = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rng.standard_normal((200, 4)))], "id long, v array<double>")
+    centres = V.coarse_centres(e, "id", "v", 9)
+    asked = V._listed(e, "id", "v", centres, 16, "q", 9).collect()
+    assert sorted(np.concatenate([np.frombuffer(r["qi"], np.int64) for r in asked]).tolist()) == list(range(200))
+    assert all(r["qlists"] == list(range(9)) for r in asked)
+    got = {(r["src"], r["dst"]) for r in V.knn_approximate(e, e, "id", "v", 5, probes=9, lists=9).collect()}
+    assert got == {(r["src"], r["dst"]) for r in V.knn(e, e, "id", "v", 5).collect()}
+
+
 def test_approximate_neighbours_recall(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     pairs = lambda df: {(r["src"], r["dst"]) for r in df.collect()}
