@@ -3,10 +3,11 @@ parameter and the tokenizer is loaded once per Python worker."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,22 +22,47 @@ def load(path: str):
     return t
 
 
-def _series(path: str, f: Callable, kind: str):
-    def run(s: pd.Series) -> pd.Series:
-        found = load(path).encode_batch([x or "" for x in s], add_special_tokens=False)
-        return pd.Series([f(t, e) for t, e in zip(s, found, strict=True)])
+# Texts that are encoded at once: a token takes over a hundred bytes until its numbers are taken out.
+TEXTS, CHARS = 64, 1 << 18
 
-    run.__annotations__ = {"s": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, kind)
+
+def _encoded(path: str, texts: pa.Array) -> Iterator[tuple[list[str | None], list]]:
+    """The texts and their encodings, some at a time."""
+    some, chars = [], 0
+    for x in texts:
+        x = x.as_py()
+        some.append(x)
+        chars += len(x or "")
+        if len(some) == TEXTS or chars >= CHARS:
+            yield some, load(path).encode_batch([y or "" for y in some], add_special_tokens=False)
+            some, chars = [], 0
+    if some:
+        yield some, load(path).encode_batch([y or "" for y in some], add_special_tokens=False)
+
+
+def _column(path: str, f: Callable[[list, list], pa.Array], kind: str, arrow: pa.DataType) -> Callable[[Column], Column]:
+    """A column of what ``f`` makes of texts and their encodings, in arrays without a Python object a token."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.concat_arrays([pa.array([], arrow), *(f(t, e).cast(arrow) for t, e in _encoded(path, texts))])
+
+    return F.arrow_udf(run, kind)
+
+
+def _lists(values: pa.Array, sizes: list[int]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), values)
 
 
 def count_tokens(c: Column, path: str) -> Column:
     """How many tokens a text has; null has none."""
-    return _series(path, lambda _, e: len(e.ids), "long")(c)
+    return _column(path, lambda _, found: pa.array([len(e.ids) for e in found], pa.int64()), "long", pa.int64())(c)
 
 
 def token_ids(c: Column, path: str) -> Column:
-    return _series(path, lambda _, e: e.ids, "array<int>")(c)
+    def ids(_, found):
+        return _lists(pa.array(np.concatenate([np.asarray(e.ids, np.int32) for e in found])), [len(e.ids) for e in found])
+
+    return _column(path, ids, "array<int>", pa.list_(pa.int32()))(c)
 
 
 def truncate_tokens(c: Column, path: str, limit: int) -> Column:
@@ -45,9 +71,16 @@ def truncate_tokens(c: Column, path: str, limit: int) -> Column:
     def cut(t, e):
         return t if t is None or len(e.ids) <= limit else t[: e.offsets[limit - 1][1]] if limit > 0 else ""
 
-    return _series(path, cut, "string")(c)
+    return _column(path, lambda texts, found: pa.array([cut(t, e) for t, e in zip(texts, found, strict=True)], pa.string()), "string", pa.string())(c)
 
 
 def token_segments(c: Column, path: str) -> Column:
     """(start, end) of each token in the text; tokens that share a character's bytes share it."""
-    return _series(path, lambda _, e: [{"start": a, "end": b} for a, b in e.offsets], "array<struct<start: int, end: int>>")(c)
+
+    def segments(_, found):
+        at = [np.asarray(e.offsets, np.int32).reshape(-1, 2) for e in found]
+        every = np.concatenate(at)
+        pairs = pa.StructArray.from_arrays([pa.array(every[:, 0]), pa.array(every[:, 1])], names=["start", "end"])
+        return _lists(pairs, [len(x) for x in at])
+
+    return _column(path, segments, "array<struct<start: int, end: int>>", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))(c)

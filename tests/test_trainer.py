@@ -97,3 +97,22 @@ def test_separators_take_turns_and_rows_meet_the_contract(spark):
     assert X.inconsistent_rows(rows, "id").isEmpty()
     with pytest.raises(ValueError, match="mode"):
         R.features(d, ["id"], F.col("p"), F.col("x"), PATH, mode="some")
+
+
+def test_texts_are_encoded_some_at_a_time(monkeypatch):
+    """However many texts a batch has; long ones fewer at once."""
+    import pyarrow as pa
+
+    from spindrift.functions import tokens
+
+    sizes = []
+
+    class Fake:
+        def encode_batch(self, texts, add_special_tokens):
+            sizes.append(len(texts))
+            return texts
+
+    monkeypatch.setattr(tokens, "load", lambda path: Fake())
+    texts = ["a"] * 130 + [None] + ["b" * tokens.CHARS] * 2
+    assert [t for some, _ in tokens._encoded("", pa.array(texts)) for t in some] == texts
+    assert sizes == [64, 64, 4, 1]
