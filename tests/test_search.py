@@ -78,3 +78,14 @@ def test_no_row_for_a_pair(spark, sf_dir, name):
     """Terms aren't exploded and pairs aren't joined: tasks send what they keep."""
     p = plan(QUERIES[name](spark, sf_dir))
     assert "MapInArrow" in p and "explode(w" not in p and "Join Cross" in p.replace("Join Inner, leftHint=(strategy=shuffle_replicate_nl)", "Join Cross")
+
+
+def test_array_overlap_meets_blocks(spark, tmp_path):
+    """Users of one kind meet as blocks; no null user or type matches."""
+    rows = [(k * 77, k % 60, ["a", "b", "c", None][k // 60 % 4]) for k in range(400)] + [(k * 7, None if k % 50 == 0 else k % 90, "ab"[k % 2]) for k in range(300)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    kinds = lambda m: {u: {t for i, v, t in rows if v == u and i % m == 0 and t} for u in {v for i, v, _ in rows if v is not None and i % m == 0}}
+    want = sorted((u, v) for u, x in kinds(7).items() for v, y in kinds(11).items() if u % 10 == v % 10 and x & y)
+    df = QUERIES["array_overlap"](spark, str(tmp_path))
+    assert want and sorted(map(tuple, df.collect())) == want
+    assert "shuffle_replicate_nl" in plan(df) and "Generate" in plan(df)
